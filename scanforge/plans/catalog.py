@@ -1,0 +1,11 @@
+"""All registered queries outside the training-data subpackage."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict:
+    return {}
