@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing
+from . import line_dedup, mixing, secret_scan
 from .common import table
 
 
@@ -18,12 +18,18 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", _sha256("text").alias("kept_sha256"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [secret_scan.count_kind(F.col("base"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return out.select("doc_id", *counts, _sha256(secret_scan.as_text(F.col("base"))).alias("base_sha256"), secret_scan.as_text(F.col("spans")).alias("spans"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
 def queries() -> dict:
-    return {"op2_line_dedup": op2_line_dedup, "op9_mixing": op9_mixing}
+    return {"op2_line_dedup": op2_line_dedup, "op4_secret_scan": op4_secret_scan, "op9_mixing": op9_mixing}
 
 
 def oracle_sql() -> dict:
