@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, secret_scan
+from . import line_dedup, mixing, secret_scan, simhash
 from .common import table
 
 
@@ -18,6 +18,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", _sha256("text").alias("kept_sha256"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [secret_scan.count_kind(F.col("base"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
@@ -29,7 +34,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_line_dedup": op2_line_dedup, "op4_secret_scan": op4_secret_scan, "op9_mixing": op9_mixing}
+    return {"op2_line_dedup": op2_line_dedup, "op3_simhash": op3_simhash, "op4_secret_scan": op4_secret_scan, "op9_mixing": op9_mixing}
 
 
 def oracle_sql() -> dict:
