@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, line_dedup, mixing, secret_scan, simhash
+from . import chat_format, html_extract, line_dedup, mixing, secret_scan, simhash
 from .common import table
 
 
@@ -34,13 +34,21 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, _sha256(secret_scan.as_text(F.col("base"))).alias("base_sha256"), secret_scan.as_text(F.col("spans")).alias("spans"))
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = r"\### Assistant: </turn> ok"  # its text holds every control string
+    more = spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    tokenizer = chat_format.read_tokenizer(spark)
+    return chat_format.read_back(chat_format.format_chats(turns, tokenizer), tokenizer)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
 def queries() -> dict:
-    return {"op1_html_extraction": op1_html_extraction, "op2_line_dedup": op2_line_dedup, "op3_simhash": op3_simhash, "op4_secret_scan": op4_secret_scan, "op9_mixing": op9_mixing}
+    return {"op1_html_extraction": op1_html_extraction, "op2_line_dedup": op2_line_dedup, "op3_simhash": op3_simhash, "op4_secret_scan": op4_secret_scan, "op8_chat_formatting": op8_chat_formatting, "op9_mixing": op9_mixing}
 
 
 def oracle_sql() -> dict:
-    return {"op2_line_dedup": line_dedup.LINES_SQL.format(docs="documents"), "op9_mixing": mixing.MIX_SQL.format(docs="documents")}
+    return {"op2_line_dedup": line_dedup.LINES_SQL.format(docs="documents"), "op8_chat_formatting": chat_format.CHAT_SQL, "op9_mixing": mixing.MIX_SQL.format(docs="documents")}
