@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, html_extract, line_dedup, mixing, secret_scan, simhash
+from . import chat_format, html_extract, line_dedup, mixing, secret_scan, simhash, toxicity
 from .common import table
 
 
@@ -34,6 +34,12 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, _sha256(secret_scan.as_text(F.col("base"))).alias("base_sha256"), secret_scan.as_text(F.col("spans")).alias("spans"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", toxicity.is_fold(F.col("doc_id"), 2, 4).alias("held_out"), "score", "predicted")
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = r"\### Assistant: </turn> ok"  # its text holds every control string
     more = spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
@@ -47,7 +53,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_html_extraction": op1_html_extraction, "op2_line_dedup": op2_line_dedup, "op3_simhash": op3_simhash, "op4_secret_scan": op4_secret_scan, "op8_chat_formatting": op8_chat_formatting, "op9_mixing": op9_mixing}
+    return {"op1_html_extraction": op1_html_extraction, "op2_line_dedup": op2_line_dedup, "op3_simhash": op3_simhash, "op4_secret_scan": op4_secret_scan, "op7_toxicity": op7_toxicity, "op8_chat_formatting": op8_chat_formatting, "op9_mixing": op9_mixing}
 
 
 def oracle_sql() -> dict:

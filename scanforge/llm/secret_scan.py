@@ -68,8 +68,9 @@ def samples(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, tokens: int = SA
     Random: what base patterns find there, and digests of the ids in the alphabets that keys use.
     Ordinary: the distinct other tokens, `tokens` at most.
     """
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
-    rows = cut(rows)
+    chosen = docs.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    rows = cut(docs.select("doc_id", text).join(F.broadcast(chosen), "doc_id"))  # `documents` ids at most
     assigned = F.transform(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), lambda v: F.regexp_replace(v, r"\.", "_"))
     found = F.concat(F.filter(assigned, lambda v: F.length(v) >= 16), F.regexp_extract_all("text", F.lit(ACCESS), F.lit(0)), F.regexp_extract_all("text", F.lit(HEX), F.lit(0)))
     digest = F.sha2(F.concat(F.lit("sample"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"), 256)
