@@ -27,8 +27,12 @@ SAMPLE_TOXIC, SAMPLE_ORDINARY = 1_500, 3_000
 WINDOW = 8
 #: Bytes of a dictionary's common part, and of the stems before it.
 COMMON_BYTES, STEM_BYTES = 8192, 4096
-#: Characters of a stem.
-STEM_CHARS = range(3, 9)
+#: Stands before each word, in windows and dictionaries. With it a stem is long enough for a match (MATCH bytes), and
+#: without it too short, so a stem matches at the start of words only.
+MARK, MATCH = b"\x01\x02", 6
+#: Ends a word in the dictionaries and never in a window, so that no match takes the next word's mark.
+END = b"\x00"
+STEM_BYTE_RANGE = (4, 5)
 #: What a stem must show: contexts among toxic documents (at least, and as a share), log ratio and G statistic.
 MIN_CONTEXTS, MIN_SHARE, MIN_LOG_RATIO, MIN_G = 4, 2e-4, 1.4, 20.0
 MAX_STEMS = 2_000
@@ -49,7 +53,7 @@ class Model:
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     params = zstandard.ZstdCompressionParameters(
-        window_log=17, chain_log=13, hash_log=13, search_log=5, min_match=5, target_length=64, strategy=zstandard.STRATEGY_LAZY2,
+        window_log=17, chain_log=14, hash_log=14, search_log=5, min_match=MATCH, target_length=64, strategy=zstandard.STRATEGY_LAZY2,
         write_content_size=0, write_checksum=0, write_dict_id=0,
     )
     held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -65,7 +69,7 @@ class Distance:
 
     def features(self, text: str | None) -> list[float]:
         w = words(text)
-        windows = [f" {' '.join(w[i : i + WINDOW])} ".encode() + TAIL for i in range(0, len(w), WINDOW)]
+        windows = [MARK + MARK.join(x.encode() for x in w[i : i + WINDOW]) + MARK + TAIL for i in range(0, len(w), WINDOW)]
         if not windows:
             return [0.0] * FEATURES
         short, long = self.toxic.compress, self.ordinary.compress
@@ -98,7 +102,8 @@ def _stems(sample: DataFrame) -> list[str]:
     n1, n0 = total.get(1, 0), total.get(0, 0)
     if not n1 or not n0:
         return []
-    cuts = F.filter(F.array(*[F.when(F.length("b") >= k, F.substring("b", 1, k)) for k in STEM_CHARS]), lambda s: s.isNotNull())
+    starts = F.array(*[F.when(F.length("b") >= k, F.substring("b", 1, k)) for k in range(1, STEM_BYTE_RANGE[1] + 1)])
+    cuts = F.filter(starts, lambda s: F.octet_length(s).between(*STEM_BYTE_RANGE))
     counted = pairs.select("toxic", F.explode(cuts).alias("stem")).groupBy("stem").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
     both = F.col("t") + F.col("o")
     ratio = F.log((F.col("t") + 0.5) / (n1 + 1)) - F.log((F.col("o") + 0.5) / (n0 + 1))
@@ -106,8 +111,9 @@ def _stems(sample: DataFrame) -> list[str]:
     g = 2 * (part("t", n1) + part("o", n0))
     good = counted.where((F.col("t") >= max(MIN_CONTEXTS, MIN_SHARE * n1)) & (ratio >= MIN_LOG_RATIO) & (g >= MIN_G))
     found = {r.stem: r.t for r in good.orderBy(g.desc(), "stem").limit(MAX_STEMS).collect()}
-    own = {s: n - sum(m for x, m in found.items() if len(x) == len(s) + 1 and x.startswith(s)) for s, n in found.items()}
-    return [s for s in sorted(own, key=lambda s: (own[s], s)) if own[s] > 0]
+    # a stem that nearly always goes on the same way is kept in its longer form alone
+    own = {s: n - max((m for x, m in found.items() if len(x) == len(s) + 1 and x.startswith(s)), default=0) for s, n in found.items()}
+    return [s for s in sorted(found, key=lambda s: (found[s], s)) if own[s] > 0.1 * found[s]]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, shift: float) -> tuple[float, ...]:
@@ -133,8 +139,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     sample, counts = _sample(docs, labels)
     word = F.explode(F.regexp_extract_all(ascii_lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0)))
     common = sample.where("toxic = 0").select(word.alias("w")).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(3_000).collect()
-    content = b"".join(b" " + r.w.encode() for r in reversed(common))[-COMMON_BYTES:] + b" "
-    stems = b"".join(b" " + s.encode() for s in _stems(sample))[-STEM_BYTES:] + b" "
+    content = b"".join(END + MARK + r.w.encode() for r in reversed(common))[-COMMON_BYTES:] + END
+    stems = b"".join(END + MARK + s.encode() for s in _stems(sample))[-STEM_BYTES:] + END
     model = Model(content, stems, ())
     rows = sample.select("toxic", _udf(model)("text").alias("x")).collect()  # a row for each document of the sample
     y = np.array([r.toxic for r in rows], float)
