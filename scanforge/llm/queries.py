@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, html_extract, line_dedup, mixing, secret_scan, simhash, toxicity
+from . import chat_format, decontaminate, html_extract, line_dedup, mixing, secret_scan, simhash, toxicity
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, _sha256(secret_scan.as_text(F.col("base"))).alias("base_sha256"), secret_scan.as_text(F.col("spans")).alias("spans"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -53,8 +57,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_html_extraction": op1_html_extraction, "op2_line_dedup": op2_line_dedup, "op3_simhash": op3_simhash, "op4_secret_scan": op4_secret_scan, "op7_toxicity": op7_toxicity, "op8_chat_formatting": op8_chat_formatting, "op9_mixing": op9_mixing}
+    return {"op1_html_extraction": op1_html_extraction, "op2_line_dedup": op2_line_dedup, "op3_simhash": op3_simhash, "op4_secret_scan": op4_secret_scan, "op5_decontamination": op5_decontamination, "op7_toxicity": op7_toxicity, "op8_chat_formatting": op8_chat_formatting, "op9_mixing": op9_mixing}
 
 
 def oracle_sql() -> dict:
-    return {"op2_line_dedup": line_dedup.LINES_SQL.format(docs="documents"), "op8_chat_formatting": chat_format.CHAT_SQL, "op9_mixing": mixing.MIX_SQL.format(docs="documents")}
+    return {"op2_line_dedup": line_dedup.LINES_SQL.format(docs="documents"), "op5_decontamination": decontaminate.CONTAINMENT_SQL, "op8_chat_formatting": chat_format.CHAT_SQL, "op9_mixing": mixing.MIX_SQL.format(docs="documents")}
