@@ -57,3 +57,14 @@ def words(text: str | None) -> list[str]:
         return []
     # bytes.split() and bytes.lower() know ASCII alone, which is the rule wanted here
     return [w.decode("utf-8") for w in text.encode("utf-8", "replace").lower().split()]
+
+
+#: Ids up to which a table of ids is broadcast.
+SMALL_IDS = 1_000_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents whose doc_id is not among ids (one column, distinct). Null ids stay."""
+    ids = cut(ids.toDF("__gone"))
+    few = ids.count() <= SMALL_IDS
+    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["__gone"], "left_anti")

@@ -48,6 +48,10 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats:
     return rows.select("source", "source_size", F.least(F.col("cap"), F.coalesce(level, F.lit(float("inf"))) * F.col("w")).alias("target"))
 
 
+#: Sources up to which a table with a row for each source is broadcast.
+SMALL_SOURCES = 10_000
+
+
 def thresholds(docs: DataFrame, budgets: DataFrame, small: bool = False) -> DataFrame:
     """Rows (source, below): documents whose place is under `below` come to the budget as nearly as whole places can.
 
@@ -91,8 +95,24 @@ def thresholds(docs: DataFrame, budgets: DataFrame, small: bool = False) -> Data
     return state.select("source", (F.col("low") + nearer.cast("long")).alias("below"))
 
 
-#: Sources up to which a table with a row for each source is broadcast.
-SMALL_SOURCES = 10_000
+def _plan(slim: DataFrame, weights: tuple[float, ...], max_repeats: int) -> tuple[DataFrame, bool]:
+    """A row for each source: how often all of it is taken, and the threshold for once more; and whether it may be broadcast."""
+    goal = cut(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats))
+    small = goal.count() <= SMALL_SOURCES
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
+    goal = goal.withColumn("whole", whole.cast("long")).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
+    below = thresholds(slim, goal.select("source", "budget"), small).withColumnRenamed("source", "of")
+    return goal.join(below, F.col("source").eqNullSafe(F.col("of"))).select(F.col("of"), "source_size", "target", "whole", "below"), small
+
+
+def _slim(docs: DataFrame) -> DataFrame:
+    columns = {"source": F.col("source").cast("string"), "place": place(F.col("doc_id")), "size": word_count(F.col("text").cast("string"))}
+    return docs.select("doc_id", *[c.alias(k) for k, c in columns.items()])
+
+
+def _taken(rows: DataFrame, plan: DataFrame, small: bool) -> DataFrame:
+    rows = rows.join(F.broadcast(plan) if small else plan, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    return rows.withColumn("taken", F.col("size") * (F.col("whole") + (F.col("place") < F.col("below")).cast("long"))).drop("whole", "below")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -105,14 +125,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int
     together. Null sources are one source, after all others; a null doc_id has a place like any other. A source
     without words has target 0. An empty table gives an empty table.
     """
-    slim = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), place(F.col("doc_id")).alias("place"), word_count(F.col("text").cast("string")).alias("size")))
-    goal = cut(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats))
-    small = goal.count() <= SMALL_SOURCES
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    goal = goal.withColumn("whole", whole.cast("long")).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
-    plan = goal.join(thresholds(slim, goal.select("source", "budget"), small).withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select(F.col("of"), "source_size", "target", "whole", "below")
-    rows = slim.join(F.broadcast(plan) if small else plan, F.col("source").eqNullSafe(F.col("of")))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + (F.col("place") < F.col("below")).cast("long"))).alias("taken"))
+    slim = cut(_slim(docs))
+    return _taken(slim, *_plan(slim, weights, max_repeats)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """The documents that the mix takes, with their own columns and size, target and taken (as in mix; replaced if there).
+
+    taken / size is how often a document is to be repeated. Documents without words are in no mix.
+    """
+    plan, small = _plan(cut(_slim(docs)), weights, max_repeats)
+    own = docs.drop("size", "target", "taken", "place", "of", "source_size", "whole", "below")
+    out = _taken(own.withColumns({"place": place(F.col("doc_id")), "size": word_count(F.col("text").cast("string"))}), plan, small)
+    return out.where(F.col("taken") > 0).drop("place", "source_size")
 
 
 #: The same rows in DuckDB, with a sorted running sum in the thresholds' place. {docs}: a table with doc_id, source, text.

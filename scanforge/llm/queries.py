@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import chat_format, decontaminate, embed_dedup, html_extract, line_dedup, lm_score, mixing, secret_scan, simhash, toxicity
 from .common import table
 
@@ -68,7 +70,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_html_extraction": op1_html_extraction, "op2_line_dedup": op2_line_dedup, "op3_simhash": op3_simhash, "op4_secret_scan": op4_secret_scan, "op5_decontamination": op5_decontamination, "op6_lm_scoring": op6_lm_scoring, "op7_toxicity": op7_toxicity, "op8_chat_formatting": op8_chat_formatting, "op9_mixing": op9_mixing, "op10_embedding_dedup": op10_embedding_dedup}
+    return {"op1_html_extraction": op1_html_extraction, "op2_line_dedup": op2_line_dedup, "op3_simhash": op3_simhash, "op4_secret_scan": op4_secret_scan, "op5_decontamination": op5_decontamination, "op6_lm_scoring": op6_lm_scoring, "op7_toxicity": op7_toxicity, "op8_chat_formatting": op8_chat_formatting, "op9_mixing": op9_mixing, "op10_embedding_dedup": op10_embedding_dedup, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
