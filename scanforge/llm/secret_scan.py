@@ -27,6 +27,8 @@ IDENTIFIER = r"[A-Za-z0-9+/_=-]{4,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SYMBOLS = len(ALPHABET) + 1  # 0 stands for the token's start
 SMOOTHING = 0.5
+#: Occurrences that a symbol's overall frequency counts for after any one symbol.
+PRIOR = 4.0
 #: Natural logarithm of the odds that a token must reach, in all and for each character.
 MIN_RATIO, MIN_RATIO_EACH = 12.0, 0.25
 #: Documents whose tokens are the labelled sample, chosen by hash; and distinct tokens of each label at most.
@@ -93,7 +95,13 @@ def train(labelled: DataFrame, smoothing: float = SMOOTHING) -> list[float]:
     counted = labelled.where(F.col("token").isNotNull()).select("random", F.explode(pairs).alias("pair")).where(F.col("pair").isNotNull())
     counts = {(r.random, r.pair): r.n for r in counted.groupBy("random", "pair").agg(F.count("*").alias("n")).collect()}  # 2 * SYMBOLS**2 rows at most
     before = {(k, p): sum(counts.get((k, p * SYMBOLS + c), 0) for c in range(1, SYMBOLS)) for k in (True, False) for p in range(SYMBOLS)}
-    log = lambda k, p, c: math.log((counts.get((k, p * SYMBOLS + c), 0) + smoothing) / (before[k, p] + smoothing * (SYMBOLS - 1)))
+    alone = {(k, c): smoothing + sum(counts.get((k, p * SYMBOLS + c), 0) for p in range(SYMBOLS)) for k in (True, False) for c in range(1, SYMBOLS)}
+    total = {k: sum(alone[k, c] for c in range(1, SYMBOLS)) for k in (True, False)}
+
+    def log(k: bool, p: int, c: int) -> float:
+        """After a symbol that was seen little, a symbol is as likely as it is anywhere."""
+        return math.log((counts.get((k, p * SYMBOLS + c), 0) + PRIOR * alone[k, c] / total[k]) / (before[k, p] + PRIOR))
+
     return [0.0 if c == 0 else log(True, p, c) - log(False, p, c) for p in range(SYMBOLS) for c in range(SYMBOLS)]
 
 
