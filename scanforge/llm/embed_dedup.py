@@ -98,17 +98,18 @@ def build_graph(x: np.ndarray) -> list[np.ndarray]:
         near[rows, rows + at] = -2
         best = np.argpartition(-near, k - 1, axis=1)[:, :k] if k else np.zeros((len(near), 0), int)
         best = np.take_along_axis(best, np.argsort(-np.take_along_axis(near, best, 1), axis=1), 1)
-        for i, row in enumerate(best):
-            own = np.maximum(0, 2 - 2 * near[i, row])  # squared distances, nearest first
-            between = np.maximum(0, 2 - 2 * (x[row] @ x[row].T))
-            alive, kept = np.ones(k, bool), []
-            for j in range(k):
-                if alive[j]:
-                    kept.append(j)
-                    if len(kept) == DEGREE:
-                        break
-                    alive &= ALPHA * ALPHA * between[j] > own
-            out.append(row[kept])
+        if not k:
+            out.extend(np.zeros((len(near), 0), int))
+            continue
+        # all rows at once: the nearest open candidate is kept, and closes those that it is clearly nearer to than the row is
+        own = np.maximum(0, 2 - 2 * np.take_along_axis(near, best, 1))  # squared distances, nearest first
+        v = x[best]
+        between = ALPHA * ALPHA * np.maximum(0, 2 - 2 * (v @ v.transpose(0, 2, 1)))
+        alive, kept = np.ones(best.shape, bool), np.zeros(best.shape, bool)
+        for j in range(k):
+            kept[:, j] = alive[:, j] & (kept.sum(axis=1) < DEGREE)
+            alive &= (between[:, j] > own) | ~kept[:, j : j + 1]
+        out.extend(row[keep] for row, keep in zip(best, kept, strict=True))
     return out
 
 
