@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +26,12 @@ from pyspark.sql import functions as F
 from .common import cut
 
 DEPTH = 5
-#: Distinct strings of a bucket on average, and strings or words that one broadcast holds (about 60 and 12 bytes each).
-BUCKET, GROUP_GRAMS, GROUP_WORDS = 100_000, 6_000_000, 12_000_000
+#: Distinct strings of a bucket on average, and strings or words that one broadcast holds (about 60 and 16 bytes each).
+BUCKET, GROUP_GRAMS, GROUP_WORDS = 100_000, 4_000_000, 12_000_000
 #: Bytes of text that are scored or counted at a time.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
+#: Documents of a batch whose words are counted, and whose texts are held as Python strings, at a time.
+COUNT_ROWS, SCORE_ROWS = 2_048, 256
 END_WORD = b"\x00"  # the end of a document; no word holds it, as it is counted apart
 _HALF = math.log(0.5)
 
@@ -131,8 +133,9 @@ def _build(shared, depth: int):
         for _, _, est, stop, at in s.levels:
             p = est[at] if p is None else stop[at] * est[at] + (1 - stop[at]) * p
         values = _log10(top.finish(s.first[0][s.at_first], p, np.ones(p.size, bool)), s.bit)
-        out = [grams, values.astype(np.float32)]
-        for _, keys, est, stop, _ in s.levels:
+        # the deepest nodes never weigh, and their counts are sums over neighbouring strings: they need no rows of their own
+        out = [grams, values.astype(np.float32), table["n"].to_numpy()[order]]
+        for _, keys, est, stop, _ in s.levels[1:]:
             out += [keys, est.astype(np.float32), stop.astype(np.float32)]
         return pa.table({"bucket": table["bucket"][:1].cast(pa.int32()), "parts": pa.array([[np.ascontiguousarray(x).tobytes() for x in out]], pa.list_(pa.binary()))})
 
@@ -168,12 +171,12 @@ def _word_hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, 11)
 
 
-def _blocks(texts: list[bytes]) -> Iterator[list[bytes]]:
+def _blocks(texts: Iterable[bytes], limit: int = BLOCK) -> Iterator[list[bytes]]:
     out, size = [], 0
     for t in texts:
         out.append(t)
         size += len(t) + 8
-        if size >= BLOCK:
+        if size >= limit:
             yield out
             out, size = [], 0
     if out:
@@ -187,7 +190,7 @@ def _count(depth: int):
         def rows(kind, keys, train, other):
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(np.asarray(keys, np.uint64).view(np.int64)), pa.array(np.asarray(train, np.int64)), pa.array(np.asarray(other, np.int64))], names=["kind", "key", "train", "other"])
 
-        for batch in batches:
+        for batch in (b.slice(at, COUNT_ROWS) for b in batches for at in range(0, b.num_rows, COUNT_ROWS)):
             texts, train = [_folded(t) for t in batch.column(0).to_pylist()], batch.column(1).to_pylist()
             inside, outside = Counter(), Counter()
             for t, own in zip(texts, train, strict=True):
@@ -196,30 +199,43 @@ def _count(depth: int):
             inside[END_WORD], outside[END_WORD] = n, len(train) - n
             keys = list(inside | outside)
             yield rows(1, [_word_hash(w) for w in keys], [inside[w] for w in keys], [outside[w] for w in keys])
-            for block in _blocks([t for t, own in zip(texts, train, strict=True) if own]):
+            for block in _blocks((t for t, own in zip(texts, train, strict=True) if own), 3 * BLOCK):
                 grams, counts = np.unique(byte_strings(block, depth)[0], return_counts=True)
                 yield rows(0, grams, counts, np.zeros(len(counts)))
 
     return run
 
 
+def _sorted(arrays: list[np.ndarray]) -> list[np.ndarray]:
+    order = np.argsort(arrays[0])
+    return [a[order] for a in arrays]
+
+
+def join_buckets(rows: Iterator, total: int, depth: int) -> tuple[np.ndarray, list[list[np.ndarray]]]:
+    """Finished buckets as sorted tables: which buckets they are, the strings, and the nodes from the deepest level up."""
+    kinds = [np.uint64, np.float32, np.int64] + [np.uint64, np.float32, np.float32] * (depth - 2)
+    own, parts = np.zeros(total, bool), [[] for _ in kinds]
+    for r in rows:
+        own[r.bucket] = True
+        for p, k, x in zip(parts, kinds, r.parts, strict=True):
+            p.append(np.frombuffer(bytes(x), k))
+    tables = []
+    for a in range(0, len(kinds), 3):
+        tables.append(_sorted([np.concatenate([*parts[i], np.zeros(0, kinds[i])]) for i in range(a, a + 3)]))
+        parts[a : a + 3] = [[]] * 3
+    tables[0][2] = np.concatenate([[0], np.cumsum(tables[0][2])])  # occurrences before each string
+    return own, tables
+
+
 class Trees:
     """A group of finished buckets, ready to score strings."""
 
-    def __init__(self, buckets: dict[int, list[bytes]], top: Top, total: int, depth: int):
-        self.top, self.total, self.depth, self.own = top, total, depth, np.zeros(total, bool)
-        self.own[list(buckets)] = True
-        kinds = [np.uint64, np.float32] + [np.uint64, np.float32, np.float32] * (depth - 1)
-        joined = [np.concatenate([np.frombuffer(b[i], k) for b in buckets.values()] or [np.zeros(0, k)]) for i, k in enumerate(kinds)]
-        self.grams, self.values = self._sorted(joined[:2])
-        self.levels = [(depth - i, *self._sorted(joined[2 + 3 * i : 5 + 3 * i])) for i in range(depth - 1)]
+    def __init__(self, joined: tuple[np.ndarray, list[list[np.ndarray]]], top: Top, depth: int):
+        self.top, self.depth, (self.own, tables) = top, depth, joined
+        self.grams, self.values, self.before = tables[0]
+        self.levels = [(depth - 1 - i, *t) for i, t in enumerate(tables[1:])]
         self.new_keys, self.new_values = np.zeros(0, np.uint64), np.zeros(0, np.float32)
 
-    @staticmethod
-    def _sorted(arrays: list[np.ndarray]) -> list[np.ndarray]:
-        order = np.argsort(arrays[0])
-        return [a[order] for a in arrays]
-
     @staticmethod
     def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(keys, wanted), max(0, keys.size - 1))
@@ -229,7 +245,11 @@ class Trees:
         """Scores of strings that training did not hold: mixed from the deepest node that it did."""
         z, bit = _bits(grams & np.uint64(255))
         ctx, z = np.broadcast_to(grams >> np.uint64(8), z.shape).ravel(), z.ravel()
-        p, have = np.zeros(z.size), np.zeros(z.size, bool)
+        left = np.uint64(8) - np.repeat(np.arange(8, dtype=np.uint64), grams.size)  # bits that are open at each decision
+        low = (ctx << np.uint64(8)) | ((z << left) & np.uint64(255))
+        edges = [self.before[np.searchsorted(self.grams, low + ((half << left) >> np.uint64(1)))] for half in (np.uint64(0), np.uint64(1), np.uint64(2))]
+        n0, n1 = edges[1] - edges[0], edges[2] - edges[1]
+        have, p = n0 + n1 > 0, (n1 + 0.5) / (n0 + n1 + 1.0)
         for d, keys, est, stop in self.levels:
             at, hit = self._find(keys, ((ctx & np.uint64((1 << (8 * d)) - 1)) << np.uint64(8)) | z)
             at = at[hit]
@@ -242,7 +262,7 @@ class Trees:
         h, first = byte_strings(texts, self.depth)
         u = np.unique(h)
         value = np.zeros(u.size)
-        mine = np.flatnonzero(self.own[bucket_of(u, self.total)])
+        mine = np.flatnonzero(self.own[bucket_of(u, self.own.size)])
         at, hit = self._find(self.grams, u[mine])
         value[mine[hit]] = self.values[at[hit]]
         rest = mine[~hit]
@@ -251,59 +271,58 @@ class Trees:
         rest = rest[~hit]
         if rest.size:
             value[rest] = self._unseen(u[rest])
-            if self.new_keys.size < 1 << 20:  # remembered, to a bound
-                self.new_keys, self.new_values = self._sorted([np.append(self.new_keys, u[rest]), np.append(self.new_values, value[rest])])
+            if self.new_keys.size < 1 << 19:  # remembered, to a bound
+                place = np.searchsorted(self.new_keys, u[rest])
+                self.new_keys, self.new_values = np.insert(self.new_keys, place, u[rest]), np.insert(self.new_values, place, value[rest])
         return np.add.reduceat(value[np.searchsorted(u, h)], first)
 
 
-def _scoring(shared, top, total: int, depth: int):
-    @F.arrow_udf("double")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        trees = Trees(shared.value, top.value, total, depth)
-        for texts in batches:
-            out = [trees.score(block) for block in _blocks([_folded(t) for t in texts.to_pylist()])]
-            yield pa.array(np.concatenate([*out, np.zeros(0)]), pa.float64())
-
-    return run
-
-
-def _word_scoring(shared, group: int, groups: int, total: float, distinct: float):
-    """Of the words whose hash is in a group: the sum of log10 probabilities, how many there are and how many are known."""
-
-    @F.arrow_udf("sum double, n long, known long")
+class Words:
+    """A group of the word counts, ready to score words."""
+
+    def __init__(self, table: tuple[np.ndarray, np.ndarray], group: int, groups: int, total: float, distinct: float):
+        (self.keys, self.counts), self.group, self.groups = table, group, groups
+        self.norm = math.log10(total + 0.5 * (distinct + 1))
+
+    def score(self, texts: list[bytes], train: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text's words in this group: the sum of log10 probabilities, how many there are and how many are known."""
+        number: dict[bytes, int] = {}
+        tokens = [[number.setdefault(w, len(number)) for w in (*t.split(), END_WORD)] for t in texts]
+        sizes = np.array([len(t) for t in tokens], np.int64)
+        flat, first = np.fromiter((i for t in tokens for i in t), np.int64, int(sizes.sum())), np.cumsum(sizes) - sizes
+        h = np.fromiter(map(_word_hash, number), np.uint64, len(number))
+        order = np.argsort(h)  # wanted in order, they are found faster
+        at = np.empty(h.size, np.int64)
+        at[order] = np.minimum(np.searchsorted(self.keys, h[order]), max(0, self.keys.size - 1))
+        hit = self.keys[at] == h if self.keys.size else np.zeros(h.size, bool)
+        mine = h.view(np.int64) % self.groups == self.group  # by the signed hash, as Spark holds it
+        # a word without an entry is in its own text alone: once if that is a training text, else never
+        count = np.where(hit, self.counts[at], 0) if self.keys.size else np.zeros(h.size, np.int64)
+        own = np.repeat(np.array(train, bool), sizes)
+        in_train, elsewhere = np.where(hit, count, 1), count
+        value = np.where(own, np.log10(in_train + 0.5)[flat], np.log10(elsewhere + 0.5)[flat]) - self.norm
+        use = mine[flat]
+        add = lambda x: np.add.reduceat(x, first) if first.size else np.zeros(0)
+        return add(np.where(use, value, 0.0)), add(use.astype(np.int64)), add((use & (own | (elsewhere > 0)[flat])).astype(np.int64))
+
+
+def _scoring(trees, top, words, depth: int, group: int, groups: int, total: float, distinct: float):
+    """A document's parts of both scores from one group of each table; None: no such group. One function, so that one worker holds both."""
+
+    @F.arrow_udf("score double, sum double, n long, known long")
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        keys, counts = shared.value
-        norm, seen = math.log10(total + 0.5 * (distinct + 1)), {}
-
-        def look(word: bytes) -> tuple[float, float, int]:
-            """What a word adds in a training text, in another text, and whether the latter counts as known (0: no, 1: yes, 2: another group)."""
-            h = _word_hash(word)
-            if (h - (1 << 64) if h >> 63 else h) % groups != group:  # by the signed hash, as Spark holds it
-                return 0.0, 0.0, 2
-            at = int(np.searchsorted(keys, np.uint64(h)))
-            if at < keys.size and keys[at] == h:
-                x = math.log10(counts[at] + 0.5) - norm
-                return x, x, int(counts[at] > 0)
-            return math.log10(1.5) - norm, math.log10(0.5) - norm, 0  # in its own text alone: once in a training text, else never
-
+        tree = Trees(trees.value, top.value, depth) if trees else None
+        word = Words(words.value, group, groups, total, distinct) if words else None
         for texts, train in batches:
-            if len(seen) > 1 << 20:
-                seen = {}
-            sums, ns, known = [], [], []
-            for text, own in zip(texts.to_pylist(), train.to_pylist(), strict=True):
-                s, n, k = [], 0, 0
-                for w in (*_folded(text).split(), END_WORD):
-                    x = seen.get(w)
-                    if x is None:
-                        x = seen[w] = look(w)
-                    if x[2] != 2:
-                        s.append(x[0] if own else x[1])
-                        n += 1
-                        k += own or x[2]
-                sums.append(math.fsum(s))
-                ns.append(n)
-                known.append(k)
-            yield pa.StructArray.from_arrays([pa.array(sums, pa.float64()), pa.array(ns, pa.int64()), pa.array(known, pa.int64())], names=["sum", "n", "known"])
+            scores, counts = [], []
+            for at in range(0, len(texts), SCORE_ROWS):
+                folded = [_folded(t) for t in texts.slice(at, SCORE_ROWS).to_pylist()]
+                scores += [tree.score(block) if tree else np.zeros(len(block)) for block in _blocks(folded)]
+                own = train.slice(at, SCORE_ROWS).to_pylist()
+                counts.append(word.score(folded, own) if word else (np.zeros(len(folded)), *[np.zeros(len(folded), np.int64)] * 2))
+            sums, ns, known = (np.concatenate([*(c[i] for c in counts), np.zeros(0)]) for i in range(3))
+            columns = [pa.array(np.concatenate([*scores, np.zeros(0)])), pa.array(sums), pa.array(ns.astype(np.int64)), pa.array(known.astype(np.int64))]
+            yield pa.StructArray.from_arrays(columns, names=["score", "sum", "n", "known"])
 
     return run
 
@@ -335,22 +354,19 @@ def score(docs: DataFrame, train: Column, depth: int = DEPTH, group_grams: int =
     built = dealt.applyInArrow(_build(top, depth), "bucket int, parts array<binary>")
     groups = max(1, -(-size.grams // group_grams))
     built = cut(built) if groups > 1 else built
-    out, total = docs.withColumns({"__own": own, "score": F.lit(0.0)}), F.lit(0.0)
-    for g in range(groups):
-        rows = built.where(F.pmod("bucket", F.lit(groups)) == g).toLocalIterator()
-        part = spark.sparkContext.broadcast({r.bucket: [bytes(x) for x in r.parts] for r in rows})
-        total = total + _scoring(part, top, buckets, depth)(text)
     kept = sums.where("kind = 1 and (train > 1 or train = 1 and other > 0)").select("key", "train")
     word_groups = max(1, -(-size.words // group_words))
-    tokens, n_words = float(size.tokens or 0), float(size.distinct or 0)
-    parts = []
-    for g in range(word_groups):
-        t = kept.where(F.pmod("key", F.lit(word_groups)) == g).toArrow()
-        keys, counts = t["key"].to_numpy().view(np.uint64), t["train"].to_numpy()
-        order = np.argsort(keys)
-        part = spark.sparkContext.broadcast((keys[order], counts[order]))
-        parts.append(_word_scoring(part, g, word_groups, tokens, n_words)(text, F.col("__own")))
-    out = out.withColumns({"__s": total} | {f"__w{g}": p for g, p in enumerate(parts)})
-    add = lambda c: sum((F.col(f"__w{g}.{c}") for g in range(1, word_groups)), F.col(f"__w0.{c}"))
-    out = out.withColumns({"n_tokens": add("n"), "n_known": add("known"), "train_tokens": F.lit(int(tokens)).cast("long"), "base_score": add("sum"), "score": F.col("__s")})
-    return out.drop("__own", "__s", *[f"__w{g}" for g in range(word_groups)])
+    tokens, n_words, parts = float(size.tokens or 0), float(size.distinct or 0), []
+    for g in range(max(groups, word_groups)):
+        trees = counts = None
+        if g < groups:
+            trees = spark.sparkContext.broadcast(join_buckets(built.where(F.pmod("bucket", F.lit(groups)) == g).toLocalIterator(), buckets, depth))
+        if g < word_groups:
+            t = kept.where(F.pmod("key", F.lit(word_groups)) == g).toArrow()
+            counts = spark.sparkContext.broadcast(tuple(_sorted([t["key"].to_numpy().view(np.uint64), t["train"].to_numpy()])))
+        parts.append(_scoring(trees, top, counts, depth, g, word_groups, tokens, n_words)(text, F.col("__own")))
+    names = [f"__p{g}" for g in range(len(parts))]
+    out = docs.withColumn("__own", own).withColumns(dict(zip(names, parts, strict=True)))
+    add = lambda c: sum((F.col(f"{p}.{c}") for p in names[1:]), F.col(f"{names[0]}.{c}"))
+    out = out.withColumns({"n_tokens": add("n"), "n_known": add("known"), "train_tokens": F.lit(int(tokens)).cast("long"), "base_score": add("sum"), "score": add("score")})
+    return out.drop("__own", *names)
