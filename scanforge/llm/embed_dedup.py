@@ -7,8 +7,11 @@ each shard searches its part of the united graph for all its nodes, greedily fro
 where that ends it expands over all neighbours within a range wider than the threshold. What it finds is
 verified in double precision.
 
-A pair that shares several shards is counted in the first of them alone. Only counts and a spanning
-forest of the links leave a task, so a group of n near copies makes n rows, not n squared.
+A pair that shares several shards is counted in the first of them alone. A pair that shares none is found
+in the nearest shard of either side: a vector visits every further shard whose own vectors (those nearest to
+its centre) the angle of the threshold does not rule out, and is compared with all of them there. Only
+counts and a spanning forest of the links leave a task, so a group of n near copies makes n rows, not n
+squared.
 """
 
 from __future__ import annotations
@@ -33,31 +36,53 @@ SAMPLE_EACH, SAMPLE_MAX, ROUNDS = 20, 100_000, 6
 CANDIDATES, DEGREE, ALPHA, ENTRIES, RANGE = 64, 24, 1.2, 4, 0.12
 #: Queries that search at a time.
 BLOCK = 256
+#: Visitors of a shard that one task compares, on average.
+VISITORS = 16_384
 
 
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _assign(centres: dict[tuple[int, int], tuple[int, np.ndarray]], overlap: int):
-    """Rows (id, label, x) -> the same with `shards`: the numbers of the nearest centres of the label, nearest first."""
+def _assign(centres: dict[tuple[int, int], tuple[int, np.ndarray]], overlap: int, threshold: float):
+    """Rows (id, label, x, n) -> the same with `shards`, the numbers of the nearest centres of the label, nearest first; `home`, the
+    cosine to the nearest; `visits` and `cosines`: further centres that may be nearest to a vector within the threshold."""
+    limit = math.sqrt(1 - threshold * threshold) if threshold > 0 else 2.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = centres.value if hasattr(centres, "value") else centres
         for batch in batches:
             labels, vectors = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             out: list[list[int]] = [[0]] * len(labels)
+            home, visits, cosines = np.zeros(len(labels)), [[] for _ in labels], [[] for _ in labels]
             groups: dict[tuple[int, int], list[int]] = {}
             for i, (label, v) in enumerate(zip(labels, vectors, strict=True)):
                 groups.setdefault((label, len(v)), []).append(i)
-            for key, rows in groups.items():
+            for key, every in groups.items():
                 first, own = known[key]
-                near = unit(np.array([vectors[i] for i in rows])) @ own.T
-                k = min(overlap, own.shape[0])
-                best = np.argsort(-near, axis=1, kind="stable")[:, :k] + first
-                for i, b in zip(rows, best.tolist(), strict=True):
-                    out[i] = b
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], names=[*batch.schema.names, "shards"])
+                step = max(1, (1 << 21) // own.shape[0])
+                for rows in (every[at : at + step] for at in range(0, len(every), step)):
+                    near = unit(np.array([vectors[i] for i in rows])) @ own.T
+                    k = min(overlap, own.shape[0])
+                    best = np.argsort(-near, axis=1, kind="stable")[:, :k]
+                    home[rows] = near[np.arange(len(rows)), best[:, 0]]
+                    for i, b in zip(rows, (best + first).tolist(), strict=True):
+                        out[i] = b
+                    # a vector nearest to another centre lies beyond the plane between that centre and each of these
+                    mine, of = np.unique(best[:, 0], return_inverse=True)
+                    apart = np.sqrt(np.maximum(0, 2 - 2 * (own[mine] @ own.T)))
+                    far = home[rows][:, None] - near > limit * apart[of] + 1e-9
+                    np.put_along_axis(far, best, True, axis=1)
+                    r, c = np.nonzero(~far)
+                    for t in range(1, k):
+                        other = best[r, t]
+                        keep = near[r, other] - near[r, c] <= limit * np.linalg.norm(own[other] - own[c], axis=1) + 1e-9
+                        r, c = r[keep], c[keep]
+                    for i, j, cosine in zip(r.tolist(), (c + first).tolist(), near[r, c].tolist(), strict=True):
+                        visits[rows[i]].append(j)
+                        cosines[rows[i]].append(cosine)
+            more = [pa.array(out, pa.list_(pa.int32())), pa.array(home), pa.array(visits, pa.list_(pa.int32())), pa.array(cosines, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "shards", "home", "visits", "cosines"])
 
     return run
 
@@ -200,6 +225,65 @@ def _find(threshold: float):
     return run
 
 
+def _shard_sets(table: pa.Table) -> np.ndarray:
+    lists = table["shards"].to_pylist()
+    sets = np.full((len(lists), max(map(len, lists))), -1)
+    for i, s in enumerate(lists):
+        sets[i, : len(s)] = s
+    return sets
+
+
+def _across(threshold: float):
+    """Links of visitors with the shard's own vectors, as far as the two share no shard. Both sides visit, so each counts for the visitor alone."""
+
+    def run(visitors: pa.Table, own: pa.Table) -> pa.Table:
+        own, out = own.rename_columns([c.removeprefix("own_") for c in own.column_names]), ([], [], [])
+        if visitors.num_rows and own.num_rows:
+            (qi, oi), (qs, os) = ((t["id"].to_numpy() for t in (visitors, own)), (_shard_sets(t) for t in (visitors, own)))
+            q, o = (np.array(t["x"].to_pylist(), float) for t in (visitors, own))
+            qn, on = (np.sqrt((x * x).sum(axis=1)) for x in (q, o))
+            size, label, ou = own["n"].to_numpy(), np.arange(len(oi)), unit(o)
+            for at in range(0, len(qi), BLOCK):
+                a, b = np.nonzero(unit(q[at : at + BLOCK]) @ ou.T >= threshold - 1e-6)
+                a += at
+                real = np.zeros(a.size, bool)
+                for i in range(0, a.size, 1 << 16):
+                    c, d = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
+                    common = ((qs[c][:, :, None] == os[d][:, None, :]) & (qs[c][:, :, None] >= 0)).any(axis=(1, 2))
+                    real[i : i + (1 << 16)] = ~common & ((q[c] * o[d]).sum(axis=1) / (qn[c] * on[d]) >= threshold)
+                a, b = a[real], b[real]
+                if not a.size:
+                    continue
+                rows, starts = np.unique(a, return_index=True)
+                for i, hits in zip(rows.tolist(), np.split(b, starts[1:]), strict=True):
+                    out[0].append(qi[i])
+                    out[1].append(qi[i])
+                    out[2].append(size[hits].sum())
+                    groups, first = np.unique(label[hits], return_index=True)  # one link to each group that this row joins
+                    out[0].extend([qi[i]] * groups.size)
+                    out[1].extend(oi[hits[first]].tolist())
+                    out[2].extend([0] * groups.size)
+                    if groups.size > 1:
+                        label[np.isin(label, groups)] = groups[0]
+        return pa.table([pa.array(np.array(x, np.int64)) for x in out], names=["a", "b", "links"])
+
+    return run
+
+
+def _visits(dealt: DataFrame, threshold: float, most: int) -> DataFrame:
+    """Rows (a, b, links) of pairs that share no shard, from the nearest shard of either side."""
+    own = dealt.select(F.col("shards")[0].alias("shard"), "id", "x", "n", "shards")
+    widest = dealt.groupBy(F.col("shards")[0].alias("shard")).agg(F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.min("home")))).alias("radius"))
+    seen = dealt.select("id", "x", "shards", F.explode(F.arrays_zip("visits", "cosines")).alias("v")).select("id", "x", "shards", F.col("v.visits").alias("shard"), F.col("v.cosines").alias("cosine"))
+    reach = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("cosine")))) <= F.col("radius") + math.acos(threshold) + 1e-6
+    seen = seen.join(F.broadcast(widest), "shard").where(reach)  # MAX_CENTRES rows and one more for each label at most
+    parts = seen.groupBy("shard").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
+    parts = F.broadcast(cut(parts))
+    seen = seen.join(parts, "shard").select("shard", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "x", "shards")
+    own = own.join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("own_id"), F.col("x").alias("own_x"), F.col("n").alias("own_n"), F.col("shards").alias("own_shards"))
+    return seen.groupBy("shard", "part").cogroup(own.groupBy("shard", "part")).applyInArrow(_across(threshold), "a long, b long, links long")
+
+
 def _by_block(found: Iterator[tuple[np.ndarray, np.ndarray]], n: int) -> Iterator[np.ndarray]:
     """Each unordered pair once, as smaller * n + larger, whichever side found it."""
     seen = np.zeros(0, np.int64)
@@ -241,13 +325,14 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, shard: int =
     rows = cut(rows.withColumn("usable", usable))
     nodes = cut(rows.where("usable").groupBy("label", "x").agg(F.min("vec_id").cast("long").alias("id"), F.count("*").alias("n")))
     shared = vectors.sparkSession.sparkContext.broadcast(centres(nodes, shard, MAX_CENTRES))
-    dealt = nodes.select("id", "label", "x", "n").mapInArrow(_assign(shared, overlap), "id long, label long, x array<double>, n long, shards array<int>")
+    dealt = nodes.select("id", "label", "x", "n").mapInArrow(_assign(shared, overlap, threshold), "id long, label long, x array<double>, n long, shards array<int>, home double, visits array<int>, cosines array<double>")
     dealt = cut(dealt)
-    members = dealt.withColumn("shard", F.explode("shards"))
+    members = dealt.select("id", "x", "n", "shards", F.explode("shards").alias("shard"))
     graph = members.select("shard", "id", "x").groupBy("shard").applyInArrow(_graph, "id long, near array<long>")
     united = graph.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # at most `overlap` lists of DEGREE each
     ready = members.join(united, "id").select("shard", "id", "x", "n", "shards", "near")
-    found = cut(ready.groupBy("shard").applyInArrow(_find(threshold), "a long, b long, links long"))
+    found = ready.groupBy("shard").applyInArrow(_find(threshold), "a long, b long, links long")
+    found = cut(found.unionByName(_visits(dealt, threshold, VISITORS)))
     counts = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     roots = components(found.where("a <> b"), "a", "b").withColumnRenamed("node", "node2")
     known = nodes.join(counts, F.col("id") == F.col("node"), "left").join(roots, F.col("id") == F.col("node2"), "left")

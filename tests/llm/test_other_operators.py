@@ -93,6 +93,19 @@ def test_vectors(spark):
     assert embed_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_many_shards(spark):
+    rng = np.random.default_rng(8)
+    tight, wide = rng.normal(size=16), rng.normal(size=(40, 16))
+    x = [tight + rng.normal(size=16) * 0.12 for _ in range(300)]  # a dense group, larger than a shard
+    x += [wide[i % 40] + rng.normal(size=16) * 0.2 for i in range(900)]
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in embed_dedup.near_vectors(df, shard=15).collect()}
+    u = np.array(x) / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.93) & ~np.eye(len(x), dtype=bool)
+    assert near[:300, :300].mean() > 0.9 and sum(got[i].n_links for i in range(len(x))) >= 0.995 * near.sum()
+    assert all(got[i].n_links <= near[i].sum() for i in range(len(x))) and len({got[i].component_id for i in range(300)}) == 1
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(4)
     body = lambda n=60: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
