@@ -129,3 +129,19 @@ def test_pipeline(spark, tmp_path):
     assert 100 not in seen["simhash_dedup"] and len(seen["simhash_dedup"]) == 63
     assert set(seen["simhash_dedup"]) - set(seen["decontamination"]) == {101}
     assert 0 < len(seen["mixing"]) <= 62
+
+
+def test_pipeline_near_copies(spark):
+    rng = random.Random(6)
+    docs, want = [], {}
+    for i in range(60):
+        w = [f"w{rng.randrange(9000)}" for _ in range(400)]
+        copy = list(w)
+        for at in rng.sample(range(400), 1 + i % 12):
+            copy[at] = "changed"
+        a, b = ({tuple(x[k : k + 5]) for k in range(396)} for x in (w, copy))
+        docs += [(2 * i, " ".join(w), "en", "s", 0), (2 * i + 1, " ".join(copy), "en", "s", 0)]
+        want[2 * i + 1] = len(a & b) / len(a | b)
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()}
+    assert min(want.values()) < 0.8 and kept == {2 * i for i in range(60)} | {i for i, j in want.items() if j < 0.8}
