@@ -145,3 +145,13 @@ def test_pipeline_near_copies(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()}
     assert min(want.values()) < 0.8 and kept == {2 * i for i in range(60)} | {i for i, j in want.items() if j < 0.8}
+
+
+def test_pipeline_judges_rows_not_ids(spark):
+    rng = random.Random(7)
+    body = lambda: " ".join(f"w{rng.randrange(9000)}" for _ in range(60))
+    a, b, c, d, e = (body() for _ in range(5))
+    docs = [(1, a, "en", "s", 0), (2, a, "en", "s", 0), (2, b, "en", "s", 0), (3, c, "en", "s", 0), (3, d, "en", "s", 0), (None, e, "en", "s", 0), (None, body(), "en", "s", 0), (None, a, "en", "s", 0)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()]
+    assert sorted(kept, key=str) == sorted([docs[i][:2] for i in (0, 2, 3, 4, 5, 6)], key=str)
