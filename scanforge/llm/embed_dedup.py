@@ -1,312 +1,295 @@
 """Embedding near-duplicates by search in a robust-pruned flat graph.
 
-Equal vectors of a label are one node from here on. Nodes are dealt to overlapping shards, those of their
-nearest cluster centres. Each shard builds a graph: near neighbours, pruned so that an edge is dropped
-where a shorter way over a kept neighbour exists. The shards' adjacency lists of a node are united. Then
-each shard searches its part of the united graph for all its nodes, greedily from its medoids, and from
-where that ends it expands over all neighbours within a range wider than the threshold. What it finds is
-verified in double precision.
-
-A pair that shares several shards is counted in the first of them alone. A pair that shares none is found
-in the nearest shard of either side: a vector visits every further shard whose own vectors (those nearest to
-its centre) the angle of the threshold does not rule out, and is compared with all of them there. Only
-counts and a spanning forest of the links leave a task, so a group of n near copies makes n rows, not n
-squared.
+Equal vectors of a label are one node from here on. Nodes are dealt to overlapping shards by a tree of
+cluster centres that is fitted level by level on Spark, until a shard is the nearest one of no more than
+about twice SHARD nodes; a node is a member of its OVERLAP nearest shards, whatever the size of the table.
+Each shard builds a graph over its members: near neighbours, pruned so that an edge is dropped where a
+shorter way over a kept neighbour exists. The adjacency lists of a node are united over its shards.
+
+Each node then searches the united graph, greedily from its shards' medoids, and from where that ends and
+from its own place it expands over all nodes within a range wider than the threshold. Where the search meets
+a node that belongs to a shard the query has not been to, the query goes there in the next round, until no
+round finds a new shard. A query and the nearest shard of a node that it found, in whatever shard, make one
+row: all nodes of that shard are then compared with the query in double precision, so no link that the search
+found is lost, and no pair leaves a task. Only counts and a spanning forest of the links do, so a group of n
+near copies makes n rows, not n squared.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 from .components import components
 
 THRESHOLD = 0.93
-#: Nodes of a shard on average, shards of a node, and centres at most; beyond that, shards grow.
-SHARD, OVERLAP, MAX_CENTRES = 1_500, 3, 16_384
-#: Vectors of the bounded sample that centres are fitted to, chosen by hash, for each centre and in all.
-SAMPLE_EACH, SAMPLE_MAX, ROUNDS = 20, 100_000, 6
-#: Candidate neighbours, edges of a node, slack of the pruning, entry points, and how far below the threshold to expand.
-CANDIDATES, DEGREE, ALPHA, ENTRIES, RANGE = 64, 24, 1.2, 4, 0.12
+#: Nodes that are to have a shard as their nearest (up to twice as many do), and shards of a node.
+SHARD, OVERLAP = 340, 3
+#: Centres that one cell of the tree is split into at most, nodes of the sample for each of them, rounds of the fit, levels.
+FAN, SAMPLE_EACH, ROUNDS, MAX_LEVELS = 64, 24, 8, 24
+#: Candidate neighbours, edges of a node, slack of the pruning, medoids of a shard, and how far below the threshold to expand.
+CANDIDATES, DEGREE, ALPHA, MEDOIDS, RANGE = 32, 16, 1.2, 8, 0.12
 #: Queries that search at a time.
 BLOCK = 256
-#: Visitors of a shard that one task compares, on average.
-VISITORS = 16_384
+#: Rows of a cell or queries of a shard that one task takes, on average.
+PART = 2_048
 
 
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _assign(centres: dict[tuple[int, int], tuple[int, np.ndarray]], overlap: int, threshold: float):
-    """Rows (id, label, x, n) -> the same with `shards`, the numbers of the nearest centres of the label, nearest first; `home`, the
-    cosine to the nearest; `visits` and `cosines`: further centres that may be nearest to a vector within the threshold."""
-    limit = math.sqrt(1 - threshold * threshold) if threshold > 0 else 2.0
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = centres.value if hasattr(centres, "value") else centres
-        for batch in batches:
-            labels, vectors = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            out: list[list[int]] = [[0]] * len(labels)
-            home, visits, cosines = np.zeros(len(labels)), [[] for _ in labels], [[] for _ in labels]
-            groups: dict[tuple[int, int], list[int]] = {}
-            for i, (label, v) in enumerate(zip(labels, vectors, strict=True)):
-                groups.setdefault((label, len(v)), []).append(i)
-            for key, every in groups.items():
-                first, own = known[key]
-                step = max(1, (1 << 21) // own.shape[0])
-                for rows in (every[at : at + step] for at in range(0, len(every), step)):
-                    near = unit(np.array([vectors[i] for i in rows])) @ own.T
-                    k = min(overlap, own.shape[0])
-                    best = np.argsort(-near, axis=1, kind="stable")[:, :k]
-                    home[rows] = near[np.arange(len(rows)), best[:, 0]]
-                    for i, b in zip(rows, (best + first).tolist(), strict=True):
-                        out[i] = b
-                    # a vector nearest to another centre lies beyond the plane between that centre and each of these
-                    mine, of = np.unique(best[:, 0], return_inverse=True)
-                    apart = np.sqrt(np.maximum(0, 2 - 2 * (own[mine] @ own.T)))
-                    far = home[rows][:, None] - near > limit * apart[of] + 1e-9
-                    np.put_along_axis(far, best, True, axis=1)
-                    r, c = np.nonzero(~far)
-                    for t in range(1, k):
-                        other = best[r, t]
-                        keep = near[r, other] - near[r, c] <= limit * np.linalg.norm(own[other] - own[c], axis=1) + 1e-9
-                        r, c = r[keep], c[keep]
-                    for i, j, cosine in zip(r.tolist(), (c + first).tolist(), near[r, c].tolist(), strict=True):
-                        visits[rows[i]].append(j)
-                        cosines[rows[i]].append(cosine)
-            more = [pa.array(out, pa.list_(pa.int32())), pa.array(home), pa.array(visits, pa.list_(pa.int32())), pa.array(cosines, pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "shards", "home", "visits", "cosines"])
+def _vectors(table: pa.Table, column: str = "x") -> np.ndarray:
+    """The vectors of a column, all of one length, without a Python object for each number."""
+    return table[column].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
 
-    return run
 
+def _lists(table: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """A column of lists as (row of each value, value)."""
+    c = table[column].combine_chunks()
+    return np.repeat(np.arange(len(c)), c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)), c.flatten().to_numpy(zero_copy_only=False)
 
-def centres(nodes: DataFrame, shard: int, limit: int) -> dict[tuple[int, int], tuple[int, np.ndarray]]:
-    """For each (label, dimension): the number of its first centre and its centres, by spherical k-means on a bounded sample."""
-    sizes = {(r.label, r.dim): r.n for r in nodes.groupBy("label", F.size("x").alias("dim")).agg(F.count("*").alias("n")).collect()}
-    total = sum(sizes.values())
-    scale = min(1.0, limit / max(1.0, total / shard))
-    wanted = {k: max(1, math.ceil(n / shard * scale)) for k, n in sizes.items()}
-    rate = min(1.0, SAMPLE_EACH * sum(wanted.values()) / max(1, total), SAMPLE_MAX / max(1, total))
-    rows = nodes.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(rate * (1 << 30)) + 1).select("label", "x").orderBy(F.xxhash64("x")).limit(2 * SAMPLE_MAX).collect()
-    by: dict[tuple[int, int], list] = {}
-    for r in rows:
-        by.setdefault((r.label, len(r.x)), []).append(r.x)
-    out, first = {}, 0
-    for key in sorted(wanted):
-        x = unit(np.array(by[key])) if key in by else np.eye(1, key[1])
-        c = x[: wanted[key]].copy()
-        for _ in range(ROUNDS):
-            own = np.argmax(x @ c.T, axis=1)
-            sums = np.zeros_like(c)
-            np.add.at(sums, own, x)
-            full = np.linalg.norm(sums, axis=1) > 0
-            c[full] = unit(sums[full])
-        out[key] = first, c
-        first += len(c)
-    return out
 
+def _kmeans(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
+    """Spherical k-means from k rows that are evenly spaced in the order given."""
+    c = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
+    for _ in range(rounds):
+        own = np.argmax(x @ c.T, axis=1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, own, x)
+        full = np.linalg.norm(sums, axis=1) > 1e-9
+        c[full] = unit(sums[full])
+    return c
+
+
+def _fit(table: pa.Table) -> pa.Table:
+    """One cell's sample -> its children: their numbers and centres."""
+    table = table.sort_by("h")
+    cell, k = table["cell"][0].as_py(), min(table["k"][0].as_py(), table.num_rows)
+    c = _kmeans(unit(_vectors(table)), k, ROUNDS)
+    numbers = [xxhash.xxh64_intdigest(f"{cell}/{j}") - (1 << 63) for j in range(k)]
+    return pa.table({"cell": pa.array([cell] * k), "child": pa.array(numbers), "centre": pa.array(list(c), pa.list_(pa.float64()))})
+
+
+def _assign(overlap: int):
+    """Members of a cell and its children -> each member's nearest children, with the cosine to their centres."""
+
+    def run(rows: pa.Table, children: pa.Table) -> pa.Table:
+        if not rows.num_rows or not children.num_rows:
+            return pa.table({"key": pa.array([], pa.int64()), "cell": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
+        key, h, child = rows["key"].to_numpy(), rows["h"].to_numpy(), children["child"].to_numpy()
+        near = unit(_vectors(rows)) @ _vectors(children, "centre").T
+        # directions that no centre tells apart are dealt evenly
+        near += 1e-12 * ((h[:, None] ^ child[None, :]) & 1023)
+        k = min(overlap, child.size)
+        best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        return pa.table({"key": pa.array(np.repeat(key, k)), "cell": pa.array(child[best].ravel()), "cosine": pa.array(np.take_along_axis(near, best, 1).ravel())})
 
-def build_graph(x: np.ndarray) -> list[np.ndarray]:
-    """Neighbours of each unit vector: the nearest, robustly pruned."""
-    n, out = len(x), []
+    return run
+
+
+def deal(nodes: DataFrame, shard: int = SHARD, overlap: int = OVERLAP) -> DataFrame:
+    """nodes (key, h, label, x, ...) with `shards`, the numbers of the node's nearest shards, and `home`, that of the nearest.
+
+    Every level splits the cells that are still the nearest of over 2 * shard nodes. Counts, samples and centres of a
+    cell are rows that are joined to it, so that nothing here grows on the driver or in a broadcast. Vectors of different
+    labels or lengths never share a shard.
+    """
+    x = nodes.select("key", "h", "x")
+    where = cut(nodes.select("key", F.xxhash64("label", F.size("x")).alias("cell"), F.lit(-2.0).alias("cosine")))
+    for _ in range(MAX_LEVELS):
+        home = where.groupBy("key").agg(F.max_by("cell", F.struct("cosine", "cell")).alias("cell"))
+        wide = home.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > 2 * shard)
+        wide = cut(wide.select("cell", "n", F.least(F.lit(FAN), F.ceil(F.col("n") / shard)).cast("int").alias("k"), F.ceil(F.col("n") * overlap / PART).cast("int").alias("parts")))
+        if wide.isEmpty():
+            break
+        members = where.join(wide, "cell").join(x, "key").select("cell", "key", "h", "x", "n", "k", "parts")
+        rate = F.col("k") * SAMPLE_EACH / F.col("n")
+        sample = members.where(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < rate * (1 << 30)).select("cell", "k", "h", "x")
+        children = cut(sample.groupBy("cell").applyInArrow(_fit, "cell long, child long, centre array<double>"))
+        rows = members.select("cell", F.pmod("h", F.col("parts")).cast("int").alias("part"), "key", "h", "x")
+        centres = children.join(wide.select("cell", "parts"), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "child", "centre")
+        moved = rows.groupBy("cell", "part").cogroup(centres.groupBy("cell", "part")).applyInArrow(_assign(overlap), "key long, cell long, cosine double")
+        both = where.join(children.select("cell").distinct(), "cell", "left_anti").unionByName(moved)
+        # overlap * overlap cells of a node at most
+        best = both.groupBy("key").agg(F.slice(F.sort_array(F.collect_list(F.struct("cosine", "cell")), asc=False), 1, overlap).alias("c"))
+        where = cut(best.select("key", F.inline("c")).select("key", "cell", "cosine"))
+    cells = where.groupBy("key").agg(F.collect_list("cell").alias("shards"), F.max_by("cell", F.struct("cosine", "cell")).alias("home"))
+    return nodes.join(cells, "key")
+
+
+def build_graph(x: np.ndarray) -> np.ndarray:
+    """Neighbours of each unit vector, a row of at most DEGREE with -1 behind: the nearest, robustly pruned."""
+    n = len(x)
     k = min(CANDIDATES, n - 1)
-    for at in range(0, n, BLOCK):
+    out = np.full((n, DEGREE), -1)
+    for at in range(0, n if k else 0, BLOCK):
         near = x[at : at + BLOCK] @ x.T
         rows = np.arange(len(near))
         near[rows, rows + at] = -2
-        best = np.argpartition(-near, k - 1, axis=1)[:, :k] if k else np.zeros((len(near), 0), int)
-        best = np.take_along_axis(best, np.argsort(-np.take_along_axis(near, best, 1), axis=1), 1)
-        if not k:
-            out.extend(np.zeros((len(near), 0), int))
-            continue
-        # all rows at once: the nearest open candidate is kept, and closes those that it is clearly nearer to than the row is
-        own = np.maximum(0, 2 - 2 * np.take_along_axis(near, best, 1))  # squared distances, nearest first
+        best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        close = np.take_along_axis(near, best, 1)
+        order = np.argsort(-close, axis=1)
+        best, own = np.take_along_axis(best, order, 1), np.maximum(0, 2 - 2 * np.take_along_axis(close, order, 1))  # squared distances, nearest first
         v = x[best]
-        between = ALPHA * ALPHA * np.maximum(0, 2 - 2 * (v @ v.transpose(0, 2, 1)))
-        alive, kept = np.ones(best.shape, bool), np.zeros(best.shape, bool)
+        between = np.matmul(v, v.transpose(0, 2, 1))
+        between *= -2 * ALPHA * ALPHA
+        between += 2 * ALPHA * ALPHA
+        # all rows at once: the nearest open candidate is kept, and closes those that it is clearly nearer to than the row is
+        alive, count = np.ones(best.shape, bool), np.zeros(len(near), int)
         for j in range(k):
-            kept[:, j] = alive[:, j] & (kept.sum(axis=1) < DEGREE)
-            alive &= (between[:, j] > own) | ~kept[:, j : j + 1]
-        out.extend(row[keep] for row, keep in zip(best, kept, strict=True))
+            keep = np.flatnonzero(alive[:, j] & (count < DEGREE))
+            out[at + keep, count[keep]] = best[keep, j]
+            count[keep] += 1
+            alive[keep] &= between[keep, j] > own[keep]
     return out
 
 
-def search(x: np.ndarray, edges: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (query, node) of unit vectors x that a search of the graph finds at the threshold or nearly so.
+def medoids(x: np.ndarray, k: int = MEDOIDS) -> np.ndarray:
+    """Members nearest to the centres of a few clusters of the shard."""
+    c = _kmeans(x, min(k, len(x)), 3)
+    return np.unique(np.argmax(c @ x.T, axis=1))
+
+
+def search(x: np.ndarray, edges: np.ndarray, q: np.ndarray, own: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Triples (query, node, cosine) of what a search of the graph meets with a cosine of `least` or more.
 
-    edges: a row of neighbours for each node, -1 where there are fewer.
+    x: unit vectors of the nodes; edges: a row of neighbours for each, -1 behind; q: unit vectors of the queries;
+    own: a query's own node, -1 for none.
     """
-    n = len(x)
-    mean = x.mean(axis=0)
-    entries = np.unique(np.append(np.argsort(-(x @ mean))[:1], np.linspace(0, n - 1, ENTRIES).astype(int)))
-    for at in range(0, n, BLOCK):
-        q = np.arange(at, min(n, at + BLOCK))
-        # greedy: from the best entry to the best neighbour, as long as that is nearer
-        score = x[q] @ x[entries].T
-        now, best, active = entries[np.argmax(score, axis=1)], score.max(axis=1), np.ones(len(q), bool)
-        while active.any():
-            rows = np.flatnonzero(active)
+    n, entries = len(x), medoids(x)
+    for at in range(0, len(q), BLOCK):
+        own_q, here = q[at : at + BLOCK], own[at : at + BLOCK]
+        # greedy: from the best medoid to the best neighbour, as long as that is nearer
+        score = own_q @ x[entries].T
+        now, best, rows = entries[np.argmax(score, axis=1)], score.max(axis=1), np.arange(len(own_q))
+        while rows.size:
             near = edges[now[rows]]
-            s = np.where(near >= 0, np.einsum("qd,qkd->qk", x[q[rows]], x[near]), -2)
+            s = np.where(near >= 0, np.matmul(x[near], own_q[rows][:, :, None])[:, :, 0], -2)
             j = np.argmax(s, axis=1)
-            better = s[np.arange(len(rows)), j] > best[rows]
-            active[rows[~better]] = False
-            rows, j, near, s = rows[better], j[better], near[better], s[better]
-            now[rows], best[rows] = near[np.arange(len(rows)), j], s[np.arange(len(rows)), j]
-        # expand: over everything within the range, from there and from the query's own node
-        visited = np.zeros((len(q), n), bool)
-        qs, vs = np.concatenate([np.arange(len(q))] * 2), np.concatenate([now, q])
-        while qs.size:
-            new = ~visited[qs, vs]
-            key = np.unique(qs[new] * n + vs[new])
-            qs, vs = key // n, key % n
-            visited[qs, vs] = True
-            near = np.concatenate([np.einsum("pd,pd->p", x[q[qs[i : i + 65536]]], x[vs[i : i + 65536]]) for i in range(0, qs.size, 65536)] or [np.zeros(0)])
-            hit = near >= threshold - 1e-6
-            yield q[qs[hit]], vs[hit]
-            go = near >= threshold - RANGE
-            qs, vs = qs[go], vs[go]
+            top = s[np.arange(rows.size), j]
+            better = top > best[rows]
+            rows, j, near, top = rows[better], j[better], near[better], top[better]
+            now[rows], best[rows] = near[np.arange(rows.size), j], top
+        # expand: over everything within the range, from there and from the query's own place
+        visited = np.zeros(len(own_q) * n, bool)
+        known = np.flatnonzero(here >= 0)
+        key = np.concatenate([np.arange(len(own_q)) * n + now, known * n + here[known]])
+        while key.size:
+            key = np.unique(key[~visited[key]])
+            visited[key] = True
+            qs, vs = np.divmod(key, n)
+            near = np.concatenate([np.einsum("pd,pd->p", own_q[qs[i : i + 65536]], x[vs[i : i + 65536]]) for i in range(0, qs.size, 65536)] or [np.zeros(0)])
+            go = near >= least
+            qs, vs, near = qs[go], vs[go], near[go]
+            yield qs + at, vs, near
             wide = edges[vs]
-            qs, vs = np.repeat(qs, wide.shape[1])[wide.ravel() >= 0], wide.ravel()[wide.ravel() >= 0]
+            q2, v2 = np.repeat(qs, wide.shape[1]), wide.ravel()
+            key = (q2 * n + v2)[v2 >= 0]
 
 
 def _graph(table: pa.Table) -> pa.Table:
     """One shard's adjacency lists."""
-    ids, x = _read(table)
-    lists = [ids[e] for e in build_graph(x)]
-    return pa.table({"id": pa.array(ids), "near": pa.array(lists, pa.list_(pa.int64()))})
-
-
-def _read(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(table["id"].to_numpy(), kind="stable")
-    return table["id"].to_numpy()[order], unit(np.array(table["x"].to_pylist(), float)[order])
-
-
-def _find(threshold: float):
-    def run(table: pa.Table) -> pa.Table:
-        ids, x = _read(table)
-        order = np.argsort(table["id"].to_numpy(), kind="stable")
-        raw = np.array(table["x"].to_pylist(), float)[order]
-        norm = np.sqrt((raw * raw).sum(axis=1))
-        size = table["n"].to_numpy()[order]
-        lists, shards, shard = table["near"].take(pa.array(order)).to_pylist(), table["shards"].take(pa.array(order)).to_pylist(), table["shard"][0].as_py()
-        place = {i: k for k, i in enumerate(ids.tolist())}
-        edges = [[place[v] for v in own or () if v in place] for own in lists]
-        flat = np.full((len(ids), max(1, max(map(len, edges)))), -1)
-        for i, e in enumerate(edges):
-            flat[i, : len(e)] = e
-        sets = np.full((len(ids), max(map(len, shards))), -1)
-        for i, s in enumerate(shards):
-            sets[i, : len(s)] = sorted(s)
-        links, label, pairs = np.zeros(len(ids), np.int64), np.arange(len(ids)), ([], [])
-        for block in _by_block(search(x, flat, threshold), len(ids)):
-            a, b = block // len(ids), block % len(ids)
-            common = np.where((sets[a][:, :, None] == sets[b][:, None, :]) & (sets[a][:, :, None] >= 0), sets[a][:, :, None], 1 << 40).min(axis=(1, 2))
-            real = (common == shard) & ((raw[a] * raw[b]).sum(axis=1) / (norm[a] * norm[b]) >= threshold)
-            a, b = a[real], b[real]
-            np.add.at(links, a, size[b])
-            np.add.at(links, b, size[a])
-            for i, j in zip(a.tolist(), b.tolist(), strict=True) if a.size < 64 else _spanning(a, b, label):
-                if label[i] != label[j]:
-                    pairs[0].append(i)
-                    pairs[1].append(j)
-                    label[label == max(label[i], label[j])] = min(label[i], label[j])
-        rows = np.flatnonzero(links)
-        a, b = (ids[np.array(p, np.int64)] for p in pairs)
-        return pa.table({"a": pa.array(np.concatenate([ids[rows], a])), "b": pa.array(np.concatenate([ids[rows], b])), "links": pa.array(np.concatenate([links[rows], np.zeros(len(a), np.int64)]))})
+    table = table.sort_by("key")
+    key, edges = table["key"].to_numpy(), build_graph(unit(_vectors(table)).astype(np.float32))
+    lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum((edges >= 0).sum(axis=1))]).astype(np.int32), pa.array(key[edges[edges >= 0]], pa.int64()))
+    return pa.table({"key": pa.array(key), "near": lists})
+
+
+def _visit(threshold: float):
+    """Queries search one shard -> rows (key, shard, kind): 0, a shard to verify the query in; 1, one to search next."""
+
+    def run(queries: pa.Table | None, members: pa.Table) -> pa.Table:
+        empty = pa.table({"key": pa.array([], pa.int64()), "shard": pa.array([], pa.int64()), "kind": pa.array([], pa.int32())})
+        if not members.num_rows or queries is not None and not queries.num_rows:
+            return empty
+        members = members.sort_by("key")
+        key, home, x = members["key"].to_numpy(), members["home"].to_numpy(), unit(_vectors(members)).astype(np.float32)
+        row, to = _lists(members, "near")
+        at = np.minimum(np.searchsorted(key, to), key.size - 1)
+        row, at = row[key[at] == to], at[key[at] == to]  # the united lists, as far as they stay in this shard
+        edges = np.full((key.size, max(1, int(np.bincount(row, minlength=1).max()))), -1)
+        edges[row, np.arange(row.size) - np.searchsorted(row, row)] = at
+        own = queries if queries is not None else members
+        q, q_home = (unit(_vectors(own)).astype(np.float32), own["home"].to_numpy()) if queries is not None else (x, home)
+        q_key = own["key"].to_numpy()
+        m_row, m_shard = _lists(members, "shards")
+        starts = np.searchsorted(m_row, np.arange(key.size + 1))
+        verify, further = [], []
+        for qs, vs, near in search(x, edges, q, np.arange(key.size) if queries is None else np.full(q_key.size, -1), threshold - RANGE):
+            other = q_key[qs] != key[vs]
+            qs, vs, near = qs[other], vs[other], near[other]
+            hit = near >= threshold - 1e-5
+            verify.append(np.stack([np.concatenate([q_key[qs[hit]], key[vs[hit]]]), np.concatenate([home[vs[hit]], q_home[qs[hit]]])]))
+            count = starts[vs + 1] - starts[vs]
+            more = np.repeat(starts[vs] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+            further.append(np.unique(np.stack([np.repeat(q_key[qs], count), m_shard[more]]), axis=1))
+            if len(verify) > 64:
+                verify, further = ([np.unique(np.concatenate(v, axis=1), axis=1)] for v in (verify, further))
+        verify, further = (np.unique(np.concatenate([*v, np.zeros((2, 0), np.int64)], axis=1), axis=1) for v in (verify, further))
+        # a query has been to its own shards already
+        o_row, o_shard = _lists(own, "shards")
+        mine = np.unique(np.stack([q_key[o_row], o_shard]), axis=1)
+        both, first, n = np.unique(np.concatenate([mine, further], axis=1), axis=1, return_index=True, return_counts=True)
+        further = both[:, (n == 1) & (first >= mine.shape[1])]
+        out = np.concatenate([verify, further], axis=1)
+        return pa.table({"key": pa.array(out[0].astype(np.int64)), "shard": pa.array(out[1].astype(np.int64)), "kind": pa.array(np.repeat([0, 1], [verify.shape[1], further.shape[1]]).astype(np.int32))})
 
     return run
 
 
-def _shard_sets(table: pa.Table) -> np.ndarray:
-    lists = table["shards"].to_pylist()
-    sets = np.full((len(lists), max(map(len, lists))), -1)
-    for i, s in enumerate(lists):
-        sets[i, : len(s)] = s
-    return sets
-
-
-def _across(threshold: float):
-    """Links of visitors with the shard's own vectors, as far as the two share no shard. Both sides visit, so each counts for the visitor alone."""
-
-    def run(visitors: pa.Table, own: pa.Table) -> pa.Table:
-        own, out = own.rename_columns([c.removeprefix("own_") for c in own.column_names]), ([], [], [])
-        if visitors.num_rows and own.num_rows:
-            (qi, oi), (qs, os) = ((t["id"].to_numpy() for t in (visitors, own)), (_shard_sets(t) for t in (visitors, own)))
-            q, o = (np.array(t["x"].to_pylist(), float) for t in (visitors, own))
-            qn, on = (np.sqrt((x * x).sum(axis=1)) for x in (q, o))
-            size, label, ou = own["n"].to_numpy(), np.arange(len(oi)), unit(o)
-            for at in range(0, len(qi), BLOCK):
-                a, b = np.nonzero(unit(q[at : at + BLOCK]) @ ou.T >= threshold - 1e-6)
-                a += at
-                real = np.zeros(a.size, bool)
-                for i in range(0, a.size, 1 << 16):
-                    c, d = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
-                    common = ((qs[c][:, :, None] == os[d][:, None, :]) & (qs[c][:, :, None] >= 0)).any(axis=(1, 2))
-                    real[i : i + (1 << 16)] = ~common & ((q[c] * o[d]).sum(axis=1) / (qn[c] * on[d]) >= threshold)
-                a, b = a[real], b[real]
-                if not a.size:
-                    continue
-                rows, starts = np.unique(a, return_index=True)
-                for i, hits in zip(rows.tolist(), np.split(b, starts[1:]), strict=True):
-                    out[0].append(qi[i])
-                    out[1].append(qi[i])
-                    out[2].append(size[hits].sum())
+def _verify(threshold: float):
+    """Links of queries with a shard's own nodes by cosine in double precision: rows (a, a, links) and, for the components, (a, b, 0)."""
+
+    def run(queries: pa.Table, block: pa.Table) -> pa.Table:
+        out = [], [], []
+        if queries.num_rows and block.num_rows:
+            queries, block = queries.sort_by("key"), block.sort_by("key")
+            (qk, bk), (q, b) = ([t["key"].to_numpy() for t in (queries, block)], [_vectors(t) for t in (queries, block)])
+            (qn, bn), n = ([np.sqrt((v * v).sum(axis=1)) for v in (q, b)], block["n"].to_numpy())
+            label, bu = np.arange(bk.size), b / bn[:, None]
+            for at in range(0, qk.size, BLOCK):
+                i, j = np.nonzero((q[at : at + BLOCK] / qn[at : at + BLOCK, None]) @ bu.T >= threshold - 1e-9)
+                i += at
+                real = np.concatenate([(q[i[s : s + 65536]] * b[j[s : s + 65536]]).sum(axis=1) / (qn[i[s : s + 65536]] * bn[j[s : s + 65536]]) >= threshold for s in range(0, i.size, 65536)] or [np.zeros(0, bool)])
+                real &= qk[i] != bk[j]
+                i, j = i[real], j[real]
+                for a, hits in zip(*_runs(i, j), strict=True):
                     groups, first = np.unique(label[hits], return_index=True)  # one link to each group that this row joins
-                    out[0].extend([qi[i]] * groups.size)
-                    out[1].extend(oi[hits[first]].tolist())
-                    out[2].extend([0] * groups.size)
+                    out[0].append(np.full(groups.size + 1, qk[a]))
+                    out[1].append(np.append(qk[a], bk[hits[first]]))
+                    out[2].append(np.append(n[hits].sum(), np.zeros(groups.size, np.int64)))
                     if groups.size > 1:
                         label[np.isin(label, groups)] = groups[0]
-        return pa.table([pa.array(np.array(x, np.int64)) for x in out], names=["a", "b", "links"])
+        return pa.table([pa.array(np.concatenate([*c, np.zeros(0, np.int64)]).astype(np.int64)) for c in out], names=["a", "b", "links"])
 
     return run
 
 
-def _visits(dealt: DataFrame, threshold: float, most: int) -> DataFrame:
-    """Rows (a, b, links) of pairs that share no shard, from the nearest shard of either side."""
-    own = dealt.select(F.col("shards")[0].alias("shard"), "id", "x", "n", "shards")
-    widest = dealt.groupBy(F.col("shards")[0].alias("shard")).agg(F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.min("home")))).alias("radius"))
-    seen = dealt.select("id", "x", "shards", F.explode(F.arrays_zip("visits", "cosines")).alias("v")).select("id", "x", "shards", F.col("v.visits").alias("shard"), F.col("v.cosines").alias("cosine"))
-    reach = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("cosine")))) <= F.col("radius") + math.acos(threshold) + 1e-6
-    seen = seen.join(F.broadcast(widest), "shard").where(reach)  # MAX_CENTRES rows and one more for each label at most
-    parts = seen.groupBy("shard").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
-    parts = F.broadcast(cut(parts))
-    seen = seen.join(parts, "shard").select("shard", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "x", "shards")
-    own = own.join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("own_id"), F.col("x").alias("own_x"), F.col("n").alias("own_n"), F.col("shards").alias("own_shards"))
-    return seen.groupBy("shard", "part").cogroup(own.groupBy("shard", "part")).applyInArrow(_across(threshold), "a long, b long, links long")
-
-
-def _by_block(found: Iterator[tuple[np.ndarray, np.ndarray]], n: int) -> Iterator[np.ndarray]:
-    """Each unordered pair once, as smaller * n + larger, whichever side found it."""
-    seen = np.zeros(0, np.int64)
-    parts, held = [], 0
-    for q, v in found:
-        q, v = q[q != v], v[q != v]
-        parts.append(np.minimum(q, v) * n + np.maximum(q, v))
-        held += q.size
-        if held > 1 << 20:
-            seen, parts, held = np.union1d(seen, np.concatenate(parts)), [], 0
-    seen = np.union1d(seen, np.concatenate([*parts, np.zeros(0, np.int64)]).astype(np.int64))
-    for at in range(0, seen.size, 1 << 16):
-        yield seen[at : at + (1 << 16)]
-
-
-def _spanning(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Of many links, those that may still join two groups."""
-    while True:
-        apart = np.flatnonzero(label[a] != label[b])
-        if not apart.size:
-            return
-        a, b = a[apart], b[apart]
-        yield int(a[0]), int(b[0])
+def _runs(i: np.ndarray, j: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """The values of j for each of the sorted values of i."""
+    rows, starts = np.unique(i, return_index=True)
+    return rows.tolist(), np.split(j, starts[1:]) if rows.size else []
+
+
+def _meet(queries: DataFrame, members: DataFrame, function, schema: str) -> DataFrame:
+    """Queries (shard, key, ...) and members (shard, ...) of the same shard, with a shard's many queries dealt to several tasks."""
+    parts = queries.groupBy("shard").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
+    left = queries.join(parts, "shard").withColumn("part", part).drop("parts")
+    right = members.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # columns of its own, where both sides come from one table
+    return left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInArrow(lambda q, m: function(q, m), schema)
+
+
+def _usable(embedding: Column) -> Column:
+    return F.forall(embedding, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(embedding, lambda v: v != 0)
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD, overlap: int = OVERLAP) -> DataFrame:
@@ -314,57 +297,74 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, shard: int =
 
     vectors: vec_id (integer), embedding (array of numbers), label; other columns are not read. Vectors link
     when their labels are equal and not null and their cosine in double precision reaches the threshold. A
-    vector that is null, empty, zero or holds null or non-finite components links with nothing, and vectors
-    of different lengths never link. Equal vectors link with each other. n_links: rows linked directly;
-    component_id: the smallest vec_id reachable; kept: vec_id = component_id. An empty table gives an empty
-    table.
+    vector that is null, empty, zero or holds null or non-finite components links with nothing, and neither does
+    one without a vec_id; vectors of different lengths never link. Equal vectors link with each other. Rows that
+    share a vec_id are vectors of their own. n_links: rows linked directly; component_id: the smallest vec_id
+    reachable; kept: vec_id = component_id. An empty table gives an empty table.
     """
     rows = vectors.select("vec_id", F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("x"))
-    finite = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("x", lambda v: v != 0)
-    usable = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & finite, F.lit(False))
+    usable = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & _usable(F.col("x")), F.lit(False))
     rows = cut(rows.withColumn("usable", usable))
-    nodes = cut(rows.where("usable").groupBy("label", "x").agg(F.min("vec_id").cast("long").alias("id"), F.count("*").alias("n")))
-    shared = vectors.sparkSession.sparkContext.broadcast(centres(nodes, shard, MAX_CENTRES))
-    dealt = nodes.select("id", "label", "x", "n").mapInArrow(_assign(shared, overlap, threshold), "id long, label long, x array<double>, n long, shards array<int>, home double, visits array<int>, cosines array<double>")
-    dealt = cut(dealt)
-    members = dealt.select("id", "x", "n", "shards", F.explode("shards").alias("shard"))
-    graph = members.select("shard", "id", "x").groupBy("shard").applyInArrow(_graph, "id long, near array<long>")
-    united = graph.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # at most `overlap` lists of DEGREE each
-    ready = members.join(united, "id").select("shard", "id", "x", "n", "shards", "near")
-    found = ready.groupBy("shard").applyInArrow(_find(threshold), "a long, b long, links long")
-    found = cut(found.unionByName(_visits(dealt, threshold, VISITORS)))
-    counts = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    roots = components(found.where("a <> b"), "a", "b").withColumnRenamed("node", "node2")
-    known = nodes.join(counts, F.col("id") == F.col("node"), "left").join(roots, F.col("id") == F.col("node2"), "left")
-    known = known.select(F.col("label").alias("l"), F.col("x").alias("v"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
+    nodes = rows.where("usable").groupBy("label", "x").agg(F.min("vec_id").cast("long").alias("least"), F.count("*").alias("n"))
+    nodes = cut(nodes.withColumns({"key": F.monotonically_increasing_id(), "h": F.xxhash64("x")}))
+    dealt = cut(deal(nodes, shard, overlap).select("key", "x", "n", "shards", "home"))
+    members = dealt.select("key", "x", F.explode("shards").alias("shard"))
+    graph = members.groupBy("shard").applyInArrow(_graph, "key long, near array<long>")
+    united = graph.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # at most `overlap` lists of DEGREE each
+    ready = cut(dealt.join(united, "key").select("key", "x", "shards", "home", "near"))
+    members = ready.withColumn("shard", F.explode("shards"))
+    visit = _visit(threshold)
+    found = cut(members.groupBy("shard").applyInArrow(lambda t: visit(None, t), "key long, shard long, kind int"))
+    verify, done, wanted = found.where("kind = 0"), None, found.where("kind = 1").select("key", "shard").distinct()
+    while True:  # a query goes on where its last round led, and never twice to one shard
+        wanted = cut(wanted if done is None else wanted.join(done, ["key", "shard"], "left_anti"))
+        if wanted.isEmpty():
+            break
+        done = wanted if done is None else done.unionByName(wanted)
+        queries = wanted.join(ready.select("key", "x", "shards", "home"), "key")
+        found = cut(_meet(queries, members, visit, "key long, shard long, kind int"))
+        verify = verify.unionByName(found.where("kind = 0"))
+        wanted = found.where("kind = 1").select("key", "shard").distinct()
+    asked = cut(verify.select("key", "shard").distinct()).join(dealt.select("key", "x"), "key")
+    links = cut(_meet(asked, dealt.select(F.col("home").alias("shard"), "key", "x", "n"), _verify(threshold), "a long, b long, links long"))
+    counts = links.where("a = b").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
+    roots = components(links.where("a <> b"), "a", "b").toDF("key", "root")
+    known = nodes.join(counts, "key", "left").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    known = known.select(F.col("label").alias("l"), F.col("x").alias("v"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "root", "least")
+    known = known.join(known.groupBy("root").agg(F.min("least").alias("component_id")), "root").drop("root", "least")
     linked = rows.where("usable").join(known, (F.col("label") == F.col("l")) & (F.col("x") == F.col("v"))).select("vec_id", "n_links", "component_id")
     alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def audit_recall(vectors: DataFrame, links: DataFrame, threshold: float = THRESHOLD) -> float:
+def _count_true(threshold: float):
+    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        n = np.zeros(asked.num_rows, np.int64)
+        if asked.num_rows and rows.num_rows:
+            q, x = unit(_vectors(asked)), unit(_vectors(rows))
+            for at in range(0, len(q), BLOCK):
+                n[at : at + BLOCK] = (q[at : at + BLOCK] @ x.T >= threshold).sum(axis=1)
+        return pa.table({"vec_id": asked["vec_id"], "n": pa.array(n)})
+
+    return run
+
+
+def audit_recall(vectors: DataFrame, links: DataFrame, threshold: float = THRESHOLD, block: int = 4_096) -> float:
     """Share of the true links of the rows whose vec_id is divisible by 100 that near_vectors counted, by brute force in blocks.
 
-    The query rows are compared with all rows of their label; links is near_vectors' result.
+    Blocks of query rows meet blocks of all rows of their label, as tasks of their own; links is near_vectors' result.
     """
-    rows = vectors.where("label is not null and vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("x"))
-    spark, true = vectors.sparkSession, 0
-    asked = rows.where("vec_id % 100 = 0").collect()
-    for at in range(0, len(asked), 2_000):
-        block = spark.sparkContext.broadcast([(r.vec_id, r.label, np.array(r.x, float)) for r in asked[at : at + 2_000] if r.x])
-
-        def count(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            by: dict[int, list] = {}
-            for i, label, x in block.value:
-                by.setdefault(label, []).append((i, x / np.linalg.norm(x)))
-            for batch in batches:
-                n = 0
-                for i, label, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if x and label in by:
-                        x = np.array(x, float)
-                        n += sum(1 for j, y in by[label] if j != i and len(y) == len(x) and x @ y >= threshold * np.linalg.norm(x))
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
-
-        true += rows.mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("x"))
+    rows = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & _usable(F.col("x"))).withColumn("d", F.size("x"))
+    blocks = rows.groupBy("label", "d").agg(F.ceil(F.count("*") / block).alias("rs"), F.ceil(F.count_if(F.expr("vec_id % 100 = 0")) / block).alias("qs"))
+    at = rows.join(blocks, ["label", "d"])
+    part = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    asked = at.where("vec_id % 100 = 0").select("label", "d", every("rs").alias("r"), part("qs").alias("q"), "vec_id", "x")
+    against = at.where("qs > 0").select("label", "d", part("rs").alias("r"), every("qs").alias("q"), "x")
+    against = against.select(*[F.col(c).alias(c) for c in against.columns])
+    keys = ["label", "d", "r", "q"]
+    true = asked.groupBy(*keys).cogroup(against.groupBy(*keys)).applyInArrow(_count_true(threshold), "vec_id long, n long").agg(F.sum("n"), F.count_distinct("vec_id")).first()
+    n = rows.where("vec_id % 100 = 0").count()  # each row meets itself once
     got = links.where("vec_id % 100 = 0").agg(F.sum("n_links")).first()[0] or 0
-    return got / true if true else 1.0
+    return got / ((true[0] or 0) - n) if (true[0] or 0) > n else 1.0
