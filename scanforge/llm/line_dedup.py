@@ -1,11 +1,10 @@
 """Lines that many documents share stay in one of them.
 
-Lines are counted by hash in one aggregation. The hashes of recurring lines go into a sharded minimal
-perfect hash, whose number of a line indexes flat arrays: a fingerprint, the document count and the
-holder. Documents then probe those arrays; no line is joined back.
-
-The arrays are broadcast while they are small (INDEX_BYTES, checked before). Beyond that the lines'
-hashes are sent to the shard that can answer for them, and only the answers come back to documents.
+Spark sums the documents of each distinct line hash. All distinct hashes, in shards, go into minimal perfect
+hashes, whose number of a line indexes compact arrays: a fingerprint, the document count (to a limit) and,
+for lines that recur, the holder. Documents then probe those arrays: the hashes of their lines are sent to
+the shard that can answer for them, only the hashes of lost lines come back, and no line is joined. This is
+the same at every size.
 """
 
 from __future__ import annotations
@@ -18,16 +17,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut
+from .common import SMALL_IDS, SPACE, cut
 from .perfect_hash import PerfectHash
 
 MIN_CHARS, MIN_DOCS = 20, 3
-#: Bytes of shard arrays that may be broadcast; each key takes about ENTRY_BYTES.
-INDEX_BYTES, ENTRY_BYTES = 64 << 20, 32
-#: Keys of a shard, on average.
+#: Lines of all documents for each shard; a shard has no more distinct ones than that, on average.
 SHARD_KEYS = 1 << 17
-#: Lines that one task looks up in one shard at a time, on average, when the arrays are not broadcast.
-ROUTED_LINES = 1 << 19
+#: Lines that one task looks up in one shard at a time, on average.
+ROUTED_LINES = 1 << 17
+#: Bytes of an entry's fingerprint; documents that are counted at most.
+FINGERPRINT, MOST = np.uint32, 255
 _NULL_ID = -(1 << 63)
 
 
@@ -63,130 +62,103 @@ def _emit(min_chars: int):
     return run
 
 
-def _build(table: pa.Table) -> pa.Table:
+def _build(min_docs: int):
     """One shard: the perfect hash and the arrays it indexes, as one row."""
-    h = table["h"].to_numpy().view(np.uint64)
-    index = PerfectHash.build(h)
-    order = np.argsort(index.find(h))
-    arrays = [index.sizes, index.words, *(table[c].to_numpy()[order] for c in ("f", "n", "holder"))]
-    return pa.table({"shard": table["shard"][:1].cast(pa.int32()), "entries": pa.array([len(h)], pa.int64()), "arrays": pa.array([[np.ascontiguousarray(a).tobytes() for a in arrays]], pa.list_(pa.binary()))})
+
+    def run(table: pa.Table) -> pa.Table:
+        h = table["h"].to_numpy().view(np.uint64)
+        index = PerfectHash.build(h)
+        order = np.argsort(index.find(h))
+        n = np.minimum(table["n"].to_numpy()[order], MOST)
+        fingerprint = table["f"].to_numpy()[order].view(np.uint64).astype(FINGERPRINT)
+        arrays = [index.sizes, index.words, fingerprint, n.astype(np.uint8), table["holder"].to_numpy()[order][n >= min_docs]]
+        return pa.table({"shard": table["shard"][:1], "arrays": pa.array([[np.ascontiguousarray(a).tobytes() for a in arrays]], pa.list_(pa.binary()))})
+
+    return run
 
 
 class Shard:
     """The arrays of a shard, ready to be probed."""
 
-    def __init__(self, arrays: list[bytes]):
+    def __init__(self, arrays: list[bytes], min_docs: int):
         self.index = PerfectHash(np.frombuffer(arrays[0], np.int64), np.frombuffer(arrays[1], np.uint64))
-        self.fingerprint, self.count, self.holder = (np.frombuffer(a, np.int64) for a in arrays[2:])
+        self.fingerprint, self.count, self.holders = (np.frombuffer(a, t) for a, t in zip(arrays[2:], (FINGERPRINT, np.uint8, np.int64), strict=True))
+        self.recurs = self.count >= min_docs
+        self.place = np.cumsum(self.recurs) - 1  # of an entry's holder
 
-    def holder_of(self, h: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which hashes are in the shard, and the holder of each (anything where it is not)."""
+    def lost(self, h: np.ndarray, f: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Which lines (hash, fingerprint, document) their document loses."""
         at = self.index.find(h.view(np.uint64))
-        there = at >= 0
-        at[~there] = 0
-        if not self.fingerprint.size:
-            return there & False, at
-        return there & (self.fingerprint[at] == f), self.holder[at]
-
-
-def _shard_of(h: np.ndarray, shards: int) -> np.ndarray:
-    return h % shards  # as Spark's pmod: the sign of the divisor
-
-
-_RESULT = "text string, n_lines long, n_dropped long"
-
+        out = at >= 0
+        rows = np.flatnonzero(out)
+        at = at[rows]
+        out[rows] = self.recurs[at] & (self.fingerprint[at] == f[rows].view(np.uint64).astype(FINGERPRINT))
+        rows = np.flatnonzero(out)
+        out[rows] = self.holders[self.place[self.index.find(h[rows].view(np.uint64))]] != ids[rows]
+        return out
 
-def _result(texts: list, lines: list, dropped: list) -> pa.StructArray:
-    return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=["text", "n_lines", "n_dropped"])
 
+def _answer(min_docs: int):
+    """Of the lines sent to a shard, those that their document loses."""
 
-def _without(text: str | None, drop: np.ndarray | list[bool]) -> str:
-    return "\n".join(x for x, d in zip((text or "").split("\n"), drop, strict=True) if not d)
-
+    def run(lines: pa.Table, shard: pa.Table) -> pa.Table:
+        if not shard.num_rows or not lines.num_rows:
+            return lines.select(["h", "id"]).slice(0, 0)
+        lost = Shard(shard["arrays"][0].as_py(), min_docs).lost(*(lines[c].to_numpy() for c in ("h", "f", "id")))
+        return lines.select(["h", "id"]).filter(pa.array(lost))
 
-def _probing(shared, shards: int, min_chars: int):
-    """A function over (id, text) that probes all shards from a broadcast."""
+    return run
 
-    @F.arrow_udf(_RESULT)
-    def probe(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        ready = {k: Shard(v) for k, v in shared.value.items()}
-        for ids, texts in batches:
-            texts, ids = texts.to_pylist(), [_NULL_ID if i is None else i for i in ids.to_pylist()]
-            keys = [line_keys(t) for t in texts]
-            ends = np.cumsum([len(k) for k in keys])
-            flat = [x for k in keys for x in k]
-            at = np.array([i for i, x in enumerate(flat) if _long_enough(x, min_chars)], np.int64)
-            h, f = _hashes([flat[i] for i in at])
-            h, f, drop = _signed(h), _signed(f), np.zeros(len(flat), bool)
-            own = np.repeat(np.array(ids, np.int64), [len(k) for k in keys])
-            of = _shard_of(h, shards)
-            for s in np.unique(of):
-                if int(s) in ready:
-                    here = at[of == s]
-                    there, holder = ready[int(s)].holder_of(h[of == s], f[of == s])
-                    drop[here] = there & (holder != own[here])
-            parts = np.split(drop, ends[:-1]) if len(ends) else []
-            yield _result([_without(t, d) for t, d in zip(texts, parts, strict=True)], [len(k) for k in keys], [int(d.sum()) for d in parts])
-
-    return probe
-
-
-def _answer(lines: pa.Table, shard: pa.Table) -> pa.Table:
-    """Of the lines sent to a shard, those that their document loses."""
-    h, f, ids = (lines[c].to_numpy() if c != "id" else lines[c].fill_null(_NULL_ID).to_numpy() for c in ("h", "f", "id"))
-    if not shard.num_rows:
-        return lines.select(["h", "id"]).slice(0, 0)
-    there, holder = Shard(shard["arrays"][0].as_py()).holder_of(h, f)
-    return lines.select(["h", "id"]).filter(pa.array(there & (holder != ids)))
 
+_RESULT = "text string, n_lines long, n_dropped long"
 
-def _routed(docs: DataFrame, lines: DataFrame, built: DataFrame, shards: int, min_chars: int, total: int) -> DataFrame:
-    """The same as probing a broadcast, for an index of any size."""
-    salts = max(1, -(-total // (shards * ROUTED_LINES)))
-    sent = lines.withColumns({"shard": F.pmod("h", F.lit(shards)).cast("int"), "salt": F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")})
-    arrays = built.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    lost = sent.groupBy("shard", "salt").cogroup(arrays.groupBy("shard", "salt")).applyInArrow(_answer, "h long, id long")
-    lost = lost.groupBy(F.col("id").alias("__lost_id")).agg(F.collect_set("h").alias("__lost"))
 
+def _dropping(min_chars: int):
     @F.arrow_udf(_RESULT)
     def drop(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, gone in batches:
-            out = []
+            out = [], [], []
             for text, g in zip(texts.to_pylist(), gone.to_pylist(), strict=True):
-                g, keys = set(g or ()), line_keys(text)
-                h = _signed(_hashes(keys)[0]).tolist()
-                flags = [_long_enough(k, min_chars) and x in g for k, x in zip(keys, h, strict=True)]
-                out.append((_without(text, flags), len(keys), sum(flags)))
-            yield _result(*zip(*out, strict=True)) if out else _result([], [], [])
+                lines, flags = (text or "").split("\n"), []
+                if g:
+                    g, keys = set(g), line_keys(text)
+                    flags = [_long_enough(k, min_chars) and x in g for k, x in zip(keys, _signed(_hashes(keys)[0]).tolist(), strict=True)]
+                out[0].append("\n".join(x for x, d in zip(lines, flags, strict=True) if not d) if g else text or "")
+                out[1].append(len(lines))
+                out[2].append(sum(flags))
+            yield pa.StructArray.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["text", "n_lines", "n_dropped"])
 
-    joined = docs.join(lost, docs["doc_id"].eqNullSafe(lost["__lost_id"]), "left")
-    return joined.withColumn("__r", drop("text", "__lost")).drop("__lost", "__lost_id")
+    return drop
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, index_bytes: int = INDEX_BYTES) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS, routed_lines: int = ROUTED_LINES) -> DataFrame:
     """Documents without the lines that at least min_docs documents share, except in one holder.
 
     docs: doc_id (integer), text and any other columns, which pass through. Adds n_lines (before) and
     n_dropped, replacing columns of those names; text is the rest, joined by newlines.
 
     A null or empty text is one empty line. Keys under min_chars code points are never dropped. The holder
-    is the largest doc_id that has the line; null counts as the smallest id. It keeps all its lines of that
-    key. Each row counts as a document, so a row that is repeated counts again, and all rows with the
-    holder's id keep the line. An empty table gives an empty table.
+    is the largest doc_id that has the line. It keeps all its lines of that key. A document is a doc_id: rows
+    that share one count once and keep or lose a line together, and rows without one are one document of the
+    smallest id. An empty table gives an empty table. min_docs: 255 at most.
     """
-    lines = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(_emit(min_chars), "h long, f long, id long")
-    counted = lines.groupBy("h", "f").agg(F.count("*").alias("n"), F.coalesce(F.max("id"), F.lit(_NULL_ID)).alias("holder")).where(F.col("n") >= min_docs)
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))
+    lines = cut(docs.select(id_.alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(_emit(min_chars), "h long, f long, id long"))
+    shards = max(1, -(-lines.count() // shard_keys))
+    shard = F.pmod("h", F.lit(shards)).cast("int").alias("shard")
+    counted = lines.groupBy("h", "f").agg(F.count_distinct("id").alias("n"), F.max("id").alias("holder"))
     # two keys with one 64-bit hash: the perfect hash keeps one of them, and the other's lines stay
-    recurring = cut(counted.groupBy("h").agg(F.min_by(F.struct("f", "n", "holder"), "f").alias("e")).select("h", "e.*"))
-    entries = recurring.count()
-    shards = max(1, -(-entries // SHARD_KEYS))
-    built = recurring.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(_build, "shard int, entries long, arrays array<binary>")
-    ids = F.col("doc_id").cast("long")
-    if entries * ENTRY_BYTES <= index_bytes:
-        shared = docs.sparkSession.sparkContext.broadcast({r.shard: [bytes(a) for a in r.arrays] for r in built.collect()})
-        out = docs.withColumn("__r", _probing(shared, shards, min_chars)(ids, F.col("text").cast("string")))
-    else:
-        out = _routed(docs, lines, built, shards, min_chars, lines.count())
+    distinct = counted.groupBy("h").agg(F.min_by(F.struct("f", "n", "holder"), "f").alias("e")).select(shard, "h", "e.*")
+    built = distinct.groupBy("shard").applyInArrow(_build(min_docs), "shard int, arrays array<binary>")
+    sent = lines.select(shard, "h", "f", "id")
+    parts = sent.groupBy("shard").agg(F.ceil(F.count("*") / routed_lines).cast("int").alias("parts"))
+    asked = sent.join(parts, "shard").select("shard", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "h", "f", "id")
+    arrays = built.join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "arrays")
+    lost = asked.groupBy("shard", "part").cogroup(arrays.groupBy("shard", "part")).applyInArrow(_answer(min_docs), "h long, id long")
+    lost = cut(lost.groupBy(F.col("id").alias("__lost_id")).agg(F.collect_set("h").alias("__lost")))  # the lines of one document
+    few = lost.agg(F.sum(F.size("__lost") + 4)).first()[0] or 0
+    found = docs.join(F.broadcast(lost) if few <= SMALL_IDS else lost, id_ == F.col("__lost_id"), "left")
+    out = found.withColumn("__r", _dropping(min_chars)(F.col("text").cast("string"), F.col("__lost"))).drop("__lost", "__lost_id")
     return out.withColumns({"text": F.col("__r.text"), "n_lines": F.col("__r.n_lines"), "n_dropped": F.col("__r.n_dropped")}).drop("__r")
 
 

@@ -55,10 +55,10 @@ def test_components(spark):
 
 def brute_lines(rows):
     keys = lambda t: [x.strip(" \t\n\x0b\x0c\r").encode().lower().decode() for x in (t or "").split("\n")]
-    holders = {}
+    holders = {}  # a document is an id; rows without one are one document
     for i, t in rows:
         for k in {k for k in keys(t) if len(k) >= 20}:
-            holders.setdefault(k, []).append(i)
+            holders.setdefault(k, set()).add(i)
     out = []
     for i, t in rows:
         lines = (t or "").split("\n")
@@ -70,10 +70,11 @@ def brute_lines(rows):
 def test_line_dedup(spark):
     rng = random.Random(3)
     lines = [f"A recurring line number {i:03d} é" for i in range(6)] + ["short", "", "  \tA RECURRING line number 000 é \r", "é" * 19, "É" * 20]
-    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 8)))) for i in range(40)] + [(40, None), (41, ""), (5, lines[0]), (None, lines[1])]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 8)))) for i in range(40)] + [(40, None), (41, ""), (5, lines[0]), (None, lines[1]), (None, lines[1])]
+    rows += [(7, "a line of two ids, thrice over"), (7, "a line of two ids, thrice over"), (3, "a line of two ids, thrice over")]
     df = make(spark, rows).withColumn("n_lines", F.lit("clash"))
-    for limit in (line_dedup.INDEX_BYTES, 0):  # probed from a broadcast, and routed to the shards
-        got = line_dedup.dedup_lines(df, index_bytes=limit)
+    for limit in ({}, {"shard_keys": 40, "routed_lines": 5}):
+        got = line_dedup.dedup_lines(df, **limit)
         assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect()), key=repr) == brute_lines(rows)
     assert line_dedup.dedup_lines(make(spark, [])).count() == 0
 
