@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,10 +55,29 @@ def fold(text: str) -> str:
 
 def words(text: str | None) -> list[str]:
     """Words of a text after lower-casing A-Z: runs without space and U+0009 to U+000D."""
-    if not text:
-        return []
     # bytes.split() and bytes.lower() know ASCII alone, which is the rule wanted here
-    return [w.decode("utf-8") for w in text.encode("utf-8", "replace").lower().split()]
+    return [w.decode("utf-8") for w in split_words(text)]
+
+
+def split_words(text: str | None) -> list[bytes]:
+    """The same words as UTF-8."""
+    return (text or "").encode("utf-8", "replace").lower().split()
+
+
+def word_hashes(w: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w))
+
+
+def shingle_hashes(ids: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of each run of n word hashes."""
+    with np.errstate(over="ignore"):
+        m = max(0, ids.size - n + 1)
+        h = np.zeros(m, np.uint64)
+        for i in range(n):
+            h = (h ^ ids[i : i + m]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        return h
 
 
 #: Ids up to which a table of ids is broadcast.

@@ -6,27 +6,27 @@ with text of its own order of size however long the document is. A window and an
 minimum of any of the hash functions are a candidate. Candidates are verified over the whole document,
 shingle by shingle, as text.
 
-The benchmark side travels to the tasks in groups of a bounded size (GROUP_BYTES); the documents are
-read once for each group, and nothing is shuffled.
+The benchmark side is indexed once, as flat arrays, and travels to the tasks in groups of a bounded size
+(GROUP_BYTES of item text); the documents are read once for each group, and nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import shingle_hashes, split_words, word_hashes
 
 SHINGLE_WORDS, CONTAINMENT = 5, 0.8
 #: Hash functions. An item that fills 0.19 of a window's union, the least that the classes allow, is missed once in 700,000.
 HASHES = 64
-#: Bytes of item texts that are broadcast at a time.
-GROUP_BYTES = 16 << 20
+#: Bytes of item texts that are broadcast at a time, with an index of up to some six times as much.
+GROUP_BYTES = 8 << 20
 #: Shingles that are hashed at a time.
 BLOCK = 1 << 20
 
@@ -35,27 +35,8 @@ _A = _RNG.integers(1 << 32, 1 << 63, HASHES, np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, HASHES, np.uint64)
 
 
-class _Words(dict):
-    """64-bit hashes of words, each computed once."""
-
-    def __missing__(self, word: str) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word, 3)
-        return h
-
-
-def shingle_hashes(ids: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit hash of each run of n word hashes."""
-    with np.errstate(over="ignore"):
-        m = max(0, ids.size - n + 1)
-        h = np.zeros(m, np.uint64)
-        for i in range(n):
-            h = (h ^ ids[i : i + m]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        return h
-
-
-def shingles(w: list[str], n: int) -> set[str]:
-    return {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)}
+def shingles(w: list[bytes], n: int) -> set[bytes]:
+    return {b" ".join(w[i : i + n]) for i in range(len(w) - n + 1)}
 
 
 def _hashed(h: np.ndarray, k: int) -> np.ndarray:
@@ -64,28 +45,38 @@ def _hashed(h: np.ndarray, k: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-class Index:
-    """A group of items: their shingles, and for each shingle length and size class the minima that point to them."""
-
-    def __init__(self, items: list[tuple[int, str]], n: int, hashes: int):
-        self.items, self.hashes, self._cut, table = {}, hashes, {}, {}
-        seen = _Words()
-        for number, (item_id, text) in enumerate(items):
-            w = words(text)
-            if not w:
-                continue
+def build_index(texts: list[str], n: int, hashes: int) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """For each shingle length and size class: the items' minima of each hash function, sorted, and the places of their items."""
+    groups: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
+    for number, text in enumerate(texts):
+        w = split_words(text)
+        if w:
             size = min(n, len(w))  # an item shorter than a shingle is one shingle of its own length
-            own = shingles(w, size)
-            self.items[number] = (item_id, size, own)
-            h = shingle_hashes(np.fromiter((seen[x] for x in w), np.uint64, len(w)), size)
-            for k in range(hashes):
-                table.setdefault((size, len(own).bit_length() - 1), {}).setdefault((k, int(_hashed(h, k).min())), []).append(number)
-        self.classes = {}
-        for key, minima in table.items():
-            by_hash = [[] for _ in range(hashes)]
-            for (k, value), numbers in minima.items():
-                by_hash[k].append((value, numbers))
-            self.classes[key] = [(np.array(sorted(v for v, _ in x), np.uint64), dict(x)) for x in by_hash]
+            h = np.unique(shingle_hashes(word_hashes(w), size))
+            groups.setdefault((size, h.size.bit_length() - 1), []).append((number, h))
+    out = {}
+    for key, own in groups.items():
+        numbers, h = np.array([i for i, _ in own], np.int32), np.concatenate([x for _, x in own])
+        starts = np.concatenate([[0], np.cumsum([x.size for _, x in own])[:-1]]).astype(np.int64)
+        minima = np.stack([np.minimum.reduceat(_hashed(h, k), starts) for k in range(hashes)])
+        order = np.argsort(minima, axis=1)
+        out[key] = np.take_along_axis(minima, order, 1), numbers[order]
+    return out
+
+
+class Index:
+    """A group of items (id, text) with their index, ready to be searched."""
+
+    def __init__(self, items: list[tuple[int, str]], classes: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]], n: int, hashes: int):
+        self.items, self.classes, self.n, self.hashes, self._own, self._cut = items, classes, n, hashes, {}, {}
+
+    def item(self, number: int) -> tuple[int, int, set[bytes]]:
+        """An item's id, shingle length and shingles."""
+        if number not in self._own:
+            w = split_words(self.items[number][1])
+            size = min(self.n, len(w))
+            self._own[number] = self.items[number][0], size, shingles(w, size)
+        return self._own[number]
 
     def candidates(self, ids: np.ndarray, starts: np.ndarray) -> set[tuple[int, int]]:
         """Pairs (document, item number). ids: word hashes of documents end to end; starts: where each begins, and the end."""
@@ -95,7 +86,7 @@ class Index:
             first, count = starts[:-1], np.maximum(0, np.diff(starts) - size + 1)
             for k in range(self.hashes):
                 x = None
-                for (s, c), by_hash in self.classes.items():
+                for (s, c), (minima, numbers) in self.classes.items():
                     if s != size:
                         continue
                     if x is None:
@@ -105,10 +96,11 @@ class Index:
                         continue
                     low = np.minimum.reduceat(x, edges)[::2]
                     low[:-1] = np.where(last[:-1], low[:-1], np.minimum(low[:-1], low[1:]))
-                    values, numbers = by_hash[k]
-                    at = np.minimum(np.searchsorted(values, low), values.size - 1)
-                    for i in np.flatnonzero(values[at] == low):
-                        found.update((int(of[i]), n) for n in numbers[int(low[i])])
+                    values = minima[k]
+                    first_at = np.searchsorted(values, low)
+                    for i in np.flatnonzero(values[np.minimum(first_at, values.size - 1)] == low):
+                        upto = np.searchsorted(values, low[i], "right")
+                        found.update((int(of[i]), int(x)) for x in numbers[k, first_at[i] : upto])
             self._cut = {}
         return found
 
@@ -127,21 +119,21 @@ class Index:
 
 def _search(shared, n: int, containment: float, hashes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value, n, hashes)
+        index = Index(*shared.value, n, hashes)
         for batch in batches:
             out: list[list] = [[], [], [], []]
             doc_ids, at = batch.column(0).to_pylist(), 0
             texts = batch.column(1)
             while at < batch.num_rows:
-                seen, docs, total = _Words(), [], 0
+                docs, total = [], 0
                 while at + len(docs) < batch.num_rows and total < BLOCK:
-                    docs.append(words(texts[at + len(docs)].as_py()))
+                    docs.append(split_words(texts[at + len(docs)].as_py()))
                     total += len(docs[-1])
-                ids = np.fromiter((seen[x] for w in docs for x in w), np.uint64, total)
+                ids = word_hashes(list(itertools.chain.from_iterable(docs)))
                 starts = np.concatenate([[0], np.cumsum([len(w) for w in docs])]).astype(np.int64)
-                held: dict[tuple[int, int], set[str]] = {}
+                held: dict[tuple[int, int], set[bytes]] = {}
                 for doc, number in sorted(index.candidates(np.append(ids, np.zeros(n, np.uint64)), starts)):
-                    item_id, size, own = index.items[number]
+                    item_id, size, own = index.item(number)
                     if (doc, size) not in held:
                         held[doc, size] = shingles(docs[doc], size)
                     shared_n = len(own & held[doc, size])
@@ -169,7 +161,7 @@ def find(docs: DataFrame, items: DataFrame, n: int = SHINGLE_WORDS, containment:
     out = None
     for g in range(groups):
         rows = clean.where(F.pmod(F.xxhash64("text"), F.lit(groups)) == g).collect()
-        shared = spark.sparkContext.broadcast([(r.item_id, r.text) for r in rows])
+        shared = spark.sparkContext.broadcast(([(r.item_id, r.text) for r in rows], build_index([r.text for r in rows], n, hashes)))
         part = slim.mapInArrow(_search(shared, n, containment, hashes), "doc_id long, item_id long, n_shingles long, n_shared long")
         out = part if out is None else out.unionByName(part)
     return out
