@@ -1,15 +1,19 @@
 """Toxicity by compression distance: which of two zstandard dictionaries makes a text's windows shorter.
 
-The dictionaries hold text of a bounded labelled sample. The ordinary one has the commonest words of
-ordinary documents. The toxic one has the same, and the word stems that toxic documents use much more:
-their counts are of different contexts, not of occurrences, so copies of one document weigh no more than
-one. As all else is alike, a window's two lengths differ where it holds such a stem. A logistic curve
-over the differences, fitted to the sample, turns them into a probability.
+zstandard trains one dictionary on toxic and one on ordinary text of a bounded labelled sample, in rounds. At first
+the toxic one is trained on words of toxic documents that the ordinary one compresses badly. Each round then trains
+the ordinary one further on what the toxic one compresses better in ordinary text, and the toxic one anew on what it
+still compresses better in toxic text. What both kinds of text share so ends in the ordinary dictionary, and the
+lengths of a window under the two differ where it holds what only toxic text has.
+
+Words go into training as often as documents of the sample hold them, copies once. A part of the sample is left out
+of the dictionaries, and a logistic curve over the differences of its windows calibrates the score.
 """
 
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,44 +23,48 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, ascii_lower, cut, words
+from .common import WORD, ascii_lower, cut, split_words
 
-#: Labelled documents of each class in the sample, chosen by hash of their id.
-SAMPLE_TOXIC, SAMPLE_ORDINARY = 1_500, 3_000
+#: Labelled documents of each class in the sample, chosen by hash of their id; of four parts one calibrates.
+SAMPLE_TOXIC, SAMPLE_ORDINARY, PARTS = 1_500, 3_000, 4
+#: Distinct words of the sample that train the dictionaries, the commonest first; and how often a word is given at most.
+WORDS, MOST, MOST_FIRST = 300_000, 60, 8
 #: Words of a window.
-WINDOW = 8
-#: Bytes of a dictionary's common part, and of the stems before it.
-COMMON_BYTES, STEM_BYTES = 8192, 4096
-#: Stands before each word, in windows and dictionaries. With it a stem is long enough for a match (MATCH bytes), and
-#: without it too short, so a stem matches at the start of words only.
+WINDOW = 4
+#: Bytes of the ordinary dictionary at first, of what a round adds to it, of all of it, and of the toxic one; and rounds.
+FIRST_BYTES, MORE_BYTES, ORDINARY_BYTES, TOXIC_BYTES, ROUNDS = 32_768, 4_096, 65_536, 8_192, 6
+#: Share of toxic text that the first round takes, that which compresses worst.
+FIRST_SHARE = 0.2
+#: Words that a dictionary is trained on at least.
+LEAST = 100
+#: Stands around each word, in windows and dictionaries. With it the start of a word is long enough for a match (MATCH bytes),
+#: while four bytes within a word are not.
 MARK, MATCH = b"\x01\x02", 6
-#: Ends a word in the dictionaries and never in a window, so that no match takes the next word's mark.
-END = b"\x00"
-STEM_BYTE_RANGE = (4, 5)
-#: What a stem must show: contexts among toxic documents (at least, and as a share), log ratio and G statistic.
-MIN_CONTEXTS, MIN_SHARE, MIN_LOG_RATIO, MIN_G = 4, 2e-4, 1.4, 20.0
-MAX_STEMS = 2_000
-THRESHOLD = 0.3
 #: Stands at each window's end and in both dictionaries: the compressor looks for no match in the last bytes of its input.
 TAIL = b"<~0123456789~ABCDEFGHIJKLMNOPQRSTUVWXYZ~>"
+THRESHOLD = 0.3
 FEATURES = 5
 
 
 @dataclass(frozen=True)
 class Model:
-    """What the executors need: two dictionaries' contents and the logistic curve (a few kilobytes)."""
+    """What the executors need: two dictionaries' contents and the logistic curve (under 80 kilobytes)."""
 
     ordinary: bytes
-    stems: bytes
+    toxic: bytes
     weights: tuple[float, ...]  # the last one is the intercept
 
 
+def _marked(w: list[bytes]) -> bytes:
+    return MARK + MARK.join(w) + MARK
+
+
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     params = zstandard.ZstdCompressionParameters(
-        window_log=17, chain_log=14, hash_log=14, search_log=5, min_match=MATCH, target_length=64, strategy=zstandard.STRATEGY_LAZY2,
+        window_log=17, chain_log=15, hash_log=15, search_log=5, min_match=MATCH, target_length=64, strategy=zstandard.STRATEGY_LAZY2,
         write_content_size=0, write_checksum=0, write_dict_id=0,
     )
-    held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    held = zstandard.ZstdCompressionDict(content + TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     held.precompute_compress(compression_params=params)
     return zstandard.ZstdCompressor(dict_data=held, compression_params=params)
 
@@ -65,15 +73,18 @@ class Distance:
     """Features of a text from the differences of its windows' compressed lengths."""
 
     def __init__(self, model: Model):
-        self.ordinary, self.toxic = _compressor(model.ordinary + TAIL), _compressor(model.stems + model.ordinary + TAIL)
+        self.ordinary, self.toxic = _compressor(model.ordinary), _compressor(model.toxic + model.ordinary)
+
+    def gains(self, windows: list[bytes]) -> np.ndarray:
+        """Bytes that the toxic dictionary saves in each window."""
+        short, long = self.toxic.compress, self.ordinary.compress
+        return np.fromiter((len(long(x)) - len(short(x)) for x in windows), float, len(windows))
 
     def features(self, text: str | None) -> list[float]:
-        w = words(text)
-        windows = [MARK + MARK.join(x.encode() for x in w[i : i + WINDOW]) + MARK + TAIL for i in range(0, len(w), WINDOW)]
-        if not windows:
+        w = split_words(text)
+        if not w:
             return [0.0] * FEATURES
-        short, long = self.toxic.compress, self.ordinary.compress
-        d = np.sort(np.fromiter((len(long(x)) - len(short(x)) for x in windows), float, len(windows)))[::-1]
+        d = np.sort(self.gains([_marked(w[i : i + WINDOW]) + TAIL for i in range(0, len(w), WINDOW)]))[::-1]
         return [float(d[0]), float(d[:3].sum() / 3), float(d.mean()), float((d >= 2).mean()), math.log1p(float((d >= 1).sum()))]
 
 
@@ -83,37 +94,57 @@ def is_fold(doc_id: Column, fold: int, folds: int) -> Column:
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
-    """Rows (text, toxic) of the bounded sample, and the count of all usable labels of each class."""
+    """Rows (text, toxic, part) of the bounded sample, and the count of all usable labels of each class."""
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     usable = cut(usable.where(~is_fold(F.col("doc_id"), 2, 4)))
     counts = {r.toxic: r.n for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     order = [F.xxhash64("doc_id"), "doc_id"]
     chosen = usable.where("toxic = 1").orderBy(*order).limit(SAMPLE_TOXIC).unionByName(usable.where("toxic = 0").orderBy(*order).limit(SAMPLE_ORDINARY))
     # a few thousand ids at most, as limited above
-    return cut(docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")), counts
-
-
-def _stems(sample: DataFrame) -> list[str]:
-    """Stems that toxic documents use much more than ordinary ones, the commonest last."""
-    word = F.regexp_extract_all(ascii_lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0))
-    pairs = sample.select("toxic", word.alias("w")).select("toxic", F.explode(F.arrays_zip(F.concat(F.array(F.lit("")), "w").alias("a"), F.col("w").alias("b"))).alias("p"))
-    pairs = cut(pairs.select("toxic", "p.a", "p.b").where("b is not null").distinct())
-    total = {r.toxic: r.n for r in pairs.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = total.get(1, 0), total.get(0, 0)
-    if not n1 or not n0:
-        return []
-    starts = F.array(*[F.when(F.length("b") >= k, F.substring("b", 1, k)) for k in range(1, STEM_BYTE_RANGE[1] + 1)])
-    cuts = F.filter(starts, lambda s: F.octet_length(s).between(*STEM_BYTE_RANGE))
-    counted = pairs.select("toxic", F.explode(cuts).alias("stem")).groupBy("stem").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
-    both = F.col("t") + F.col("o")
-    ratio = F.log((F.col("t") + 0.5) / (n1 + 1)) - F.log((F.col("o") + 0.5) / (n0 + 1))
-    part = lambda c, n: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) * (n1 + n0) / (both * n))).otherwise(0.0)
-    g = 2 * (part("t", n1) + part("o", n0))
-    good = counted.where((F.col("t") >= max(MIN_CONTEXTS, MIN_SHARE * n1)) & (ratio >= MIN_LOG_RATIO) & (g >= MIN_G))
-    found = {r.stem: r.t for r in good.orderBy(g.desc(), "stem").limit(MAX_STEMS).collect()}
-    # a stem that nearly always goes on the same way is kept in its longer form alone
-    own = {s: n - max((m for x, m in found.items() if len(x) == len(s) + 1 and x.startswith(s)), default=0) for s, n in found.items()}
-    return [s for s in sorted(found, key=lambda s: (found[s], s)) if own[s] > 0.1 * found[s]]
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id")
+    return cut(rows.select("text", "toxic", F.pmod(F.xxhash64("text"), F.lit(PARTS)).cast("int").alias("part")).distinct()), counts
+
+
+def _word_counts(sample: DataFrame) -> dict[int, tuple[list[bytes], np.ndarray]]:
+    """For each class: words, and in how many documents of the sample each is; WORDS words at most."""
+    word = F.explode(F.array_distinct(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(WORD), F.lit(0))))
+    counts = sample.select(word.alias("w"), "toxic").groupBy("w").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
+    got = counts.orderBy(F.desc(F.col("t") + F.col("o")), "w").limit(WORDS).collect()
+    own = {1: [(r.w.encode(), r.t) for r in got if r.t], 0: [(r.w.encode(), r.o) for r in got if r.o]}
+    return {k: ([_marked([w]) for w, _ in v], np.array([n for _, n in v], np.int64)) for k, v in own.items()}
+
+
+def _dictionary(size: int, words: tuple[list[bytes], np.ndarray], chosen: np.ndarray, most: int = MOST) -> bytes:
+    """A zstandard dictionary trained on the chosen words, each as often as documents hold it; empty if they are too few."""
+    samples = [x for i in chosen.tolist() for x in [words[0][i]] * min(most, int(words[1][i]))]
+    random.Random(1).shuffle(samples)
+    samples = [x for x in samples if len(x) >= 8]
+    if len(samples) < LEAST:
+        return b""
+    try:
+        return zstandard.train_dictionary(size, samples).as_bytes()
+    except zstandard.ZstdError:  # too little text for its statistics: the text itself is the dictionary
+        return b"".join(dict.fromkeys(samples))[-size:]
+
+
+def dictionaries(toxic: tuple[list[bytes], np.ndarray], ordinary: tuple[list[bytes], np.ndarray], rounds: int = ROUNDS) -> tuple[bytes, bytes]:
+    """(ordinary, toxic) dictionaries, trained against each other in rounds."""
+    inputs = lambda words: [x + TAIL for x in words[0]]
+    common = _dictionary(FIRST_BYTES, ordinary, np.arange(len(ordinary[0])), MOST_FIRST)
+    long = _compressor(common).compress
+    length = np.array([len(long(x)) for x in inputs(toxic)], np.int64)
+    chosen = np.flatnonzero(length >= np.quantile(np.repeat(length, toxic[1]), 1 - FIRST_SHARE))
+    special = _dictionary(TOXIC_BYTES, toxic, chosen)
+    for _ in range(rounds - 1):
+        hard = np.flatnonzero(Distance(Model(common, special, ())).gains(inputs(ordinary)) > 0)
+        common = (_dictionary(MORE_BYTES, ordinary, hard) + common)[:ORDINARY_BYTES]
+        gain = Distance(Model(common, special, ())).gains(inputs(toxic))
+        better = _dictionary(TOXIC_BYTES, toxic, np.flatnonzero(gain > 0))
+        if not better:
+            break
+        special = better
+    return common, special
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, shift: float) -> tuple[float, ...]:
@@ -134,20 +165,21 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit to a bounded sample of the labelled documents outside fold 2 of 4.
 
     docs: doc_id, text. labels: doc_id, toxic (over 0: toxic; the largest label of an id counts; null labels
-    and ids do not). With labels of one class or none, every score is that class's share (or 0).
+    and ids do not). With labels of one class or none, every score is that class's share (or 0). Empty texts and
+    copies are as good a sample as any; repeated rows count once.
     """
     sample, counts = _sample(docs, labels)
-    word = F.explode(F.regexp_extract_all(ascii_lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0)))
-    common = sample.where("toxic = 0").select(word.alias("w")).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(3_000).collect()
-    content = b"".join(END + MARK + r.w.encode() for r in reversed(common))[-COMMON_BYTES:] + END
-    stems = b"".join(END + MARK + s.encode() for s in _stems(sample))[-STEM_BYTES:] + END
-    model = Model(content, stems, ())
-    rows = sample.select("toxic", _udf(model)("text").alias("x")).collect()  # a row for each document of the sample
+    words = _word_counts(sample.where("part > 0"))
+    model = Model(b"", b"", ())
+    if all(w for w, _ in words.values()):
+        model = Model(*dictionaries(words[1], words[0]), ())
+    rows = sample.where("part = 0").select("toxic", _udf(model)("text").alias("x")).collect()  # a row for each document of that part
     y = np.array([r.toxic for r in rows], float)
     if not y.size or y.min() == y.max():
-        return Model(content, stems, (0.0,) * FEATURES + (4.0 if y.size and y[0] else -30.0,))
+        share = counts.get(1, 0) > 0 and counts.get(0, 0) == 0
+        return Model(model.ordinary, model.toxic, (0.0,) * FEATURES + (4.0 if share else -30.0,))
     shift = math.log(counts[1] / counts[0]) - math.log(y.sum() / (y.size - y.sum()))
-    return Model(content, stems, _logistic(np.array([r.x for r in rows]), y, shift))
+    return Model(model.ordinary, model.toxic, _logistic(np.array([r.x for r in rows]), y, shift))
 
 
 def _udf(model: Model):
@@ -164,7 +196,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """Adds `score` (0 to 1) and `predicted` (1 from THRESHOLD up), replacing columns of those names.
 
     Only the text is read; a null or empty text has no window and gets the score of no evidence. Whole texts
-    are scored, window by window. Other columns pass through.
+    are scored, window by window. Other columns pass through. Rows are judged alone, so repeated ones are alike,
+    and an empty table gives an empty table.
     """
     x = docs.withColumn("__x", _udf(model)(F.col("text").cast("string")))
     z = F.lit(model.weights[-1])
