@@ -45,6 +45,7 @@ _OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: A boundary whose next character may be no word character.
 _EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
+# The form of each kind of personal data, its severity and frameworks.
 PII_RULES = (
     _pii("email-address", "low", "", rf"(?i){_EDGE}[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{{2,}}{RIGHT}", "@"),
     _pii("phone-number", "low", "GDPR HIPAA CCPA", rf"{_EDGE}\+?[0-9][0-9{SPACES}()-]{{7,}}[0-9]{RIGHT}", "[0-9]", gate=lambda v: F.length(digits(v)) >= 10, avoid_uuid=True),
@@ -111,7 +112,7 @@ def _injection(id: str, kind: str, severity: str, pattern: str, hint: str) -> Ru
     return Rule(id, "prompt_injection", severity, pattern, f"(?i){hint}", kind=kind)
 
 
-# The phrase grammar of each rule.
+# The phrase grammar of each rule. Single blanks between words, as the text is normalised before.
 INJECTION_RULES = (
     _injection("safety-policy-bypass", "override", "critical", _phrase("ignore|disable|turn off|bypass|do not follow", "?all|the", "safety (?:rules?|checks?|filter)|redaction|security (?:rules?|checks?)"), "safety|redaction|security"),
     _injection("environment-secret-exfiltration", "exfiltration", "high", _phrase("print|show|display|output|dump|reveal", "?all", "environment variables?|env vars?|hidden values?|secrets?|credentials?"), "env|hidden|secret|credential"),
@@ -119,7 +120,7 @@ INJECTION_RULES = (
     _injection("reveal-developer-message", "exfiltration", "high", _phrase("show|print|return|reveal|repeat|display", "?me", "?the", "developer (?:message|prompt|instructions?)|hidden (?:message|context)|application instructions?"), "developer|hidden|application"),
     _injection("reveal-tool-arguments", "exfiltration", "high", _phrase("show|print|return|reveal|dump|display", "?all", "?hidden", "tool (?:arguments?|parameters?|inputs?)|function (?:arguments?|parameters?)|internal tool data"), "tool|function"),
     _injection("reveal-conversation-history", "exfiltration", "high", _phrase("show|print|return|reveal|dump|repeat", "?the", "?full", "conversation history|chat history|prior (?:messages?|conversation)|hidden messages?"), "history|prior|hidden"),
-    _injection("fake-authority-claim", "override", "high", _phrase("?the", "admin(?:istrator)?|developer|system owner|security team", "?has", "approved|authorized|\u5141\u8bb8|said", "?you to", "ignore|disable|bypass|reveal|show|print"), "admin|developer|owner|team"),
+    _injection("fake-authority-claim", "override", "high", _phrase("?the", "admin(?:istrator)?|developer|system owner|security team", "?has", "approved|authorized|允许|said", "?you to", "ignore|disable|bypass|reveal|show|print"), "admin|developer|owner|team"),
     _injection("user-text-as-system-instruction", "override", "high", _phrase("treat|consider|regard", "?the", "user|following|next|quoted", "text|message|content|block", "as", "?a", "system|developer|administrator", "message|instruction|command"), "treat|consider|regard"),
     _injection("encoded-instruction-bypass", "override", "medium", _phrase("decode (?:this )?(?:base ?64|rot ?13|hex)|(?:base ?64|rot ?13|hex) (?:this|the following)", "?and", "follow|execute|obey", "it|the result"), "base ?64|rot ?13|hex"),
     _injection("ignore-previous-instructions", "override", "critical", _phrase("ignore|disregard|forget|bypass", "?all|any", "?of", "(?:(?:your|my|the|these|those) ?)?(?:previous|prior|earlier|above|preceding)", "instructions?|rules?|guidelines?|context|prompts?"), "previous|prior|earlier|above|preceding"),
@@ -140,8 +141,12 @@ INJECTION_RULES = (
 ENCODED_ID = "base64-decode-execute-heuristic"
 
 
-def catalogue(spark: SparkSession) -> DataFrame:
-    """The rules as a table, without patterns and gates."""
+def catalogue(spark: SparkSession, learned: DataFrame | None = None) -> DataFrame:
+    """The rules as a table, without patterns and gates; learned: rows (id) of learned rules, which follow."""
     rules = (*SECRET_RULES, generic_rule(), *PII_RULES, *INJECTION_RULES)
     rows = [(i, r.id, r.category, r.severity, list(r.frameworks)) for i, r in enumerate(rules)] + [(len(rules), ENCODED_ID, "prompt_injection", "medium", [])]
-    return spark.createDataFrame(rows, "ordinal int, id string, category string, severity string, frameworks array<string>")
+    own = spark.createDataFrame(rows, "ordinal int, id string, category string, severity string, frameworks array<string>")
+    if learned is None:
+        return own
+    more = learned.select(F.lit(len(rows)).alias("ordinal"), "id", F.lit("secret").alias("category"), F.lit("high").alias("severity"), F.array().cast("array<string>").alias("frameworks"))
+    return own.unionByName(more)

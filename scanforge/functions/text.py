@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: White space as scripts on the web know it, for a character class.
+# White space as scripts on the web know it (for a character class), invisible characters, and the form of a UUID.
 SPACES = r" \t\n\x0B\f\r\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 INVISIBLE = r"[\u200B-\u200F\u202A-\u202E\uFEFF]"
 #: ASCII word boundaries, before and after a word character.
@@ -35,6 +35,11 @@ def collapse_spaces(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"[{SPACES}]+", " "))
 
 
+def trimmed(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, f"^[{SPACES}]+|[{SPACES}]+$", "")
+
+
 def normalize_for_injection_scan(text: Column) -> Column:
     return collapse_spaces(strip_invisible(nfkc(text)))
 
@@ -92,9 +97,12 @@ def _plural(n: Column, one: str, many: str) -> Column:
 
 
 def tool_summary(calls: Column) -> Column:
-    """Summary of struct<commands,file_edits,other>; null: not reported."""
-    parts = F.concat_ws(", ", _plural(calls["commands"], "command", "commands"), _plural(calls["file_edits"], "file edit", "file edits"), _plural(calls["other"], "other", "other"))
-    return F.when(calls.isNull(), F.lit("Not reported")).when(parts == "", F.lit("None - text only")).otherwise(parts)
+    """Summary of struct<commands,file_edits,other>: the total, and its parts in brackets; null: not reported."""
+    total = calls["commands"] + calls["file_edits"] + calls["other"]
+    other = F.when(calls["other"] > 0, F.concat(calls["other"].cast("string"), F.lit(" other")))
+    parts = F.concat_ws(", ", _plural(calls["commands"], "command", "commands"), _plural(calls["file_edits"], "file edit", "file edits"), other)
+    text = F.when(total == 0, F.lit("None \u2014 text only")).otherwise(F.concat(total.cast("string"), F.lit(" ("), parts, F.lit(")")))
+    return F.when(calls.isNull(), F.lit("Not reported")).otherwise(text)
 
 
 def usage_summary(usage: Column) -> Column:

@@ -44,6 +44,11 @@ def merge_rules(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+def most_frequent(table: DataFrame, k: int, *tie: str) -> DataFrame:
+    """The k signatures or learned rules that occurred most often, ties by the columns given: a top-k, not a sort of all."""
+    return table.orderBy(F.desc("occurrences"), *tie).limit(k)
+
+
 def assignments(text: Column) -> Column:
     """array<struct<name,start,end,value>> of everything that looks like NAME = value."""
     names, before, values = (F.regexp_extract_all(text, F.lit(ASSIGNMENT), F.lit(i)) for i in (1, 2, 3))

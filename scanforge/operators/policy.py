@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scanforge.functions.rules import FRAMEWORKS, INJECTION_RULES, MIN_CONFIDENCE, PII_RULES, SECRET_RULES, Rule, generic_rule
+from scanforge.functions.text import trimmed
 
 
 @dataclass(frozen=True)
@@ -46,7 +47,7 @@ class Policy:
 
 def parse_frameworks(value: Column) -> Column:
     """struct<frameworks, unknown> of a comma-separated list; null gives the default, blank gives none."""
-    names = F.filter(F.transform(F.split(value, ","), lambda x: F.upper(F.trim(x))), lambda x: x != "")
+    names = F.filter(F.transform(F.split(value, ","), lambda x: F.upper(trimmed(x))), lambda x: x != "")
     known = F.array(*[F.lit(f) for f in FRAMEWORKS])
     default = F.array(*[F.lit(f) for f in Policy().frameworks])
     got = F.coalesce(names, default)

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scanforge.functions.text import trimmed
+from scanforge.operators.policy import Policy
+
+from . import scan
+
 EVENT_SCHEMA = "type string, thread_id string, item struct<type:string,text:string>, usage struct<input_tokens:double,cached_input_tokens:double,output_tokens:double>, message string, error string"
 # The bucket of each tool item.
 COMMANDS, FILE_EDITS, OTHER = ("command_execution",), ("file_change",), ("mcp_tool_call", "web_search", "function_call")
@@ -21,21 +26,20 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
 
 def summarise(lines: DataFrame) -> DataFrame:
-    """One row for each run: last thread, message and error, steps, tool calls and usage. Null: not reported."""
+    """One row for each run with a readable line: last thread, message and error, usage (null: not reported), steps and tool calls (0 where there are none)."""
     e = F.col("e")
     done = (e["type"] == "item.completed") & F.coalesce("item_ok", F.lit(False))
     kind = e["item"]["type"]
     last = lambda value, where: F.max_by(value, F.when(where, F.col("line_no")))
     count = lambda kinds: F.count_if(done & kind.isin(*kinds)).cast("int")
-    steps, tools = F.count_if(done), F.count_if(done & kind.isin(*COMMANDS, *FILE_EDITS, *OTHER))
+    steps = F.count_if(done)
     message = done & (kind == "agent_message") & e["item"]["text"].isNotNull()
     usage = F.struct(*[F.col(f"e.usage.{c}").cast("long").alias(c) for c in ("input_tokens", "cached_input_tokens", "output_tokens")])
     error = F.coalesce(e["message"], e["error"], F.lit(UNKNOWN_ERROR))
     out = parse_lines(lines).groupBy("run_id").agg(
         last(e["thread_id"], (e["type"] == "thread.started") & e["thread_id"].isNotNull()).alias("thread_id"),
-        last(F.trim(e["item"]["text"]), message).alias("message"), last(error, e["type"] == "error").alias("last_error"),
-        F.when(steps > 0, steps.cast("int")).alias("step_count"),
-        F.when(tools > 0, F.struct(count(COMMANDS).alias("commands"), count(FILE_EDITS).alias("file_edits"), count(OTHER).alias("other"))).alias("tool_calls"),
+        last(trimmed(e["item"]["text"]), message).alias("message"), last(error, e["type"] == "error").alias("last_error"),
+        steps.cast("int").alias("step_count"), F.struct(count(COMMANDS).alias("commands"), count(FILE_EDITS).alias("file_edits"), count(OTHER).alias("other")).alias("tool_calls"),
         last(usage, (e["type"] == "turn.completed") & e["usage"].isNotNull()).alias("usage"),
     )
     return out.withColumn("message", F.when(F.col("message") != "", F.col("message")))
@@ -71,22 +75,35 @@ def outcomes(facts: DataFrame) -> DataFrame:
     return facts.withColumn("outcome", why).withColumn("status", status).withColumn("error", text)
 
 
-def _event(boundary: str, decision: Column | str, reason: Column | str, seq: int) -> Column:
+METADATA = "struct<finding_ids:array<string>,finding_categories:array<string>,secret_names:array<string>>"
+
+
+def audit_metadata(findings: Column, secrets: Column) -> Column:
+    """Distinct ids and categories of findings in the order they were found, and the declared names; never a value."""
+    each = lambda field: F.array_distinct(F.transform(findings, lambda f: f[field]))
+    names = F.coalesce(F.map_keys(secrets), F.array().cast("array<string>"))
+    return F.struct(each("id").alias("finding_ids"), each("category").alias("finding_categories"), names.alias("secret_names"))
+
+
+def _event(boundary: str, decision: Column | str, reason: Column | str, seq: int, metadata: Column | None = None) -> Column:
     lit = lambda x: F.lit(x) if isinstance(x, str) else x
-    return F.struct(F.lit(boundary).alias("boundary"), lit(decision).alias("decision"), lit(reason).alias("reason"), F.lit(seq).alias("seq"))
+    more = (F.lit(None) if metadata is None else metadata).cast(METADATA)
+    return F.struct(F.lit(boundary).alias("boundary"), lit(decision).alias("decision"), lit(reason).alias("reason"), F.lit(seq).alias("seq"), more.alias("metadata"))
 
 
 def safety_events(runs: DataFrame) -> DataFrame:
-    """Rows (run_id, agent_id, ts, seq, boundary, decision, reason), in order for each run.
+    """Rows (run_id, agent_id, ts, seq, boundary, decision, reason, metadata), in order for each run.
 
-    runs: run_id, agent_id, ts, scanned, was_redacted, decision, reason, status, user_stopped, timed_out, over_cap.
+    runs: run_id, agent_id, ts, scanned, was_redacted, decision, reason, status, user_stopped, timed_out, over_cap, and
+    maybe metadata (see audit_metadata), which the event of the scan's decision carries.
     """
     scanned, blocked = F.col("scanned"), F.col("decision") == "BLOCK"
     ran = scanned & ~blocked
     ended = F.when(F.col("status") == "cancelled", F.lit("CANCELLED")).otherwise(F.lit("ALLOW"))
+    metadata = F.col("metadata") if "metadata" in runs.columns else None
     events = F.array(
         F.when(scanned & F.col("was_redacted"), _event("input", "REDACT", "Secret removed from trace", 1)),
-        F.when(scanned, _event("input", F.col("decision"), F.col("reason"), 2)),
+        F.when(scanned, _event("input", F.col("decision"), F.col("reason"), 2, metadata)),
         F.when(ran & F.col("user_stopped"), _event("runtime", "CANCELLED", "Stopped by user", 3)),
         F.when(ran & F.col("timed_out"), _event("runtime", "CANCELLED", "Run timed out", 4)),
         F.when(ran & F.col("over_cap"), _event("runtime", "BLOCK", "Output limit exceeded", 5)),
@@ -95,6 +112,29 @@ def safety_events(runs: DataFrame) -> DataFrame:
     return runs.select("run_id", "agent_id", "ts", F.inline(F.filter(events, lambda e: e.isNotNull())))
 
 
+def stored_trace(runs: DataFrame, declared: DataFrame, policy: Policy = Policy(), allow_partial: bool = False) -> DataFrame:
+    """Runs as they are kept: the prompt redacted, output and error redacted and then rid of the run's declared values.
+
+    runs: run_id, prompt, output, error, status, and any other columns, which pass through. declared: run_id, secrets (map),
+    one row for a run at most. The error of a cancelled run is fixed. Null texts stay null; an unknown run declares none.
+    """
+    rows = runs.join(declared.select("run_id", F.col("secrets").alias("__secrets")), "run_id", "left")
+    clean = lambda c: F.when(F.col(c).isNotNull(), scan.scrub_declared(scan.redact_text(F.col(c), policy), F.col("__secrets"), allow_partial))
+    error = F.when(F.col("status") == "cancelled", F.lit("Run cancelled")).otherwise(clean("error"))
+    prompt = F.when(F.col("prompt").isNotNull(), scan.redact_text(F.col("prompt"), policy))
+    return rows.withColumns({"prompt": prompt, "output": clean("output"), "error": error}).drop("__secrets")
+
+
+def rows_of(rows: DataFrame, known: DataFrame, key: str, asked: DataFrame) -> DataFrame:
+    """The rows (messages, runs, events) of the keys that are asked for; a key that `known` does not hold is an error.
+
+    known, asked: a column named key.
+    """
+    wanted = asked.select(key).distinct().join(known.select(key, F.lit(True).alias("__there")).distinct(), key, "left")
+    missing = F.raise_error(F.concat(F.lit(f"unknown {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("boolean")
+    return rows.join(wanted.where(F.coalesce("__there", missing)).select(key), key, "left_semi")
+
+
 def timeline(events: DataFrame) -> DataFrame:
     w = Window.partitionBy("run_id").orderBy("ts", "event_id")
     return events.withColumn("seq_no", F.row_number().over(w))

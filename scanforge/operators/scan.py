@@ -23,27 +23,28 @@ def _none() -> Column:
     return F.array().cast(f"array<{FINDING}>")
 
 
-def match_spans(text: Column, pattern: str, prefix: bool = False) -> Column:
-    """array<struct<start,end,value>> of a pattern's matches, left to right; prefix: of the second group alone."""
+def match_spans(text: Column, pattern: str, prefix: bool = False, gate=None) -> Column:
+    """array<struct<start,end,value>> of a pattern's matches, left to right; prefix: of the second group alone; gate: on the value.
+
+    Values are judged before they are kept, so that a text of very many matches costs no more than those that pass.
+    """
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    skip = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.length) if prefix else F.transform(found, lambda _: F.lit(0))
-    gaps = F.slice(F.transform(pieces, F.length), F.lit(1), F.size(found))
-    steps = F.zip_with(F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), g.alias("g"))), skip, lambda s, k: F.struct(s["m"].alias("m"), s["g"].alias("g"), k.alias("k")))
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if prefix else found
+    steps = F.arrays_zip(found.alias("m"), values.alias("v"), F.slice(F.transform(pieces, F.length), F.lit(1), F.size(found)).alias("g"))
     empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
 
     def step(a: Column, x: Column) -> Column:
-        at, size = a["at"] + x["g"], F.length(x["m"])
-        one = F.struct((at + x["k"]).alias("start"), (at + size).alias("end"), F.substring(x["m"], x["k"] + 1, size).alias("value"))
-        return F.struct((at + size).alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
+        end = a["at"] + x["g"] + F.length(x["m"])
+        one = F.array(F.struct((end - F.length(x["v"])).alias("start"), end.alias("end"), x["v"].alias("value")))
+        out = F.concat(a["out"], one)
+        return F.struct(end.alias("at"), (F.when(gate(x["v"]), out).otherwise(a["out"]) if gate else out).alias("out"))
 
     return F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda a: a["out"])
 
 
 def rule_findings(text: Column, rule: Rule, ordinal: int) -> Column:
     """All findings of one rule. Texts that its hint rules out are not searched."""
-    spans = match_spans(text, rule.pattern, rule.prefix)
-    if rule.gate:
-        spans = F.filter(spans, lambda s: rule.gate(s["value"]))
+    spans = match_spans(text, rule.pattern, rule.prefix, rule.gate)
     if rule.avoid_uuid:
         taken = match_spans(text, UUID)
         spans = F.when(text.rlike(UUID), F.filter(spans, lambda s: ~F.exists(taken, lambda u: (s["start"] < u["end"]) & (s["end"] > u["start"])))).otherwise(spans)
@@ -79,15 +80,19 @@ def label(finding: Column) -> Column:
 
 
 def replace_spans(text: Column, kept: Column, new) -> Column:
-    """text with each kept span replaced by new(finding, value)."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """text with each kept span replaced by new(finding, value).
+
+    The rest of the text is carried along, so that no step looks for its place from the start; pieces are joined once.
+    """
+    zero = F.struct(F.lit(0).alias("at"), text.alias("rest"), F.array().cast("array<string>").alias("out"))
 
     def step(a: Column, f: Column) -> Column:
-        gap = F.substring(text, a["at"] + 1, f["start"] - a["at"])
-        value = F.substring(text, f["start"] + 1, f["end"] - f["start"])
-        return F.struct(f["end"].alias("at"), F.concat(a["out"], gap, new(f, value)).alias("out"))
+        gap, size = f["start"] - a["at"], f["end"] - f["start"]
+        value = F.substring(a["rest"], gap + 1, size)
+        rest = F.substring(a["rest"], gap + size + 1, F.lit(1 << 30))
+        return F.struct(f["end"].alias("at"), rest.alias("rest"), F.concat(a["out"], F.array(F.substring(a["rest"], F.lit(1), gap), new(f, value))).alias("out"))
 
-    done = F.aggregate(kept, zero, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    done = F.aggregate(kept, zero, step, lambda a: F.array_join(F.concat(a["out"], F.array(a["rest"])), ""))
     return F.when(F.size(kept) == 0, text).otherwise(done)
 
 
@@ -152,6 +157,20 @@ def evaluate(df: DataFrame, text_col: str = "text", policy: Policy = Policy(), r
     return out.withColumn("was_redacted", F.col("redacted") != text).drop("__sensitive", "__injection", "__kept", "__all", "__vault")
 
 
+def vault(df: DataFrame, row_id: str, entries: str) -> DataFrame:
+    """Rows (row_id, placeholder, value) of the values that stand behind placeholders: for restricted storage alone.
+
+    entries: a column of vault_entries.
+    """
+    return df.select(row_id, F.inline(entries)).select(row_id, "placeholder", "value")
+
+
+def restore_from(df: DataFrame, text: str, row_id: str, values: DataFrame) -> DataFrame:
+    """df with the values of a vault table put back into `text`; rows without any stay as they are."""
+    own = values.groupBy(row_id).agg(F.collect_list(F.struct("placeholder", "value")).alias("__values"))  # the values of one text
+    return df.join(own, row_id, "left").withColumn(text, F.coalesce(restore(F.col(text), F.col("__values")), F.col(text))).drop("__values")
+
+
 def restore(text: Column, entries: Column) -> Column:
     """Pseudonymised text with its values again."""
     return F.aggregate(entries, text, lambda a, e: F.replace(a, e["placeholder"], e["value"]))

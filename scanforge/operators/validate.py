@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanforge.functions.rules import FRAMEWORKS
+from scanforge.functions.text import trimmed
 
 # Names that a declared secret may not take, and the shape that it must have.
 RESERVED = ("PATH", "HOME", "TMPDIR", "CODEX_HOME", "ARK_API_KEY", "NO_COLOR", "HTTP_PROXY", "HTTPS_PROXY", "NO_PROXY")
@@ -28,7 +29,7 @@ def validate(df: DataFrame, checks: list[Check], keep: list[str]) -> tuple[DataF
 
 
 def message_checks(content: str = "content") -> list[Check]:
-    return [(content, "must have 1 to 50000 characters", F.length(F.trim(content)).between(1, 50_000))]
+    return [(content, "must have 1 to 50000 characters", F.length(trimmed(F.col(content))).between(1, 50_000))]
 
 
 def secret_checks(secrets: str = "secrets") -> list[Check]:
@@ -55,7 +56,7 @@ def entry_checks(entries: str = "entries") -> list[Check]:
 def agent_checks() -> list[Check]:
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     return [
-        ("name", "must have 1 to 80 characters", F.length(F.trim(text("name"))).between(1, 80)),
+        ("name", "must have 1 to 80 characters", F.length(trimmed(text("name"))).between(1, 80)),
         ("description", "at most 500 characters", F.length(text("description")) <= 500),
         ("instructions", "at most 10000 characters", F.length(text("instructions")) <= 10_000),
     ]
@@ -70,10 +71,10 @@ def known_fields(json: str, allowed: list[str]) -> list[Check]:
 
 
 def policy_checks() -> list[Check]:
-    """frameworks, enabled_ids, disabled_ids: arrays or null; at least one is given."""
+    """redaction_enabled, frameworks, enabled_ids, disabled_ids: a boolean and arrays, or null; at least one is given."""
     ids = [
         (c, "at most 50 ids of 1 to 100 characters", F.col(c).isNull() | ((F.size(c) <= 50) & F.forall(c, lambda x: F.length(x).between(1, 100))))
         for c in ("enabled_ids", "disabled_ids")
     ]
     known = F.col("frameworks").isNull() | (F.size(F.array_except("frameworks", F.array(*[F.lit(f) for f in FRAMEWORKS]))) == 0)
-    return [("frameworks", "unknown framework", known), *ids, ("policy", "no field", F.coalesce(F.col("frameworks"), F.col("enabled_ids"), F.col("disabled_ids")).isNotNull())]
+    return [("frameworks", "unknown framework", known), *ids, ("policy", "no field", F.col("redaction_enabled").isNotNull() | F.coalesce(F.col("frameworks"), F.col("enabled_ids"), F.col("disabled_ids")).isNotNull())]

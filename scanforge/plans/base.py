@@ -27,6 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as the session has cores, where its files have fewer row groups; long scans need them."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -41,19 +47,22 @@ def pick_sql(number: str, values: tuple[str, ...]) -> str:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents (doc_id, text) with a plant at the end of each text."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), pick(F.col("doc_id"), PLANTS)).alias("text"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), pick(F.col("doc_id"), PLANTS)).alias("text")))
 
 
 DOCUMENTS = f"(SELECT doc_id, coalesce(text, '') || {pick_sql('doc_id', PLANTS)} AS text FROM documents)"
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A prompt for each document: a phrase by doc_id, then its source."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(pick(F.col("doc_id"), PHRASES), F.lit(" / "), F.coalesce("source", F.lit(""))).alias("text"))
+    """A prompt for each document: a phrase by doc_id, then its whole text."""
+    text = F.concat(pick(F.col("doc_id"), PHRASES), F.lit(" / "), F.coalesce("text", F.lit("")))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", text.alias("text")))
 
 
-#: The same with white space collapsed, as the scan sees it.
-PROMPTS = f"(SELECT doc_id, trim(regexp_replace({pick_sql('doc_id', PHRASES)} || ' / ' || coalesce(source, ''), '\\s+', ' ', 'g')) AS text FROM documents)"
+#: White space as the scan collapses it, in RE2's syntax.
+SPACES_RE2 = r"[ \t\n\x0B\f\r\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+#: The same prompts with white space collapsed, as the scan sees it.
+PROMPTS = f"(SELECT doc_id, trim(regexp_replace({pick_sql('doc_id', PHRASES)} || ' / ' || coalesce(text, ''), {quoted(SPACES_RE2 + '+')}, ' ', 'g')) AS text FROM documents)"
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from .base import CHUNKS, DECLARED, DOCUMENTS, EVENTS, MESSAGES, PROMPTS, RUNS,
 ALL = Policy(frameworks=FRAMEWORKS)
 #: Rules whose matches in the test data never overlap, so that plain replacement is their oracle.
 PLAIN = Policy(frameworks=(), enabled_ids=("us-ssn", "ipv4-address"))
-_S = r"[ \t\n\x0B\f\r\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+_S = base.SPACES_RE2
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _LUHN = (
@@ -24,6 +24,7 @@ _LUHN = (
     "CASE WHEN i % 2 = 0 THEN reverse(regexp_replace(v, '[^0-9]', '', 'g'))[i + 1]::INT ELSE (2 * reverse(regexp_replace(v, '[^0-9]', '', 'g'))[i + 1]::INT) // 10 + (2 * reverse(regexp_replace(v, '[^0-9]', '', 'g'))[i + 1]::INT) % 10 END)) % 10 = 0"
 )
 _ABA = "list_sum(list_transform(range(9), lambda i: v[i + 1]::INT * [3, 7, 1][i % 3 + 1])) % 10 = 0"
+# The PII rules again, written for RE2.
 #: The PII rules in RE2's dialect, with their gates on a match v.
 PII_SQL = {
     "email-address": (r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", "true"),
@@ -74,11 +75,18 @@ def pii_rule_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pii_findings_spans(spark: SparkSession, d: str) -> DataFrame:
-    rules = [r for r in ALL.redaction_rules() if r.id in ("email-address", "ipv4-address", "us-ssn", "credit-card-number")]
+    rules = [r for r in ALL.redaction_rules() if r.category == "pii"]
     return base.documents(spark, d).select("doc_id", F.inline(scan.find(F.col("text"), rules))).select("doc_id", "id", "start", F.col("end").alias("end_"))
 
 
 def redacted_documents(spark: SparkSession, d: str) -> DataFrame:
+    """All rules of all frameworks. Overlaps make this too much for SQL: tests hold it against a plain scan."""
+    out = scan.evaluate(base.documents(spark, d), policy=ALL)
+    return out.select("doc_id", "decision", "was_redacted", F.md5(F.encode("redacted", "UTF-8")).alias("redacted_md5"))
+
+
+def plainly_redacted_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The rules whose matches never overlap in these texts, so that plain replacement is the same."""
     out = scan.evaluate(base.documents(spark, d), policy=PLAIN)
     return out.select("doc_id", "decision", "was_redacted", F.md5(F.encode("redacted", "UTF-8")).alias("redacted_md5"))
 
@@ -100,8 +108,8 @@ def _redacted(text: str) -> str:
 
 
 def provider_secret_counts(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat(F.lit("Credential: "), base.pick(F.col("doc_id"), base.PROVIDER_PLANTS), F.lit(" of "), F.coalesce("source", F.lit("")))
-    docs = base.table(spark, d, "documents").select(text.alias("text"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" Credential: "), base.pick(F.col("doc_id"), base.PROVIDER_PLANTS), F.lit(" of "), F.coalesce("source", F.lit("")))
+    docs = base.spread(base.table(spark, d, "documents").select(text.alias("text")))
     return docs.select(F.inline(scan.find(F.col("text"), SECRET_RULES))).groupBy("id", "severity").agg(F.count("*").alias("n"))
 
 
@@ -311,6 +319,7 @@ def policy_violations(spark: SparkSession, d: str) -> DataFrame:
     p = base.table(spark, d, "documents").select(
         "doc_id", F.when(F.col("doc_id") % 2 == 0, F.array(base.pick(F.col("doc_id"), ("GDPR", "HIPAA", "DE", "CCPA")))).alias("frameworks"),
         F.when(F.col("doc_id") % 3 == 0, F.array("source", F.repeat("source", (F.col("doc_id") % 40).cast("int")))).alias("enabled_ids"), F.lit(None).cast("array<string>").alias("disabled_ids"),
+        F.when(F.col("doc_id") % 7 == 0, F.lit(True)).alias("redaction_enabled"),
     )
     _, bad = validate.validate(p, validate.policy_checks(), ["doc_id"])
     return bad.select("doc_id", F.array_join(F.transform("violations", lambda v: v["field"]), ",").alias("fields"))
@@ -334,6 +343,59 @@ def top_rules(spark: SparkSession, d: str) -> DataFrame:
     return pii_rule_counts(spark, d).orderBy(F.desc("n"), "id").limit(3).select("id", "n")
 
 
+def agent_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Messages of every third agent, in order. An unknown agent would be an error."""
+    t = base.table(spark, d, "conversations")
+    own = runs.rows_of(t, t, "conv_id", t.where("conv_id % 3 = 0"))
+    return own.select("conv_id", "turn", "role", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role")).alias("place"))
+
+
+def top_signatures(spark: SparkSession, d: str) -> DataFrame:
+    """The five most frequent shapes of secrets, and how often any secret occurred."""
+    s = secret_signatures(spark, d)
+    total = s.agg(F.sum("occurrences").alias("total"))
+    return mining.most_frequent(s, 5, *mining.SHAPE).join(F.broadcast(total)).select("length", "has_upper", "has_digit", "occurrences", "total")
+
+
+def vault_restore(spark: SparkSession, d: str) -> DataFrame:
+    """Texts restored from a vault table that is kept apart from them."""
+    kept = base.documents(spark, d).withColumn("kept", scan.resolve(scan.find(F.col("text"), PLAIN.redaction_rules())))
+    entries = kept.withColumn("entries", scan.vault_entries(F.col("text"), F.col("kept"), "job-salt", F.col("doc_id")))
+    hidden = entries.withColumn("text", scan.replace_spans(F.col("text"), F.col("kept"), lambda f, v: F.element_at(F.filter("entries", lambda e: e["value"] == v), 1)["placeholder"]))
+    back = scan.restore_from(hidden.select("doc_id", "text"), "text", "doc_id", scan.vault(entries, "doc_id", "entries"))
+    return back.select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
+
+
+def rule_catalogue(spark: SparkSession, d: str) -> DataFrame:
+    """Rules of each category, learned ones included."""
+    return catalogue(spark, learned_rules(spark, d)).groupBy("category").agg(F.count("*").alias("n"))
+
+
+def stored_traces(spark: SparkSession, d: str) -> DataFrame:
+    """Chat turns as outputs of runs, with what their conversation declares, as they are kept."""
+    t = base.table(spark, d, "conversations")
+    text = F.coalesce("text", F.lit(""))
+    run = F.concat_ws("-", "conv_id", "turn", "role").alias("run_id")
+    output = F.concat(text, F.lit(" ~ "), F.substring(text, 3, 12), base.pick(F.col("conv_id"), base.PLANTS))
+    status = base.pick(F.col("turn"), ("completed", "cancelled", "failed"))
+    rows = t.select(run, text.alias("prompt"), output.alias("output"), output.alias("error"), status.alias("status"))
+    kept = runs.stored_trace(rows, t.select(run, F.create_map(F.lit("NAME"), F.substring(text, 3, 12)).alias("secrets")), PLAIN)
+    return kept.select("run_id", *[F.md5(F.encode(c, "UTF-8")).alias(f"{c}_md5") for c in ("prompt", "output", "error")])
+
+
+def run_audit(spark: SparkSession, d: str) -> DataFrame:
+    """What the event of a scan's decision says was found, without values."""
+    p = base.prompts(spark, d)
+    s = scan.evaluate(p, policy=Policy(redaction_enabled=False))
+    names = F.create_map(F.lit("A_KEY"), F.lit("x"), F.lit("B_KEY"), F.lit("y"))
+    facts = s.select(
+        F.col("doc_id").alias("run_id"), F.lit(1).alias("agent_id"), F.timestamp_seconds("doc_id").alias("ts"), F.lit(True).alias("scanned"), F.lit(False).alias("was_redacted"), "decision", "reason", F.lit("completed").alias("status"),
+        F.lit(False).alias("user_stopped"), F.lit(False).alias("timed_out"), F.lit(False).alias("over_cap"), runs.audit_metadata(F.col("findings"), names).alias("metadata"),
+    )
+    e = runs.safety_events(facts).where("seq = 2")
+    return e.select("run_id", F.array_join("metadata.finding_ids", ",").alias("ids"), F.array_join("metadata.finding_categories", ",").alias("categories"), F.array_join("metadata.secret_names", ",").alias("names"))
+
+
 def confidence_training(spark: SparkSession, d: str) -> DataFrame:
     """Metrics on held-out spans: values assigned to secret names against long words of documents."""
     docs = base.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -345,10 +407,10 @@ def confidence_training(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     fs = (
-        pii_rule_counts, pii_findings_spans, redacted_documents, redact_text, provider_secret_counts, generic_assignment, injection_findings, block_decisions, normalized_text, vault_roundtrip,
+        pii_rule_counts, pii_findings_spans, redacted_documents, plainly_redacted_documents, redact_text, provider_secret_counts, generic_assignment, injection_findings, block_decisions, normalized_text, vault_roundtrip,
         declared_scrub, partial_scrub, secret_signatures, merged_signatures, learned_rules, learned_asof_hits, run_summary, token_usage, output_cap, stderr_tail, run_outcomes, run_durations, safety_events,
         event_timeline, event_cube, safety_badge, latest_runs, agent_status, overlapping_runs, recovered_runs, agent_purge, audit_mart, orphan_events, message_log, message_violations,
-        secret_name_violations, policy_violations, findings_rollup, framework_report, top_rules, confidence_training,
+        secret_name_violations, policy_violations, findings_rollup, framework_report, top_rules, confidence_training, agent_messages, top_signatures, vault_restore, rule_catalogue, stored_traces, run_audit,
     )
     return {f.__name__: f for f in fs}
 
@@ -363,9 +425,8 @@ _TOOL = f"({_KIND['commands']} OR {_KIND['file_edits']} OR {_KIND['other']})"
 _CAPPED = f"(SELECT *, total_bytes - strlen(chunk) AS before FROM (SELECT *, sum(strlen(chunk)) OVER (PARTITION BY run_id ORDER BY seq) AS total_bytes FROM {CHUNKS}))"
 _N = lambda k: f"count(*) FILTER ({_KIND[k]})"
 _SUMMARY = f"""(SELECT run_id, arg_max('t' || event_id, event_id) FILTER ({_KIND['started']}) AS thread_id, arg_max('done ' || event_id, event_id) FILTER ({_KIND['said']}) AS message,
-  arg_max('failed at ' || event_id, event_id) FILTER ({_KIND['bad']}) AS last_error, nullif(count(*) FILTER ({_STEP}), 0) AS step_count,
-  CASE WHEN count(*) FILTER ({_TOOL}) > 0 THEN {_N('commands')} END AS commands, CASE WHEN count(*) FILTER ({_TOOL}) > 0 THEN {_N('file_edits')} END AS file_edits,
-  CASE WHEN count(*) FILTER ({_TOOL}) > 0 THEN {_N('other')} END AS other, arg_max(floor(value)::BIGINT, event_id) FILTER ({_KIND['paid']}) AS paid FROM {EVENTS} WHERE ok GROUP BY run_id)"""
+  arg_max('failed at ' || event_id, event_id) FILTER ({_KIND['bad']}) AS last_error, count(*) FILTER ({_STEP}) AS step_count,
+  {_N('commands')} AS commands, {_N('file_edits')} AS file_edits, {_N('other')} AS other, arg_max(floor(value)::BIGINT, event_id) FILTER ({_KIND['paid']}) AS paid FROM {EVENTS} WHERE ok GROUP BY run_id)"""
 _ENTROPY = "list_sum(list_transform(list_distinct(string_split(value, '')), lambda c: -((len(value) - len(replace(value, c, ''))) / len(value)) * log2((len(value) - len(replace(value, c, ''))) / len(value))))"
 _SIGNED = f"(SELECT ts, len(value)::INT AS length, floor({_ENTROPY} * 100 + 0.5) / 100 AS entropy, regexp_matches(value, '[A-Z]') AS has_upper, regexp_matches(value, '[a-z]') AS has_lower, regexp_matches(value, '[0-9]') AS has_digit, regexp_matches(value, '[^A-Za-z0-9]') AS has_symbol FROM {DECLARED})"
 _BLOCKED = f"(SELECT doc_id, string_agg(DISTINCT id, ', ' ORDER BY id) AS any_id, list(id ORDER BY o) AS ids FROM (SELECT DISTINCT doc_id, o, id FROM ({_injection_rows()}) WHERE severity IN ('critical', 'high')) GROUP BY doc_id)"
@@ -375,16 +436,15 @@ _SEVERITY = "CASE id " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _PII_SEVE
 
 
 def oracle_sql() -> dict[str, str]:
-    spans = {k: PII_SQL[k] for k in ("email-address", "ipv4-address", "us-ssn", "credit-card-number")}
     frameworks = ", ".join(f"('{r.id}', '{f}')" for r in ALL.redaction_rules() for f in r.frameworks)
     providers = " UNION ALL ".join(f"SELECT {quoted(r.id)} AS id, {quoted(r.severity)} AS severity, unnest(regexp_extract_all(text, {quoted(_provider_re2(r.id, r.pattern))})) AS v FROM k" for r in SECRET_RULES if r.id in _PROVIDERS)
     late = "TIMESTAMP '2024-03-01 00:00:00'"
     return {
         "pii_rule_counts": f"SELECT id, {_SEVERITY} AS severity, count(*) AS n FROM ({_PII_ROWS}) GROUP BY ALL",
-        "pii_findings_spans": _spans(DOCUMENTS, spans),
-        "redacted_documents": f"SELECT doc_id, 'ALLOW' AS decision, r <> text AS was_redacted, md5(r) AS redacted_md5 FROM (SELECT doc_id, text, {_redacted('text')} AS r FROM {DOCUMENTS})",
+        "pii_findings_spans": _spans(DOCUMENTS, PII_SQL),
+        "plainly_redacted_documents": f"SELECT doc_id, 'ALLOW' AS decision, r <> text AS was_redacted, md5(r) AS redacted_md5 FROM (SELECT doc_id, text, {_redacted('text')} AS r FROM {DOCUMENTS})",
         "redact_text": f"SELECT conv_id, turn, md5({_redacted('text || ' + base.pick_sql('conv_id', base.PLANTS))}) AS redacted_md5 FROM conversations",
-        "provider_secret_counts": f"WITH k AS (SELECT 'Credential: ' || {base.pick_sql('doc_id', base.PROVIDER_PLANTS)} || ' of ' || coalesce(source, '') AS text FROM documents) SELECT id, severity, count(*) AS n FROM ({providers}) GROUP BY ALL",
+        "provider_secret_counts": f"WITH k AS (SELECT coalesce(text, '') || ' Credential: ' || {base.pick_sql('doc_id', base.PROVIDER_PLANTS)} || ' of ' || coalesce(source, '') AS text FROM documents) SELECT id, severity, count(*) AS n FROM ({providers}) GROUP BY ALL",
         "generic_assignment": f"SELECT doc_id, 1::BIGINT AS n FROM {DOCUMENTS} WHERE contains(text, 'client_secret=')",
         "injection_findings": f"SELECT id, severity, count(*) AS n, count(DISTINCT doc_id) AS docs FROM ({_injection_rows()}) GROUP BY ALL",
         "block_decisions": f"SELECT * FROM {_DECIDED}",
@@ -398,9 +458,9 @@ def oracle_sql() -> dict[str, str]:
         "learned_asof_hits": "WITH r AS (SELECT min(ts) AS first_seen, min(12 + event_id % 5) AS n FROM events WHERE event_type = 'error'), h AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\\btoken" + _S.replace("\\", "\\") + "*[:=]" + _S + "*[\"'']?([A-Za-z0-9_\\-/+.=]{4,})', 1)) AS v FROM documents) "
         "SELECT doc_id, 'learned-token' AS id, count(*) AS n FROM h, r WHERE len(v) >= r.n AND to_timestamp(1704067200 + doc_id * 60)::TIMESTAMP >= first_seen GROUP BY doc_id",
         "run_summary": f"SELECT run_id, thread_id, message, last_error, step_count, commands, file_edits, other FROM {_SUMMARY}",
-        "token_usage": "SELECT run_id, CASE WHEN paid IS NULL THEN 'Pending' ELSE (paid * 10) || ' in / ' || paid || ' out' END AS usage, CASE WHEN commands IS NULL THEN 'Not reported' ELSE array_to_string(list_filter(["
-        + ", ".join(f"CASE WHEN {c} > 0 THEN {c} || ' ' || CASE WHEN {c} = 1 THEN '{one}' ELSE '{many}' END END" for c, one, many in (("commands", "command", "commands"), ("file_edits", "file edit", "file edits"), ("other", "other", "other")))
-        + f"], lambda x: x IS NOT NULL), ', ') END AS tools FROM {_SUMMARY}",
+        "token_usage": "SELECT run_id, CASE WHEN paid IS NULL THEN 'Pending' ELSE (paid * 10) || ' in / ' || paid || ' out' END AS usage, CASE WHEN commands + file_edits + other = 0 THEN 'None — text only' ELSE (commands + file_edits + other) || ' (' || "
+        "concat_ws(', ', CASE commands WHEN 0 THEN NULL WHEN 1 THEN '1 command' ELSE commands || ' commands' END, CASE file_edits WHEN 0 THEN NULL WHEN 1 THEN '1 file edit' ELSE file_edits || ' file edits' END, CASE WHEN other > 0 THEN other || ' other' END) || ')' END AS tools "
+        f"FROM {_SUMMARY}",
         "output_cap": f"SELECT run_id, max(total_bytes)::BIGINT AS total_bytes, min(seq) FILTER (total_bytes > 2000 AND before <= 2000) AS crossed_at, count(*) FILTER (before > 2000) AS dropped FROM {_CAPPED} GROUP BY run_id",
         "stderr_tail": f"SELECT run_id, md5(right(string_agg(chunk, '' ORDER BY seq), 300)) AS stderr_md5 FROM {CHUNKS} WHERE stream = 'stderr' GROUP BY run_id",
         "run_outcomes": f"""WITH p AS (SELECT run_id, min(event_id) % 11 = 0 AS user_stopped, max(event_id) % 5 = 0 AS failed FROM {EVENTS} GROUP BY run_id), c AS (SELECT run_id, max(total_bytes) > 2000 AS over_cap FROM {_CAPPED} GROUP BY run_id),
@@ -425,13 +485,29 @@ SELECT run_id, outcome, CASE WHEN outcome IN ('cancelled', 'completed') THEN out
         "message_log": "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS n FROM conversations WHERE role IN ('user', 'assistant')",
         "message_violations": f"SELECT conv_id, turn, 1::BIGINT AS n FROM {MESSAGES} WHERE content IS NULL OR length(trim(content)) NOT BETWEEN 1 AND 50000",
         "secret_name_violations": f"SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN NOT regexp_matches(name, '^[A-Z][A-Z0-9_]{{0,63}}$') THEN 'names must be upper-case identifiers' END, CASE WHEN coalesce(length(value), 0) < 1 THEN 'values must have 1 to 8192 characters' END, CASE WHEN name = 'PATH' THEN 'reserved name' END], lambda x: x IS NOT NULL), '; ') AS messages FROM {MESSAGES} WHERE NOT regexp_matches(name, '^[A-Z][A-Z0-9_]{{0,63}}$') OR coalesce(length(value), 0) < 1 OR name = 'PATH'",
-        "policy_violations": "SELECT doc_id, array_to_string(list_filter([CASE WHEN doc_id % 2 = 0 AND doc_id % 4 = 2 THEN 'frameworks' END, CASE WHEN doc_id % 3 = 0 AND (length(source) * (doc_id % 40) NOT BETWEEN 1 AND 100) THEN 'enabled_ids' END, CASE WHEN doc_id % 2 <> 0 AND doc_id % 3 <> 0 THEN 'policy' END], lambda x: x IS NOT NULL), ',') AS fields FROM documents WHERE (doc_id % 4 = 2) OR (doc_id % 3 = 0 AND length(source) * (doc_id % 40) NOT BETWEEN 1 AND 100) OR (doc_id % 2 <> 0 AND doc_id % 3 <> 0)",
+        "policy_violations": "SELECT doc_id, array_to_string(list_filter([CASE WHEN doc_id % 2 = 0 AND doc_id % 4 = 2 THEN 'frameworks' END, CASE WHEN doc_id % 3 = 0 AND (length(source) * (doc_id % 40) NOT BETWEEN 1 AND 100) THEN 'enabled_ids' END, CASE WHEN doc_id % 2 <> 0 AND doc_id % 3 <> 0 AND doc_id % 7 <> 0 THEN 'policy' END], lambda x: x IS NOT NULL), ',') AS fields FROM documents WHERE (doc_id % 4 = 2) OR (doc_id % 3 = 0 AND length(source) * (doc_id % 40) NOT BETWEEN 1 AND 100) OR (doc_id % 2 <> 0 AND doc_id % 3 <> 0 AND doc_id % 7 <> 0)",
         "findings_rollup": f"SELECT category, severity, id, count(*) AS n FROM (SELECT 'pii' AS category, {_SEVERITY} AS severity, id FROM ({_PII_ROWS})) GROUP BY ROLLUP (category, severity, id)",
         "framework_report": f"SELECT framework, count(*) AS n, count(DISTINCT id) AS rules FROM ({_PII_ROWS}) JOIN (VALUES {frameworks}) f(id, framework) USING (id) GROUP BY framework",
+        "agent_messages": "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS place FROM conversations WHERE conv_id % 3 = 0",
+        "top_signatures": f"WITH s AS (SELECT length, entropy, has_upper, has_lower, has_digit, has_symbol, count(*) AS occurrences FROM {_SIGNED} GROUP BY ALL) SELECT length, has_upper, has_digit, occurrences, (SELECT sum(occurrences)::BIGINT FROM s) AS total FROM s ORDER BY occurrences DESC, length, entropy, has_upper, has_lower, has_digit, has_symbol LIMIT 5",
+        "vault_restore": f"SELECT doc_id, md5(text) AS text_md5 FROM {DOCUMENTS}",
+        "rule_catalogue": "SELECT category, n + CASE category WHEN 'secret' THEN (SELECT count(DISTINCT event_type) FROM events WHERE event_id % 24 > 0) ELSE 0 END AS n FROM (VALUES ('secret', 16), ('pii', 10), ('prompt_injection', 24)) v(category, n)",
+        "stored_traces": _traces_sql(),
+        "run_audit": f"SELECT p.doc_id AS run_id, coalesce(ids, '') AS ids, CASE WHEN ids IS NULL THEN '' ELSE 'prompt_injection' END AS categories, 'A_KEY,B_KEY' AS names FROM {PROMPTS} p LEFT JOIN (SELECT doc_id, string_agg(id, ',' ORDER BY o) AS ids FROM (SELECT DISTINCT doc_id, o, id FROM ({_injection_rows()})) GROUP BY doc_id) USING (doc_id)",
         "top_rules": f"SELECT id, count(*) AS n FROM ({_PII_ROWS}) GROUP BY id ORDER BY n DESC, id LIMIT 3",
     }
 
 
+def _traces_sql() -> str:
+    out = _redacted(f"coalesce(text, '') || ' ~ ' || v || {base.pick_sql('conv_id', base.PLANTS)}")
+    gone = f"CASE WHEN length(v) = 0 THEN {{0}} WHEN length(v) < 12 THEN replace({{0}}, v, '{SECRET_LABEL}') ELSE replace(replace(replace({{0}}, v, '{SECRET_LABEL}'), left(v, 6), '[REDACTED_SECRET_FRAGMENT]'), right(v, 6), '[REDACTED_SECRET_FRAGMENT]') END"
+    status = base.pick_sql("turn", ("completed", "cancelled", "failed"))
+    return (
+        f"SELECT concat_ws('-', conv_id, turn, role) AS run_id, md5(p) AS prompt_md5, md5({gone.format('r')}) AS output_md5, md5(CASE WHEN status = 'cancelled' THEN 'Run cancelled' ELSE {gone.format('r')} END) AS error_md5 "
+        f"FROM (SELECT *, {_redacted("coalesce(text, '')")} AS p, {out} AS r, {status} AS status FROM (SELECT *, substr(coalesce(text, ''), 3, 12) AS v FROM conversations))"
+    )
+
+
 def _provider_re2(rule: str, pattern: str) -> str:
     """A provider rule in RE2's dialect; where it looks around, by hand."""
     return {"openai-api-key": r"\bsk-[A-Za-z0-9]{20,}\b", "gcp-api-key": r"\bAIza[0-9A-Za-z_-]{35}"}.get(rule) or _re2(pattern)

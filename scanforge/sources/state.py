@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,10 +52,39 @@ def read_state(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return out
 
 
-def publish(df: DataFrame, path: str, mode: str = "overwrite", by: str | None = None) -> None:
-    """Write a table as Parquet, all of it or nothing, by the commit protocol."""
-    w = df.write.mode(mode)
-    (w.partitionBy(by) if by else w).parquet(path)
+def _versions(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.schema("version long, tables array<string>").parquet(f"{path}/published")
+    except AnalysisException:  # nothing was published yet
+        return None
+
+
+def _newest(spark: SparkSession, path: str):
+    done = _versions(spark, path)
+    return None if done is None else done.orderBy(F.desc("version")).first()
+
+
+def publish(tables: dict[str, DataFrame], path: str) -> int:
+    """Publish tables together, all of them or nothing, and return their version.
+
+    Each table is written to a folder of the new version. Only then is one row with the version's number added to
+    the table `published`, which Spark's commit makes visible at once; readers go by its newest row. A publication that
+    fails on the way leaves the one before as it was. One writer at a time.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    last = _newest(spark, path)
+    version = (last.version if last else 0) + 1
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{version}/{name}")
+    row = spark.createDataFrame([(version, sorted(tables))], "version long, tables array<string>")
+    row.coalesce(1).write.mode("append").parquet(f"{path}/published")
+    return version
+
+
+def read_published(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of the newest publication; none, if there is none."""
+    last = _newest(spark, path)
+    return {} if last is None else {name: spark.read.parquet(f"{path}/{last.version}/{name}") for name in last.tables}
 
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:

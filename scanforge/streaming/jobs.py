@@ -19,16 +19,42 @@ def scan_stream(messages: DataFrame, policy: Policy = Policy(), text: str = "con
     return scan.evaluate(messages, text, policy, row_id=row_id).drop("execution")
 
 
-def mine_stream(messages: DataFrame, load: Callable[[], DataFrame | None], store: Callable[[DataFrame], None], checkpoint: str, ts: str = "created_at") -> StreamingQuery:
-    """Keep the learned-rule table up to date: each batch is counted and merged into what is stored."""
+Load, Store = Callable[[], DataFrame | None], Callable[[DataFrame], None]
+
+
+def _merged(new: DataFrame, load: Load, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    old = load()
+    return new if old is None else merge(old, new)
+
+
+def mine_stream(messages: DataFrame, rules: tuple[Load, Store], checkpoint: str, shapes: tuple[Load, Store] | None = None, ts: str = "created_at") -> StreamingQuery:
+    """Keep the learned-rule table, and that of signatures, up to date: each batch is counted and merged into what is stored.
+
+    rules, shapes: how to load and store a table. A store must replace the whole table at once (see sources.state.publish).
+    """
 
     def merge(batch: DataFrame, _: int) -> None:
-        new, old = mining.learned_rules(mining.declared(batch, ts)), load()
-        store(new if old is None else mining.merge_rules(old, new))
+        found = mining.declared(batch, ts)
+        rules[1](_merged(mining.learned_rules(found), rules[0], mining.merge_rules))
+        if shapes:
+            shapes[1](_merged(mining.signatures(found), shapes[0], mining.merge_signatures))
 
     return messages.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def scan_and_learn_stream(messages: DataFrame, rules: tuple[Load, Store], sink: Callable[[DataFrame, int], None], checkpoint: str, ts: str = "created_at", policy: Policy = Policy()) -> StreamingQuery:
+    """Each batch is scanned with all rules learned so far, its own declarations included, and then given to sink with its number."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()  # read three times: declarations, hits, rows
+        learned, scanned = learn_then_scan(batch, rules[0](), ts, policy)
+        sink(scanned, number)
+        rules[1](learned)
+        batch.unpersist()
+
+    return messages.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def learn_then_scan(batch: DataFrame, known: DataFrame | None, ts: str = "created_at", policy: Policy = Policy()) -> tuple[DataFrame, DataFrame]:
     """Of one micro-batch (id, content, secrets, ts): the rules with its own declarations, and its rows scanned with them."""
     new = mining.learned_rules(mining.declared(batch, ts))
@@ -61,7 +87,7 @@ class RunTimeout(StatefulProcessor):
         elif first is not None and not self.started.exists():
             self.started.update((first,))
             self.handle.registerTimer(first + self.limit_ms)
-        yield pd.DataFrame({"run_id": [], "decision": [], "at_ms": []})
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         at = expiredTimerInfo.getExpiryTimeInMs()

@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from scanforge.functions.text import tool_summary
 from scanforge.operators import mining, runs, scan, validate
 from scanforge.sources import state
 from scanforge.streaming import jobs
@@ -55,7 +56,12 @@ def test_run_log(spark):
     got = {r.run_id: r for r in runs.summarise(df).collect()}
     r, q = got["r"], got["q"]
     assert (r.thread_id, r.message, r.step_count, r.tool_calls.asDict()) == ("t1", "hi", 6, {"commands": 2, "file_edits": 1, "other": 1})
-    assert (q.step_count, q.tool_calls, q.last_error, q.usage) == (None, None, "bad", None)
+    assert (q.step_count, q.tool_calls.asDict(), q.last_error, q.usage) == (0, {"commands": 0, "file_edits": 0, "other": 0}, "bad", None)
+    assert q.message is None
+    said = spark.createDataFrame([("s", 0, item("agent_message", text="\n\t \u00a0"))], "run_id string, line_no long, line string")
+    assert runs.summarise(said).first().message is None
+    tools = [r[0] for r in spark.createDataFrame([((2, 1, 3),), ((0, 0, 0),), (None,), ((1, 0, 0),)], "c struct<commands:int,file_edits:int,other:int>").select(tool_summary(F.col("c"))).collect()]
+    assert tools == ["6 (2 commands, 1 file edit, 3 other)", "None — text only", "Not reported", "1 (1 command)"]
 
 
 def test_output_cap(spark):
@@ -74,7 +80,7 @@ def test_outcome_order(spark):
 
 
 def test_contracts(spark):
-    rows = [(1, "  ", {"aws-key": "v"}), (2, "ok", {"PATH": "v"}), (3, "ok", {f"K{i}": "v" for i in range(21)}), (4, "ok", {"K": "v" * 8193}), (5, "ok", {"K": "v"}), (6, None, None)]
+    rows = [(1, " \n\t\u00a0", {"aws-key": "v"}), (2, "ok", {"PATH": "v"}), (3, "ok", {f"K{i}": "v" for i in range(21)}), (4, "ok", {"K": "v" * 8193}), (5, "ok", {"K": "v"}), (6, None, None)]
     df = spark.createDataFrame(rows, "id long, content string, secrets map<string,string>")
     good, bad = validate.validate(df, validate.message_checks() + validate.secret_checks(), ["id"])
     assert [r.id for r in good.collect()] == [5]
@@ -87,6 +93,26 @@ def test_contracts(spark):
     assert [len(r.v) for r in extra.select(validate.violations(validate.known_fields("j", ["a"])).alias("v")).collect()] == [0, 1]
 
 
+def test_policy_rows_and_lookups(spark):
+    p = spark.createDataFrame([(True, None), (None, None), (None, ["GDPR"]), (None, ["XX"])], "redaction_enabled boolean, frameworks array<string>").withColumns({c: F.lit(None).cast("array<string>") for c in ("enabled_ids", "disabled_ids")})
+    assert [len(r.v) for r in p.select(validate.violations(validate.policy_checks()).alias("v")).collect()] == [0, 1, 0, 1]
+    events = spark.createDataFrame([("r", 1), ("r", 2), ("q", 3)], "run_id string, n int")
+    known = spark.createDataFrame([("r",), ("q",)], "run_id string")
+    ask = lambda x: runs.rows_of(events, known, "run_id", spark.createDataFrame([(x,)], "run_id string"))
+    assert sorted(r.n for r in ask("r").collect()) == [1, 2]
+    with pytest.raises(Exception, match="unknown run_id zz"):
+        ask("zz").collect()
+
+
+def test_stored_trace(spark):
+    value = "abcdefXYZuvwxyz123"
+    rows = [("a", "mail ann@example.org", f"out {value}, ann@example.org", None, "completed"), ("b", "p", None, f"bad {value}", "failed"), ("c", None, None, "secret text", "cancelled")]
+    df = spark.createDataFrame(rows, "run_id string, prompt string, output string, error string, status string")
+    got = {r.run_id: r for r in runs.stored_trace(df, spark.createDataFrame([("a", {"K": value}), ("b", {"K": value})], "run_id string, secrets map<string,string>")).collect()}
+    assert (got["a"].prompt, got["a"].output) == ("mail [REDACTED_PII]", "out [REDACTED_SECRET], [REDACTED_PII]")
+    assert (got["b"].error, got["b"].output, got["c"].error, got["c"].prompt) == ("bad [REDACTED_SECRET]", None, "Run cancelled", None)
+
+
 def test_state_database(spark, tmp_path):
     path = tmp_path / "db.json"
     path.write_text(json.dumps({"version": 1, "agents": [{"id": "a", "name": "n", "createdAt": "2024-01-01T00:00:00.000Z"}], "messages": [], "runs": [{"id": "r", "agentId": "a", "usage": {"inputTokens": 3}}]}, indent=1))
@@ -96,8 +122,14 @@ def test_state_database(spark, tmp_path):
     with pytest.raises(Exception, match="unsupported state version"):
         state.read_state(spark, f"file://{path}")["runs"].collect()
     out = tmp_path / "out"
-    state.publish(tables["agents"].sparkSession.range(3), f"file://{out}")
-    assert spark.read.parquet(f"file://{out}").count() == 3
+    assert state.read_published(spark, f"file://{out}") == {}
+    assert state.publish({"agents": spark.range(3), "runs": spark.range(2)}, f"file://{out}") == 1
+    broken = spark.range(5).select(F.raise_error(F.lit("disk full")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="disk full"):
+        state.publish({"agents": spark.range(9), "runs": broken}, f"file://{out}")
+    assert {k: t.count() for k, t in state.read_published(spark, f"file://{out}").items()} == {"agents": 3, "runs": 2}
+    state.publish({"agents": spark.range(4)}, f"file://{out}")
+    assert {k: t.count() for k, t in state.read_published(spark, f"file://{out}").items()} == {"agents": 4}
     (tmp_path / "logs").mkdir()
     (tmp_path / "logs" / "run1.jsonl").write_text("a\nb\n")
     got = state.read_log_lines(spark, f"file://{tmp_path}/logs").orderBy("line_no").collect()
@@ -119,8 +151,14 @@ def test_streams_equal_batch(spark, tmp_path):
     got = {r.id: (r.decision, r.redacted) for r in spark.table("scanned").collect()}
     assert got == {r.id: (r.decision, r.redacted) for r in scan.evaluate(df, "content").collect()}
     held = {}
-    jobs.mine_stream(stream, lambda: held.get("t"), lambda t: held.__setitem__("t", spark.createDataFrame(t.collect(), t.schema)), f"file://{tmp_path}/cp").awaitTermination()
+    slot = lambda k: (lambda: held.get(k), lambda t: held.__setitem__(k, spark.createDataFrame(t.collect(), t.schema)))
+    jobs.mine_stream(stream, slot("t"), f"file://{tmp_path}/cp", slot("s")).awaitTermination()
     assert held["t"].first().id == "learned-my-token"
+    assert held["s"].collect() == mining.signatures(mining.declared(df, "created_at")).collect()
+    got = []
+    jobs.scan_and_learn_stream(stream, slot("u"), lambda out, n: got.extend(out.collect()), f"file://{tmp_path}/cp2").awaitTermination()
+    rules, batch = jobs.learn_then_scan(df, None)
+    assert sorted(map(str, got)) == sorted(map(str, batch.collect())) and held["u"].collect() == rules.collect()
     late = spark.createDataFrame([("3", "MY_TOKEN=qqqqqqqqqqq", None, T0)], df.schema)
     _, out = jobs.learn_then_scan(late, held["t"])
     assert out.first().redacted == "MY_TOKEN=[REDACTED_SECRET]"
