@@ -2,8 +2,11 @@
 
 First pass: each page gives the hashes of its block elements; Spark counts on how many different pages
 of a host each hash occurs. Pages with the same text count once, so a copied page does not make its own
-article a template. Second pass: each page is read again, without the recurring subtrees and without
-the elements whose name, class or role says that they are no article.
+article a template. A subtree on a share of the host's different pages, and on a few at least, is its template.
+
+Second pass: each page is read again and its template subtrees are deleted, wherever they stand. The article is
+then looked for in what is left. Names, classes and roles that say that an element is no article remove what no
+count can show: the parts of a page that differ on each page, and all of them on hosts of one or two pages.
 """
 
 from __future__ import annotations
@@ -21,8 +24,10 @@ from pyspark.sql import types as T
 from .common import cut
 from .html_parse import INLINE, PROSE, Page, attributes, parse
 
-#: Different pages of a host that must hold a subtree before it counts as the site's template.
-MIN_PAGES = 5
+#: Different pages of a host that must hold a subtree before it counts as the site's template: a few, and a share of all.
+MIN_PAGES, MIN_SHARE = 3, 0.05
+#: Stands for the page itself among the hashes of a page's subtrees.
+PAGE_HASH = 0
 #: Recurring (host, hash) rows that may be broadcast (16 bytes each and the hosts' names); beyond, they are joined.
 BROADCAST_ROWS = 500_000
 
@@ -114,24 +119,28 @@ def _sizes(page: Page, dropped: list[bool]) -> list[int]:
     return sizes
 
 
-def main_text(page: Page, recurring: frozenset[int] | set[int] = frozenset()) -> str:
-    """The article's blocks, each with single spaces, joined by a space.
+def template(page: Page, recurring: frozenset[int] | set[int]) -> list[bool]:
+    """Elements whose subtree recurs on the host. Prose of a named article stays: what the article says is not the template's."""
+    out = [False] * len(page.tags)
+    if not recurring:
+        return out
+    named = [t in ("article", "main") for t in page.tags]
+    within, frame = _inside(page, named), list(named)
+    for i in range(len(frame) - 1, 0, -1):  # an article and what it stands in are not deleted with it
+        if frame[i]:
+            frame[page.parents[i]] = True
+    for i in range(1, len(page.tags)):
+        tag = page.tags[i]
+        out[i] = page.hashes[i] in recurring and tag not in INLINE and not frame[i] and not (within[i] and tag in PROSE)
+    return out
 
-    recurring: subtree hashes of the host's template. Prose inside the article stays even so: what the
-    article says is not the template's.
-    """
-    dropped = _own_rules(page)
+
+def main_text(page: Page, recurring: frozenset[int] | set[int] = frozenset()) -> str:
+    """The article's blocks, each with single spaces, joined by a space. recurring: subtree hashes of the host's template."""
+    dropped = template(page, recurring)
+    dropped = [a or b for a, b in zip(dropped, _own_rules(page), strict=True)]
     root = _choose(page, dropped, _sizes(page, dropped))
     within = _inside(page, [i == root for i in range(len(page.tags))])
-    named = page.tags[root] in ("article", "main")
-    if recurring:
-        for i in range(1, len(page.tags)):
-            if i != root and page.hashes[i] in recurring and page.tags[i] not in INLINE and not (named and within[i] and page.tags[i] in PROSE):
-                dropped[i] = True
-        up = root
-        while up > 0:  # the article and what is around it stay
-            dropped[up] = False
-            up = page.parents[up]
     gone, out = _inside(page, dropped), []
     for i, s in page.events:
         if s is not None:
@@ -159,7 +168,7 @@ def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, hosts, hashes, texts = [], [], [], []
         for i, where, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             page = parse(source)
-            own = block_hashes(page)
+            own = [PAGE_HASH, *block_hashes(page)]
             sign = xxhash.xxh64_intdigest(main_text(page).encode("utf-8", "replace"))
             ids.extend([i] * len(own))
             hosts.extend([where] * len(own))
@@ -185,25 +194,28 @@ def _joined_texts(found: pa.Array, sources: pa.Array) -> pa.Array:
     return pa.array([main_text(parse(s), {h & 0xFFFFFFFFFFFFFFFF for h in k or ()}) for k, s in pages], pa.string())
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Adds `text`, the main text of each page (empty if there is none). A column of that name is replaced.
 
     pages: page_id (integer), url, html, and any other columns, which pass through. A null or empty html has
     no text. A null url, or one without a host, is of the host ''. A repeated page (the same main text) counts
-    once towards the template. An empty table gives an empty table.
+    once towards the template. Null and repeated page_ids are pages like any other. An empty table gives an empty table.
     """
-    keyed = pages.withColumn("__host", host(F.col("url").cast("string")))
-    rows = keyed.select(F.col("page_id").cast("long"), "__host", F.col("html").cast("string")).mapInArrow(_hash_rows, "id long, host string, h long, sign long")
+    where = "__host" + "_" * sum(c.startswith("__host") for c in pages.columns)
+    keyed = pages.withColumn(where, host(F.col("url").cast("string")))
+    rows = keyed.select(F.col("page_id").cast("long"), where, F.col("html").cast("string")).mapInArrow(_hash_rows, "id long, host string, h long, sign long")
     different = rows.groupBy("host", "h", "sign").agg(F.lit(1).alias("one"))
-    recurring = cut(different.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("host", "h"))
+    often = cut(different.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages))
+    of = often.where(F.col("h") == PAGE_HASH).select("host", F.col("n").alias("pages"))
+    recurring = cut(often.where(F.col("h") != PAGE_HASH).join(of, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "h"))
     if recurring.count() <= broadcast_rows:
         table: dict[str, list[int]] = {}
         for r in recurring.collect():
             table.setdefault(r.host, []).append(r.h)
         shared = pages.sparkSession.sparkContext.broadcast({k: np.array(v, np.int64).view(np.uint64) for k, v in table.items()})
-        out = keyed.withColumn("text", _shared_texts(shared)(F.col("__host"), F.col("html").cast("string")))
+        out = keyed.withColumn("text", _shared_texts(shared)(F.col(where), F.col("html").cast("string")))
     else:
-        of_page = rows.select("id", "host", "h").join(recurring, ["host", "h"]).groupBy(F.col("id").alias("__id"), F.col("host").alias("__of")).agg(F.collect_set("h").alias("__found"))
-        same = keyed["page_id"].cast("long").eqNullSafe(of_page["__id"]) & (keyed["__host"] == of_page["__of"])
+        of_page = rows.select("id", "host", "h").distinct().join(recurring, ["host", "h"]).groupBy(F.col("id").alias("__id"), F.col("host").alias("__of")).agg(F.collect_set("h").alias("__found"))
+        same = keyed["page_id"].cast("long").eqNullSafe(of_page["__id"]) & (keyed[where] == of_page["__of"])
         out = keyed.join(of_page, same, "left").withColumn("text", _joined_texts(F.col("__found"), F.col("html").cast("string"))).drop("__id", "__of", "__found")
-    return out.drop("__host")
+    return out.drop(where)

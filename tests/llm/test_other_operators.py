@@ -42,6 +42,34 @@ def test_templates(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_templates_without_articles_or_telling_classes(spark):
+    """Pages of bare divs: the counts alone remove the template, and equal those of a plain loop."""
+    rng = random.Random(2)
+    body = lambda n=30: " ".join(f"w{rng.randrange(999)}" for _ in range(n))
+    frame = ["<div><div><a href=/>Home</a> <a href=/b>Books</a></div></div>", "<div><ul><li>All rights kept<li>Imprint</ul></div>"]
+    rows, want = [], {}
+    for k, n in (("a", 12), ("b", 2), ("c", 4)):
+        for i in range(n):
+            t = body()
+            want[len(rows)] = t if n >= 3 else f"Home Books {t} All rights kept Imprint"
+            rows.append((len(rows), f"https://{k}.example/{i}", f"<body>{frame[0]}<div><div>{t}</div></div>{frame[1]}</body>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("__host", F.lit("clash"))
+    for limit in (html_extract.BROADCAST_ROWS, 0):
+        out = html_extract.extract(df, broadcast_rows=limit)
+        assert out.columns == [*df.columns, "text"] and {r.page_id: r.text for r in out.collect()} == want
+    plain, seen = {}, {}
+    for _, url, h in rows:
+        for x in html_extract.block_hashes(parse(h)):
+            seen.setdefault((url.split("/")[2], x), set()).add(html_extract.main_text(parse(h)))
+    for (k, x), texts in seen.items():
+        if len(texts) >= html_extract.MIN_PAGES:
+            plain.setdefault(k, set()).add(x)
+    assert set(plain) == {"a.example", "c.example"}
+    assert all(html_extract.main_text(parse(h), plain.get(u.split("/")[2], set())) == want[i] for i, u, h in rows)
+    deep = spark.createDataFrame([(None, "https://d.example/", "<div>" * 20_000 + "x"), (None, "https://d.example/", f"<p>{'long ' * 200_000}")], "page_id long, url string, html string")
+    assert sorted(len(r.text) for r in html_extract.extract(deep).collect()) == [1, 999_999]
+
+
 def test_chats(spark):
     hard = r"\### Assistant: </turn> ok \\ <|endoftext|> é 😀"
     rows = [(1, 0, "user", hard), (1, 1, "assistant", hard), (1, 2, "assistant", ""), (1, 3, "assistant", "end"), (2, 1, "assistant", None), (2, 0, None, "hi"), (3, 0, "a: b###", "x"), (3, 0, "a: b###", "x"), (None, None, "user", "z")]
