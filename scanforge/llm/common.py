@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,15 +27,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows once to the folder that the cluster shares, and go on from there.
 
-    The folder is the session's spark.checkpoint.dir. Only where none is set, as in tests, a
-    temporary folder of this machine takes its place.
+    The folder is the session's spark.checkpoint.dir. A local session without one takes a temporary folder of its
+    machine; on a cluster that is an error, as other executors could not read it.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not (sc.master.startswith("local") and not sc.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint(eager=True)
 
 
+#: Rows of a batch whose texts are held as Python strings at a time.
+TEXT_ROWS = 256
+
+
+def each(column: pa.Array, rows: int = TEXT_ROWS) -> Iterator:
+    """The values of a column as Python objects, a slice of the batch at a time."""
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).to_pylist()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

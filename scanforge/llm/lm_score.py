@@ -8,7 +8,7 @@ which Spark sums over all training documents.
 
 Trees are built in buckets of whole subtrees (contexts that end in the same two bytes); only the nodes of
 depth 0 and 1, at most 256 * 256 of them, meet on the driver. The finished tables travel to the tasks in
-groups of a bounded size, and a document's score is the sum of the groups' parts.
+groups of a bounded size, one group to a task, and a document's score is the sum of the groups' parts.
 """
 
 from __future__ import annotations
@@ -100,19 +100,22 @@ class Top:
         self.p1, self.w1, total = _weigh(sums[0], sums[1], sums[2])
         total[sums[0] + sums[1] == 0] = 0.0
         n0, n1, below = (v.reshape(256, 256).sum(axis=0) for v in (sums[0], sums[1], total))
-        self.seen1 = sums[0] + sums[1] > 0
         self.p0, self.w0, _ = _weigh(n0, n1, below)
 
-    def finish(self, first: np.ndarray, deeper: np.ndarray, has_deeper: np.ndarray) -> np.ndarray:
-        """The mixed estimate of a one at the root, from that of depth 2 where there is one."""
+    def finish(self, first: np.ndarray, deeper: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        """The mixed probability of each bit at the root, from that of depth 2 (1/2 where training never was)."""
         first = first.astype(np.int64)
-        one = np.where(has_deeper, self.w1[first] * self.p1[first] + (1 - self.w1[first]) * deeper, self.p1[first])
         z = first & 255
-        return np.where(self.seen1[first], self.w0[z] * self.p0[z] + (1 - self.w0[z]) * one, self.p0[z])
+        one = self.w1[first] * _of(self.p1[first], bit) + (1 - self.w1[first]) * deeper
+        return self.w0[z] * _of(self.p0[z], bit) + (1 - self.w0[z]) * one
 
 
-def _log10(p: np.ndarray, bit: np.ndarray) -> np.ndarray:
-    return np.log10(np.where(bit, p, 1 - p)).reshape(8, -1).sum(axis=0)
+def _of(p: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    return np.where(bit, p, 1 - p)
+
+
+def _log10(p: np.ndarray) -> np.ndarray:
+    return np.log10(p).reshape(8, -1).sum(axis=0)
 
 
 def _build_first(depth: int):
@@ -131,12 +134,14 @@ def _build(shared, depth: int):
         s = Subtrees(grams, table["n"].to_numpy()[order], depth)
         p = None
         for _, _, est, stop, at in s.levels:
-            p = est[at] if p is None else stop[at] * est[at] + (1 - stop[at]) * p
-        values = _log10(top.finish(s.first[0][s.at_first], p, np.ones(p.size, bool)), s.bit)
+            own = _of(est[at], s.bit)
+            p = own if p is None else stop[at] * own + (1 - stop[at]) * p
+        values = _log10(top.finish(s.first[0][s.at_first], p, s.bit))
         # the deepest nodes never weigh, and their counts are sums over neighbouring strings: they need no rows of their own
         out = [grams, values.astype(np.float32), table["n"].to_numpy()[order]]
         for _, keys, est, stop, _ in s.levels[1:]:
-            out += [keys, est.astype(np.float32), stop.astype(np.float32)]
+            # log-odds, as a probability near 1 would lose its rest in single precision
+            out += [keys, (np.log(est) - np.log1p(-est)).astype(np.float32), stop.astype(np.float32)]
         return pa.table({"bucket": table["bucket"][:1].cast(pa.int32()), "parts": pa.array([[np.ascontiguousarray(x).tobytes() for x in out]], pa.list_(pa.binary()))})
 
     return run
@@ -242,20 +247,20 @@ class Trees:
         return at, (keys[at] == wanted if keys.size else np.zeros(wanted.size, bool))
 
     def _unseen(self, grams: np.ndarray) -> np.ndarray:
-        """Scores of strings that training did not hold: mixed from the deepest node that it did."""
+        """Scores of strings that training did not hold: a node that it never was at gives either bit 1/2."""
         z, bit = _bits(grams & np.uint64(255))
-        ctx, z = np.broadcast_to(grams >> np.uint64(8), z.shape).ravel(), z.ravel()
+        ctx, z, bit = np.broadcast_to(grams >> np.uint64(8), z.shape).ravel(), z.ravel(), bit.ravel().astype(bool)
         left = np.uint64(8) - np.repeat(np.arange(8, dtype=np.uint64), grams.size)  # bits that are open at each decision
         low = (ctx << np.uint64(8)) | ((z << left) & np.uint64(255))
         edges = [self.before[np.searchsorted(self.grams, low + ((half << left) >> np.uint64(1)))] for half in (np.uint64(0), np.uint64(1), np.uint64(2))]
         n0, n1 = edges[1] - edges[0], edges[2] - edges[1]
-        have, p = n0 + n1 > 0, (n1 + 0.5) / (n0 + n1 + 1.0)
-        for d, keys, est, stop in self.levels:
+        p = (np.where(bit, n1, n0) + 0.5) / (n0 + n1 + 1.0)
+        for d, keys, odds, stop in self.levels:
             at, hit = self._find(keys, ((ctx & np.uint64((1 << (8 * d)) - 1)) << np.uint64(8)) | z)
             at = at[hit]
-            p[hit] = np.where(have[hit], stop[at] * est[at] + (1 - stop[at]) * p[hit], est[at])
-            have |= hit
-        return _log10(self.top.finish(((ctx & np.uint64(255)) << np.uint64(8)) | z, p, have), bit.ravel().astype(bool))
+            own = 1 / (1 + np.exp(np.where(bit[hit], -1, 1) * odds[at].astype(float)))
+            p[hit] = stop[at] * own + (1 - stop[at]) * p[hit]
+        return _log10(self.top.finish(((ctx & np.uint64(255)) << np.uint64(8)) | z, p, bit))
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """log10 probability of each text, of the strings in this group's buckets."""
@@ -364,9 +369,18 @@ def score(docs: DataFrame, train: Column, depth: int = DEPTH, group_grams: int =
         if g < word_groups:
             t = kept.where(F.pmod("key", F.lit(word_groups)) == g).toArrow()
             counts = spark.sparkContext.broadcast(tuple(_sorted([t["key"].to_numpy().view(np.uint64), t["train"].to_numpy()])))
-        parts.append(_scoring(trees, top, counts, depth, g, word_groups, tokens, n_words)(text, F.col("__own")))
-    names = [f"__p{g}" for g in range(len(parts))]
-    out = docs.withColumn("__own", own).withColumns(dict(zip(names, parts, strict=True)))
-    add = lambda c: sum((F.col(f"{p}.{c}") for p in names[1:]), F.col(f"{names[0]}.{c}"))
-    out = out.withColumns({"n_tokens": add("n"), "n_known": add("known"), "train_tokens": F.lit(int(tokens)).cast("long"), "base_score": add("sum"), "score": add("score")})
-    return out.drop("__own", *names)
+        source = text if max(groups, word_groups) == 1 else F.col("__text")
+        parts.append(_scoring(trees, top, counts, depth, g, word_groups, tokens, n_words)(source, F.col("__own")))
+    final = {"n_tokens": "n", "n_known": "known", "base_score": "sum", "score": "score"}
+    if len(parts) == 1:
+        out = docs.withColumn("__own", own).withColumn("__p", parts[0]).withColumns({k: F.col(f"__p.{v}") for k, v in final.items()})
+        return out.withColumn("train_tokens", F.lit(int(tokens)).cast("long")).drop("__own", "__p")
+    # a task holds the tables of one group; a row's parts are summed by a number of the row
+    rows = cut(docs.withColumns({"__own": own, "__row": F.monotonically_increasing_id()}))
+    every = None
+    for part in parts:
+        one = rows.select("__row", text.alias("__text"), "__own").select("__row", part.alias("p")).select("__row", "p.*")
+        every = one if every is None else every.unionByName(one)
+    every = every.groupBy(F.col("__row").alias("__of")).agg(*[F.sum(v).alias(f"__{v}") for v in final.values()])
+    out = rows.join(every, F.col("__row") == F.col("__of")).withColumns({k: F.col(f"__{v}") for k, v in final.items()})
+    return out.withColumn("train_tokens", F.lit(int(tokens)).cast("long")).drop("__own", "__row", "__of", *[f"__{v}" for v in final.values()])
