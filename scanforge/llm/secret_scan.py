@@ -36,12 +36,16 @@ SAMPLE_DOCUMENTS, SAMPLE_TOKENS = 2_000, 50_000
 KINDS = ("assign", "access", "hex", "markov")
 
 
-def _spans(text: Column, pattern: str, order: int, value_group: int | None = None, min_value: int = 0) -> Column:
-    """array<struct<start,kind,end>> of the non-overlapping matches, in code points; order: the kind's place in KINDS."""
+def _spans(text: Column, pattern: str, order: int, value_group: int | None = None, wanted=None) -> Column:
+    """array<struct<start,kind,end>> of the non-overlapping matches, in code points; order: the kind's place in KINDS.
+
+    wanted: a condition on the match (or its value_group). It is checked before a span is kept, and no match is looked up in
+    the text again, so that a long text with very many matches costs no more than those that are wanted.
+    """
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = found if value_group is None else F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))
-    steps = F.zip_with(found, F.slice(F.transform(pieces, F.length), F.lit(1), F.size(found)), lambda m, g: F.struct(g.alias("gap"), F.length(m).alias("len")))
-    steps = F.zip_with(steps, values, lambda s, v: F.struct(s["gap"].alias("gap"), s["len"].alias("len"), (F.length(v) >= min_value).alias("ok")))
+    ok = F.transform(values, wanted) if wanted else F.transform(values, lambda v: F.lit(True))
+    steps = F.arrays_zip(F.slice(F.transform(pieces, F.length), F.lit(1), F.size(found)).alias("gap"), F.transform(found, F.length).alias("len"), ok.alias("ok"))
     empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
 
     def step(a: Column, x: Column) -> Column:
@@ -58,7 +62,7 @@ def _or_empty(condition: Column, spans: Column) -> Column:
 
 def base_spans(text: Column) -> Column:
     """Spans of the three base patterns, by start and then kind. text must not be null."""
-    assign = _or_empty(text.rlike(ASSIGN_WORD), _spans(text, ASSIGN, 0, 2, MIN_ASSIGNED))
+    assign = _or_empty(text.rlike(ASSIGN_WORD), _spans(text, ASSIGN, 0, 2, lambda v: F.length(v) >= MIN_ASSIGNED))
     access = _or_empty(text.contains("AKIA"), _spans(text, ACCESS, 1))
     hexes = _or_empty(text.rlike(HEX), _spans(text, HEX, 2))
     return F.array_sort(F.concat(assign, access, hexes))
@@ -80,7 +84,8 @@ def samples(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, tokens: int = SA
     random = rows.select(F.explode(F.concat(found, made)).alias("token"), F.lit(True).alias("random"))
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
     ordinary = rows.select(F.explode(F.regexp_extract_all(rest, F.lit(IDENTIFIER), F.lit(0))).alias("token"), F.lit(False).alias("random"))
-    return random.distinct().limit(tokens).unionByName(ordinary.distinct().limit(tokens))
+    some = lambda d: d.distinct().orderBy(F.xxhash64("token"), "token").limit(tokens)  # noqa: E731  # the same ones however rows are dealt
+    return some(random).unionByName(some(ordinary))
 
 
 def train(labelled: DataFrame, smoothing: float = SMOOTHING) -> list[float]:
@@ -126,13 +131,8 @@ def scan(docs: DataFrame, model: list[float], min_ratio: float = MIN_RATIO, min_
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.withColumn("base", base_spans(text))
-    tokens = _spans(text, TOKEN, 3)
-    # substring counts code points as the spans do; the ratio is taken for tokens only
-    judged = F.filter(
-        tokens,
-        lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        & (ratio(F.substring(text, s["start"] + 1, s["end"] - s["start"]), model) >= F.greatest(F.lit(min_ratio), (s["end"] - s["start"]) * F.lit(min_each))),
-    )
+    tokens = _spans(text, TOKEN, 3, wanted=lambda v: ratio(v, model) >= F.greatest(F.lit(min_ratio), F.length(v) * F.lit(min_each)))
+    judged = F.filter(tokens, lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     return rows.withColumn("spans", F.array_sort(F.concat("base", _or_empty(text.rlike(TOKEN), judged))))
 
 

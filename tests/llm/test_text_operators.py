@@ -140,6 +140,36 @@ def test_secrets(spark):
     assert secret_scan.train(make(spark, [], "token string, random boolean")) == pytest.approx([0.0] * secret_scan.SYMBOLS**2)
 
 
+def test_secret_models_against_loops(spark):
+    """Samples are the same however rows are dealt; ratios equal a plain loop's; held-out keys are found and words are not."""
+    rng = random.Random(12)
+    key = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    name = lambda: "_".join(rng.choice(["reader", "value", "index", "document", "length", "number", "context", "window"]) for _ in range(4))
+    docs = [(i, f"{name()} holds token={key(24)} and {name()}") for i in range(300)]
+    df = make(spark, docs)
+    sample = [sorted(map(tuple, secret_scan.samples(d, 200, 150).collect())) for d in (df, df.repartition(7))]
+    assert sample[0] == sample[1] and 0 < len(sample[0]) <= 300
+    model = secret_scan.train(secret_scan.samples(df))
+
+    def ratio(token):
+        at, total = 0, 0.0
+        for c in token:
+            total += model[at * secret_scan.SYMBOLS + secret_scan.ALPHABET.index(c) + 1]
+            at = secret_scan.ALPHABET.index(c) + 1
+        return total
+
+    tokens = [key(rng.randrange(20, 40)) for _ in range(100)] + [name() for _ in range(100)]
+    got = [r.x for r in spark.createDataFrame([(i, t) for i, t in enumerate(tokens)], "i int, t string").orderBy("i").select(secret_scan.ratio(F.col("t"), model).alias("x")).collect()]
+    assert got == pytest.approx([ratio(t) for t in tokens])
+    out = [len(r.spans) for r in secret_scan.scan(make(spark, list(enumerate(tokens))), model).orderBy("doc_id").collect()]
+    assert sum(out[:100]) >= 90 and sum(out[100:]) <= 5
+    found = {r.doc_id: r.spans for r in secret_scan.find_secrets(df).collect()}
+    assert len(found) == 300 and all(any(s.kind == 0 for s in v) for v in found.values())
+    long = "an_identifier_of_words " * 40_000 + tokens[0]
+    (r,) = secret_scan.scan(make(spark, [(1, long)]), model).collect()
+    assert [(s.start, s.end) for s in r.spans] == [(len(long) - len(tokens[0]), len(long))]
+
+
 def brute_spans(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[1]) >= 8]
     out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
@@ -191,7 +221,9 @@ def test_lm_scores(spark):
         w = [*(r.text or "").encode().lower().split(), b"\0"]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(x in count for x in w), n)
         assert r.base_score == pytest.approx(sum(math.log10((count.get(x, 0) + 0.5) / (n + 0.5 * (v + 1))) for x in w))
-    small = {(r.doc_id, r.score, r.base_score) for r in lm_score.score(df, train, group_grams=300, group_words=10).collect()}
+    many = lm_score.score(df, train, group_grams=300, group_words=10)
+    assert sorted(many.columns) == sorted(lm_score.score(df, train).columns)
+    small = {(r.doc_id, r.score, r.base_score) for r in many.collect()}
     assert sorted((a, round(b, 8), round(c, 8)) for a, b, c in small) == sorted({(r.doc_id, round(r.score, 8), round(r.base_score, 8)) for r in got})
     assert lm_score.score(make(spark, []), F.lit(True)).count() == 0
 
@@ -236,6 +268,31 @@ def test_context_trees_equal_the_sequential_ones():
         assert np.allclose(trees._unseen(every[hit]), trees.values[at[hit]], atol=1e-5)
         assert (10 ** trees._unseen(every)).sum() == pytest.approx(1, abs=1e-6)
 
+    def ahead(d, ctx, z, bit):
+        """Probability of a bit after all of training, from the tree itself: what the weighted probability grows by."""
+        n = counts.get((d, ctx & ((1 << 8 * d) - 1), z), [0, 0])
+        own = (n[bit] + 0.5) / (sum(n) + 1)
+        if d == depth or not sum(n):
+            return own if sum(n) else 0.5
+        stop = math.exp(math.log(0.5) + kt(*n) - weighted(d, ctx & ((1 << 8 * d) - 1), z))
+        return stop * own + (1 - stop) * ahead(d + 1, ctx, z, bit)
+
+    for ctx, byte in ((b"abr", 97), (b"abr", 120), (b"xyz", 97), (b"rab", 114)):
+        gram = np.array([int.from_bytes(ctx, "big") << 8 | byte], np.uint64)
+        want = sum(math.log10(ahead(0, int.from_bytes(ctx, "big"), (1 << i) | byte >> (8 - i), byte >> (7 - i) & 1)) for i in range(8))
+        assert trees._unseen(gram)[0] == pytest.approx(want, abs=1e-5)
+
+
+def test_scores_stay_finite_after_very_many_occurrences():
+    depth = 3
+    grams = np.array([int.from_bytes(b"abcd", "big"), int.from_bytes(b"zbcd", "big")], np.uint64)
+    s = lm_score.Subtrees(grams, np.array([10**9, 10**9]), depth)
+    top = lm_score.Top([s.first])
+    built = lm_score._build(type("B", (), {"value": top}), depth)(__import__("pyarrow").table({"bucket": [0, 0], "gram": grams.view(np.int64), "n": [10**9, 10**9]}))
+    trees = lm_score.Trees(lm_score.join_buckets(iter([type("R", (), {"bucket": 0, "parts": built["parts"][0].as_py()})]), 1, depth), top, depth)
+    odd = np.array([int.from_bytes(x, "big") for x in (b"abce", b"qbc\x9b", b"qqc\x9b", b"qqqq")], np.uint64)
+    assert np.isfinite(trees._unseen(odd)).all() and trees._unseen(odd)[0] < -8
+
 
 def test_toxicity(spark):
     rng = random.Random(8)
