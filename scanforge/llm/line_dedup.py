@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL_IDS, SPACE, cut
+from .common import SMALL_IDS, SPACE, cut, each
 from .perfect_hash import PerfectHash
 
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -52,7 +52,7 @@ def _emit(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, kept = [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for i, text in zip(batch.column(0).to_pylist(), each(batch.column(1)), strict=True):
                 own = {k for k in line_keys(text) if _long_enough(k, min_chars)}
                 kept.extend(own)
                 ids.extend([i] * len(own))
@@ -118,7 +118,7 @@ def _dropping(min_chars: int):
     def drop(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, gone in batches:
             out = [], [], []
-            for text, g in zip(texts.to_pylist(), gone.to_pylist(), strict=True):
+            for text, g in zip(each(texts), each(gone), strict=True):
                 lines, flags = (text or "").split("\n"), []
                 if g:
                     g, keys = set(g), line_keys(text)

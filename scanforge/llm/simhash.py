@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, words
+from .common import cut, each, words
 from .components import components
 
 SHINGLE_WORDS, RADIUS, SEED = 3, 3, 42
@@ -48,7 +48,7 @@ def fingerprint(text: str | None, n: int = SHINGLE_WORDS) -> int:
 def _fingerprints(n: int):
     @F.arrow_udf("long")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array(np.array([fingerprint(t, n) for t in texts.to_pylist()], np.uint64).view(np.int64), pa.int64())
+        return pa.array(np.array([fingerprint(t, n) for t in each(texts)], np.uint64).view(np.int64), pa.int64())
 
     return run
 

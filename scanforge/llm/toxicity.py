@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, ascii_lower, cut, split_words
+from .common import WORD, ascii_lower, cut, each, split_words
 
 #: Labelled documents of each class in the sample, chosen by hash of their id; of four parts one calibrates.
 SAMPLE_TOXIC, SAMPLE_ORDINARY, PARTS = 1_500, 3_000, 4
@@ -187,7 +187,7 @@ def _udf(model: Model):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         distance = Distance(model)
         for texts in batches:
-            yield pa.array([distance.features(t) for t in texts.to_pylist()], pa.list_(pa.float64()))
+            yield pa.array([distance.features(t) for t in each(texts)], pa.list_(pa.float64()))
 
     return run
 
