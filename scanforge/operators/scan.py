@@ -43,28 +43,37 @@ def match_spans(text: Column, pattern: str, prefix: bool = False, gate=None) ->
 
 
 def rule_findings(text: Column, rule: Rule, ordinal: int) -> Column:
-    """All findings of one rule. Texts that its hint rules out are not searched."""
+    """All findings of one rule. Texts that its hint rules out are not searched, and one look tells those without a match."""
     spans = match_spans(text, rule.pattern, rule.prefix, rule.gate)
     if rule.avoid_uuid:
         taken = match_spans(text, UUID)
         spans = F.when(text.rlike(UUID), F.filter(spans, lambda s: ~F.exists(taken, lambda u: (s["start"] < u["end"]) & (s["end"] > u["start"])))).otherwise(spans)
     out = F.transform(spans, lambda s: F.struct(F.lit(rule.id).alias("id"), F.lit(rule.category).alias("category"), F.lit(rule.severity).alias("severity"), s["start"].alias("start"), s["end"].alias("end"), F.lit(ordinal).alias("ordinal")))
-    return F.when(text.rlike(rule.hint), out).otherwise(_none())
+    return F.when(text.rlike(rule.hint) & text.rlike(rule.pattern), out).otherwise(_none())
+
+
+def _once(text: Column, use) -> Column:
+    """use(text), with the text as a variable of a lambda: what it is made of is worked out once, not anew in each rule."""
+    return F.element_at(F.transform(F.array(text), use), 1)
+
+
+def _all(text: Column, rules: list[Rule]) -> Column:
+    return F.concat(*[rule_findings(text, r, i) for i, r in enumerate(rules)])
 
 
 def find(text: Column, rules: Iterable[Rule]) -> Column:
     """All findings of all rules, in catalogue order."""
-    parts = [rule_findings(text, r, i) for i, r in enumerate(rules)]
-    return F.concat(*parts) if parts else _none()
+    rules = list(rules)
+    return _once(text, lambda t: _all(t, rules)) if rules else _none()
 
 
 def find_injection(text: Column, rules: tuple[Rule, ...]) -> Column:
     """Findings on normalised text, with the one for encoded payloads that are to be run."""
     if not rules:
         return _none()
-    both = text.rlike(f"(?i){LEFT}base64{RIGHT}") & text.rlike(f"(?i){LEFT}(?:decode|execute|run){RIGHT}")
+    both = lambda t: t.rlike(f"(?i){LEFT}base64{RIGHT}") & t.rlike(f"(?i){LEFT}(?:decode|execute|run){RIGHT}")
     one = F.array(F.struct(F.lit(ENCODED_ID).alias("id"), F.lit("prompt_injection").alias("category"), F.lit("medium").alias("severity"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(1000).alias("ordinal")))
-    return F.concat(find(text, rules), F.when(both, one).otherwise(_none()))
+    return _once(text, lambda t: F.concat(_all(t, list(rules)), F.when(both(t), one).otherwise(_none())))
 
 
 def resolve(findings: Column) -> Column:

@@ -131,10 +131,10 @@ def block_decisions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def normalized_text(spark: SparkSession, d: str) -> DataFrame:
-    """ASCII documents with blanks and invisible characters put in; NFKC leaves them as they are."""
-    text = F.concat(F.lit(" i​gnore  "), "text", F.lit("　\t end﻿ "))
-    docs = base.table(spark, d, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return docs.select("doc_id", F.md5(F.encode(T.normalize_for_injection_scan(text), "UTF-8")).alias("text_md5"))
+    """All documents with blanks and invisible characters put in. DuckDB has no NFKC: tests hold this against unicodedata."""
+    text = F.concat(F.lit(" i​gnore  "), F.coalesce("text", F.lit("")), F.lit("　\t end﻿ "))
+    docs = base.spread(base.table(spark, d, "documents").select("doc_id", text.alias("text")))
+    return docs.select("doc_id", F.md5(F.encode(T.normalize_for_injection_scan(F.col("text")), "UTF-8")).alias("text_md5"))
 
 
 def vault_roundtrip(spark: SparkSession, d: str) -> DataFrame:
@@ -146,7 +146,9 @@ def vault_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scrub(spark: SparkSession, d: str, partial: bool) -> DataFrame:
-    t = base.table(spark, d, "conversations").where("length(text) >= 14").select("conv_id", "turn", F.substring("text", 3, 12).alias("v"), F.concat("text", F.lit(" ~ "), F.substring("text", 3, 12)).alias("text"))
+    """Every turn with a value of up to 12 characters of its own declared, which stands in it twice."""
+    text = F.coalesce("text", F.lit(""))
+    t = base.table(spark, d, "conversations").select("conv_id", "turn", F.substring(text, 3, 12).alias("v"), F.concat(text, F.lit(" ~ "), F.substring(text, 3, 12)).alias("text"))
     out = scan.scrub_declared(F.col("text"), F.create_map(F.lit("NAME"), F.col("v")), partial)
     return t.select("conv_id", "turn", F.md5(F.encode(out, "UTF-8")).alias("text_md5"))
 
@@ -160,9 +162,11 @@ def partial_scrub(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scrub_sql(new: str) -> str:
+    """new: SQL for what stands in for a value v."""
+    fragment = "'[REDACTED_SECRET_FRAGMENT]'"
     return (
-        f"SELECT conv_id, turn, md5(replace(replace(replace(text || ' ~ ' || v, v, {new}), left(v, 6), '[REDACTED_SECRET_FRAGMENT]'), right(v, 6), '[REDACTED_SECRET_FRAGMENT]')) AS text_md5 "
-        "FROM (SELECT conv_id, turn, text, substr(text, 3, 12) AS v FROM conversations WHERE length(text) >= 14)"
+        f"SELECT conv_id, turn, md5(CASE WHEN length(v) = 0 THEN text WHEN length(v) < 12 THEN replace(text, v, {new}) ELSE replace(replace(replace(text, v, {new}), left(v, 6), {fragment}), right(v, 6), {fragment}) END) AS text_md5 "
+        "FROM (SELECT conv_id, turn, t || ' ~ ' || substr(t, 3, 12) AS text, substr(t, 3, 12) AS v FROM (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations))"
     )
 
 
@@ -448,10 +452,9 @@ def oracle_sql() -> dict[str, str]:
         "generic_assignment": f"SELECT doc_id, 1::BIGINT AS n FROM {DOCUMENTS} WHERE contains(text, 'client_secret=')",
         "injection_findings": f"SELECT id, severity, count(*) AS n, count(DISTINCT doc_id) AS docs FROM ({_injection_rows()}) GROUP BY ALL",
         "block_decisions": f"SELECT * FROM {_DECIDED}",
-        "normalized_text": "SELECT doc_id, md5(trim(regexp_replace(' ignore  ' || text || chr(12288) || chr(9) || ' end ', " + quoted(_S + "+") + ", ' ', 'g'))) AS text_md5 FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')",
         "vault_roundtrip": f"SELECT doc_id, md5(text) AS text_md5 FROM {DOCUMENTS}",
         "declared_scrub": _scrub_sql(quoted(SECRET_LABEL)),
-        "partial_scrub": _scrub_sql("'[PARTIAL_SECRET:' || left(v, 3) || '…' || right(v, 3) || ']'"),
+        "partial_scrub": _scrub_sql("CASE WHEN length(v) > 6 THEN '[PARTIAL_SECRET:' || left(v, 3) || '…' || right(v, 3) || ']' ELSE " + quoted(SECRET_LABEL) + " END"),
         "secret_signatures": f"SELECT length, entropy, has_upper, has_lower, has_digit, has_symbol, count(*) AS occurrences, min(ts) AS first_seen, max(ts) AS last_seen FROM {_SIGNED} GROUP BY ALL",
         "merged_signatures": f"SELECT length, count(*) AS occurrences, min(ts) AS first_seen FROM {_SIGNED} GROUP BY ALL",
         "learned_rules": f"SELECT 'learned-' || regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g') AS id, arg_min(name, ts) AS name, greatest(4, least(8192, min(len(value))))::INT AS min_value_length, count(*) AS occurrences, min(ts) AS first_seen, max(ts) AS last_seen FROM {DECLARED} GROUP BY 1",

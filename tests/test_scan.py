@@ -1,9 +1,11 @@
 """The scan against small texts with known findings. Secret-like values are put together from parts."""
 
+import hashlib
 import math
 import random
 import re
 import time
+import unicodedata
 
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from scanforge.functions import text as T
 from scanforge.functions.rules import FRAMEWORKS, INJECTION_RULES, PII_LABEL, PII_RULES, SECRET_LABEL, SECRET_RULES, generic_rule
 from scanforge.operators import scan
 from scanforge.operators.policy import Policy, parse_frameworks
-from scanforge.plans import base
+from scanforge.plans import base, catalog
 from scanforge.plans.base import PHRASES, PROVIDER_PLANTS
 
 EVERY = Policy(frameworks=FRAMEWORKS)
@@ -220,3 +222,16 @@ def test_text_functions(spark):
     assert value(T.secret_confidence(F.lit("SGVsbG8gd29ybGQhIQ=="))) < 0.2 <= value(T.secret_confidence(F.lit(MIXED)))
     s = value(T.signature(F.lit(MIXED)))
     assert (s.length, s.has_upper, s.has_lower, s.has_digit, s.has_symbol) == (20, True, True, True, False)
+
+
+def test_normalized_text_equals_unicodedata(spark):
+    spaces = "\t\n\x0b\x0c\r \u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200B)))
+    gone = [*range(0x200B, 0x2010), *range(0x202A, 0x202F), 0xFEFF]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    want = {}
+    for r in docs:
+        t = unicodedata.normalize("NFKC", " i\u200bgnore  " + (r.text or "") + "\u3000\t end\ufeff ").translate(dict.fromkeys(gone))
+        want[r.doc_id] = hashlib.md5(re.sub(f"[{spaces}]+", " ", t).strip(" ").encode()).hexdigest()
+    assert any(not (r.text or "").isascii() for r in docs)
+    got = {r.doc_id: r.text_md5 for r in catalog.normalized_text(spark, "/root/testdata/sf0.001").collect()}
+    assert got == want
