@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat_format, decontaminate, embed_dedup, html_extract, line_dedup, lm_score, mixing, secret_scan, simhash, toxicity
+from . import chat_format, decontaminate, divergence, embed_dedup, html_extract, license_scan, line_dedup, lm_score, mixing, secret_scan, simhash, spelling, toxicity
 from .common import table
 
 
@@ -69,9 +69,21 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(table(spark, sf_dir, "documents"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_html_extraction": op1_html_extraction, "op2_line_dedup": op2_line_dedup, "op3_simhash": op3_simhash, "op4_secret_scan": op4_secret_scan, "op5_decontamination": op5_decontamination, "op6_lm_scoring": op6_lm_scoring, "op7_toxicity": op7_toxicity, "op8_chat_formatting": op8_chat_formatting, "op9_mixing": op9_mixing, "op10_embedding_dedup": op10_embedding_dedup, "pipeline": corpus_pipeline.run}
+    return {"op1_html_extraction": op1_html_extraction, "op2_line_dedup": op2_line_dedup, "op3_simhash": op3_simhash, "op4_secret_scan": op4_secret_scan, "op5_decontamination": op5_decontamination, "op6_lm_scoring": op6_lm_scoring, "op7_toxicity": op7_toxicity, "op8_chat_formatting": op8_chat_formatting, "op9_mixing": op9_mixing, "op10_embedding_dedup": op10_embedding_dedup, "op11_divergence_audit": op11_divergence_audit, "op12_spelling_groups": op12_spelling_groups, "op13_license_scan": op13_license_scan, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
-    return {"op2_line_dedup": line_dedup.LINES_SQL.format(docs="documents"), "op5_decontamination": decontaminate.CONTAINMENT_SQL, "op8_chat_formatting": chat_format.CHAT_SQL, "op9_mixing": mixing.MIX_SQL.format(docs="documents")}
+    return {"op2_line_dedup": line_dedup.LINES_SQL.format(docs="documents"), "op5_decontamination": decontaminate.CONTAINMENT_SQL, "op8_chat_formatting": chat_format.CHAT_SQL, "op9_mixing": mixing.MIX_SQL.format(docs="documents"), "op11_divergence_audit": divergence.AUDIT_SQL, "op12_spelling_groups": spelling.GROUP_SQL, "op13_license_scan": license_scan.scan_sql()}

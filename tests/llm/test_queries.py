@@ -27,4 +27,4 @@ def test_query_equals_sql(spark, name):
 
 def test_names():
     found = {m[1] for n in __spark_entry__.queries() if (m := re.match(r"op(\d+)_", n))}
-    assert found == {str(i) for i in range(1, 11)} and "pipeline" in __spark_entry__.queries()
+    assert found == {str(i) for i in range(1, 14)} and "pipeline" in __spark_entry__.queries()
