@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +24,8 @@ SEVERITIES = ("critical", "high", "medium", "low")
 class Rule:
     """One rule. prefix: the pattern is (before)(value) and the value alone is the finding.
 
-    gate: on the value. hint: a cheap pattern that every text with a match also matches.
+    gate: on the value. hint: a cheap pattern that every text with a match also matches; best some plain words with bars
+    between, as they are looked for without a regular expression.
     """
 
     id: str
@@ -36,6 +40,16 @@ class Rule:
     avoid_uuid: bool = False
     description: str = ""
 
+    @property
+    def words(self) -> tuple[str, ...]:
+        """The words of a hint that is nothing but words, in lower case; else none."""
+        plain = self.hint.removeprefix("(?i)").lower().split("|")
+        return tuple(plain) if all(re.fullmatch("[a-z0-9 _:/@#-]+", w) for w in plain) else ()
+
+    def possible(self, text: Column, lowered: Column) -> Column:
+        """Whether a text may hold a match. lowered: the text in lower case."""
+        return reduce(or_, (lowered.contains(w) for w in self.words)) if self.words else text.rlike(self.hint)
+
 
 def _pii(id: str, severity: str, frameworks: str, pattern: str, hint: str, **more) -> Rule:
     return Rule(id, "pii", severity, pattern, hint, frameworks=tuple(frameworks.split()), **more)
@@ -48,7 +62,7 @@ _EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])
 # The form of each kind of personal data, its severity and frameworks.
 PII_RULES = (
     _pii("email-address", "low", "", rf"(?i){_EDGE}[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{{2,}}{RIGHT}", "@"),
-    _pii("phone-number", "low", "GDPR HIPAA CCPA", rf"{_EDGE}\+?[0-9][0-9{SPACES}()-]{{7,}}[0-9]{RIGHT}", "[0-9]", gate=lambda v: F.length(digits(v)) >= 10, avoid_uuid=True),
+    _pii("phone-number", "low", "GDPR HIPAA CCPA", rf"{_EDGE}\+?[0-9][0-9{SPACES}()-]{{7,}}[0-9]{RIGHT}", rf"[0-9](?:[{SPACES}()-]*+[0-9]){{9}}", gate=lambda v: F.length(digits(v)) >= 10, avoid_uuid=True),
     _pii("us-ssn", "high", "HIPAA CCPA", f"{LEFT}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{RIGHT}", "[0-9]-[0-9]{2}-[0-9]"),
     _pii("credit-card-number", "high", "PCI_DSS CCPA", f"{LEFT}(?:[0-9][ -]?){{13,19}}{_EDGE}", "(?:[0-9][ -]?){13}", gate=luhn),
     _pii("ipv4-address", "low", "GDPR HIPAA CCPA", rf"{LEFT}(?:{_OCTET}\.){{3}}{_OCTET}{RIGHT}", r"[0-9]\.[0-9]+\.[0-9]"),
@@ -69,7 +83,7 @@ SECRET_RULES = (
     _secret("aws-access-key-id", "critical", f"{LEFT}AKIA[0-9A-Z]{{16}}{RIGHT}", "AKIA"),
     _secret("aws-secret-access-key", "critical", rf"(?i)({LEFT}aws[a-z0-9_ .-]{{0,40}}[:=]\s*[\"']?)([A-Za-z0-9/+]{{40}})(?![A-Za-z0-9/+=])", "(?i)aws", prefix=True, gate=lambda v: entropy(v) >= 3.5),
     _secret("gcp-api-key", "high", f"{LEFT}AIza[0-9A-Za-z_-]{{35}}(?![0-9A-Za-z_-])", "AIza"),
-    _secret("github-pat", "critical", f"{LEFT}gh[pousr]_[A-Za-z0-9]{{36,}}{RIGHT}", "gh[pousr]_"),
+    _secret("github-pat", "critical", f"{LEFT}gh[pousr]_[A-Za-z0-9]{{36,}}{RIGHT}", "ghp_|gho_|ghu_|ghs_|ghr_"),
     _secret("gitlab-pat", "critical", f"{LEFT}glpat-[A-Za-z0-9_-]{{20,}}", "glpat-"),
     _secret("npm-token", "critical", f"{LEFT}npm_[A-Za-z0-9]{{36}}{RIGHT}", "npm_"),
     _secret("openai-api-key", "critical", f"{LEFT}sk-(?!ant-)(?:proj-)?[A-Za-z0-9]{{20,}}{RIGHT}", "sk-"),
@@ -88,14 +102,14 @@ GENERIC_MIN_ENTROPY, MIN_CONFIDENCE = 3.8, 0.2
 _NAME = f"{LEFT}[A-Za-z0-9_-]{{0,40}}?(?:{'|'.join(GENERIC_WORDS)})[A-Za-z0-9_-]{{0,20}}"
 
 
-def generic_rule(min_confidence: float | None = MIN_CONFIDENCE) -> Rule:
+def generic_rule(min_confidence: float | Column | None = MIN_CONFIDENCE, confidence: Callable[[Column], Column] = secret_confidence) -> Rule:
     """Assignments to secret-sounding names whose value is varied enough. min_confidence None: no confidence gate."""
 
     def gate(v: Column) -> Column:
         ok = entropy(v) >= GENERIC_MIN_ENTROPY
-        return ok if min_confidence is None else ok & (secret_confidence(v) >= min_confidence)
+        return ok if min_confidence is None else ok & (confidence(v) >= min_confidence)
 
-    return _secret("generic-secret-assignment", "high", rf"(?i)({_NAME}[\"']?\s*[:=]\s*[\"']?)({_VALUE}{{8,}})", f"(?i){'|'.join(GENERIC_WORDS)}", prefix=True, gate=gate)
+    return _secret("generic-secret-assignment", "high", rf"(?i)({_NAME}[\"']?\s*[:=]\s*[\"']?)({_VALUE}{{8,}})", "(?i)secret|passw|token|api|credential", prefix=True, gate=gate)
 
 
 def _phrase(*slots: str) -> str:
@@ -122,7 +136,7 @@ INJECTION_RULES = (
     _injection("reveal-conversation-history", "exfiltration", "high", _phrase("show|print|return|reveal|dump|repeat", "?the", "?full", "conversation history|chat history|prior (?:messages?|conversation)|hidden messages?"), "history|prior|hidden"),
     _injection("fake-authority-claim", "override", "high", _phrase("?the", "admin(?:istrator)?|developer|system owner|security team", "?has", "approved|authorized|允许|said", "?you to", "ignore|disable|bypass|reveal|show|print"), "admin|developer|owner|team"),
     _injection("user-text-as-system-instruction", "override", "high", _phrase("treat|consider|regard", "?the", "user|following|next|quoted", "text|message|content|block", "as", "?a", "system|developer|administrator", "message|instruction|command"), "treat|consider|regard"),
-    _injection("encoded-instruction-bypass", "override", "medium", _phrase("decode (?:this )?(?:base ?64|rot ?13|hex)|(?:base ?64|rot ?13|hex) (?:this|the following)", "?and", "follow|execute|obey", "it|the result"), "base ?64|rot ?13|hex"),
+    _injection("encoded-instruction-bypass", "override", "medium", _phrase("decode (?:this )?(?:base ?64|rot ?13|hex)|(?:base ?64|rot ?13|hex) (?:this|the following)", "?and", "follow|execute|obey", "it|the result"), "base|rot|hex"),
     _injection("ignore-previous-instructions", "override", "critical", _phrase("ignore|disregard|forget|bypass", "?all|any", "?of", "(?:(?:your|my|the|these|those) ?)?(?:previous|prior|earlier|above|preceding)", "instructions?|rules?|guidelines?|context|prompts?"), "previous|prior|earlier|above|preceding"),
     _injection("new-instructions-injection", "override", "high", f"(?i){LEFT}(?:new|updated|real|actual) instructions? ?:", "instruction"),
     _injection("override-system-prompt", "override", "critical", _phrase("disregard|ignore|override", "?your", "system prompt|system message|guidelines|programming|training"), "system|guidelines|programming|training"),

@@ -112,10 +112,14 @@ def usage_summary(usage: Column) -> Column:
     return F.when(usage.isNull(), F.lit("Pending")).otherwise(F.concat(number("input_tokens"), F.lit(" in / "), number("output_tokens"), F.lit(" out")))
 
 
+def never_secret(value: Column) -> Column:
+    """UUIDs and 40 hexadecimal digits."""
+    return value.rlike(f"(?i)^{UUID[4:]}$") | value.rlike("(?i)^[0-9a-f]{40}$")
+
+
 def secret_confidence(value: Column) -> Column:
     """How likely a value is a secret, 0 to 1. UUIDs and 40 hexadecimal digits are none; padded Base64 is unlikely."""
     padded = value.rlike(r"^[A-Za-z0-9+/]+={1,2}$")
     kinds = sum((value.rlike(p).cast("int") for p in ("[A-Z]", "[a-z]", "[0-9]")), F.lit(0))
     z = F.lit(-6.0) + F.lit(1.2) * entropy(value) + F.lit(0.6) * kinds - F.when(padded, F.lit(4.0)).otherwise(F.lit(0.0))
-    never = value.rlike(f"(?i)^{UUID[4:]}$") | value.rlike("(?i)^[0-9a-f]{40}$")
-    return F.when(never, F.lit(0.0)).otherwise(1 / (1 + F.exp(-z)))
+    return F.when(never_secret(value), F.lit(0.0)).otherwise(1 / (1 + F.exp(-z)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scanforge.functions.arrays import scan_left
 from scanforge.functions.text import LEFT, SPACES, learned_rule_id, signature
 
 _BEFORE = f"[{SPACES}]*[:=][{SPACES}]*[\"']?"
@@ -33,17 +34,27 @@ def learned_rules(rows: DataFrame) -> DataFrame:
     )
 
 
-def merge_signatures(old: DataFrame, new: DataFrame) -> DataFrame:
-    return old.unionByName(new).groupBy(*SHAPE).agg(F.sum("occurrences").alias("occurrences"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+def total_signatures(rows: DataFrame) -> DataFrame:
+    """Signatures of several batches as one table: counts add up, times are the outermost."""
+    return rows.groupBy(*SHAPE).agg(F.sum("occurrences").alias("occurrences"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
 
 
-def merge_rules(old: DataFrame, new: DataFrame) -> DataFrame:
-    return old.unionByName(new).groupBy("id").agg(
+def total_rules(rows: DataFrame) -> DataFrame:
+    """Learned rules of several batches as one table."""
+    return rows.groupBy("id").agg(
         F.min_by("name", F.struct("first_seen", "name")).alias("name"), F.min("min_value_length").alias("min_value_length"), F.sum("occurrences").alias("occurrences"),
         F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
     )
 
 
+def merge_signatures(old: DataFrame, new: DataFrame) -> DataFrame:
+    return total_signatures(old.unionByName(new))
+
+
+def merge_rules(old: DataFrame, new: DataFrame) -> DataFrame:
+    return total_rules(old.unionByName(new))
+
+
 def most_frequent(table: DataFrame, k: int, *tie: str) -> DataFrame:
     """The k signatures or learned rules that occurred most often, ties by the columns given: a top-k, not a sort of all."""
     return table.orderBy(F.desc("occurrences"), *tie).limit(k)
@@ -51,18 +62,17 @@ def most_frequent(table: DataFrame, k: int, *tie: str) -> DataFrame:
 
 def assignments(text: Column) -> Column:
     """array<struct<name,start,end,value>> of everything that looks like NAME = value."""
-    names, before, values = (F.regexp_extract_all(text, F.lit(ASSIGNMENT), F.lit(i)) for i in (1, 2, 3))
-    gaps = F.transform(F.split(text, ASSIGNMENT, -1), F.length)
-    steps = F.zip_with(F.arrays_zip(names.alias("n"), before.alias("b"), values.alias("v")), F.slice(gaps, F.lit(1), F.size(names)), lambda x, g: F.struct(x["n"].alias("n"), x["b"].alias("b"), x["v"].alias("v"), g.alias("g")))
-    empty = F.array().cast("array<struct<name:string,start:int,end:int,value:string>>")
+    groups = [F.regexp_extract_all(text, F.lit(ASSIGNMENT), F.lit(i)).alias(x) for i, x in ((1, "n"), (2, "b"), (3, "v"))]
+    gaps = F.transform(F.split(text, ASSIGNMENT, -1), F.length).alias("g")  # one more, behind the last match
+    steps = F.filter(F.arrays_zip(*groups, gaps), lambda x: x["n"].isNotNull())
 
-    def step(a: Column, x: Column) -> Column:
-        end = a["at"] + x["g"] + F.length(x["n"])
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        end = at + x["g"] + F.length(x["n"])
         start = end + F.length(x["b"])
-        one = F.struct(x["n"].alias("name"), start.alias("start"), (start + F.length(x["v"])).alias("end"), x["v"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
+        return end, F.array(F.struct(x["n"].alias("name"), start.alias("start"), (start + F.length(x["v"])).alias("end"), x["v"].alias("value")))
 
-    return F.when(text.rlike("[:=]"), F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda a: a["out"])).otherwise(empty)
+    out = "struct<name:string,start:int,end:int,value:string>"
+    return F.when(text.rlike("[:=]"), scan_left(steps, F.lit(0), step, out)).otherwise(F.array().cast(f"array<{out}>"))
 
 
 #: Rules up to which their table is broadcast.
@@ -81,8 +91,9 @@ def learned_hits(texts: DataFrame, rules: DataFrame, row_id: str, text: str, ts:
     if ts:
         joined = joined.where(F.col("first_seen") <= F.col("at"))
     ordered = joined.groupBy(row_id, "rule_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("s"))  # hits of one rule in one text
-    zero = F.struct(F.lit(0).alias("c"), F.array().cast("array<struct<start:int,end:int>>").alias("k"))
-    sweep = F.aggregate("s", zero, lambda a, x: F.when(x["start"] >= a["c"], F.struct(x["end"].alias("c"), F.concat(a["k"], F.array(x)).alias("k"))).otherwise(a), lambda a: a["k"])
+    free = lambda cursor, x: x["start"] >= cursor
+    step = lambda c, x: (F.when(free(c, x), x["end"]).otherwise(c), F.when(free(c, x), F.array(x)).otherwise(F.array().cast("array<struct<start:int,end:int>>")))
+    sweep = scan_left(F.col("s"), F.lit(0), step, "struct<start:int,end:int>")
     return ordered.select(row_id, "rule_id", F.inline(sweep))
 
 

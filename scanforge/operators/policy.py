@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scanforge.functions.rules import FRAMEWORKS, INJECTION_RULES, MIN_CONFIDENCE, PII_RULES, SECRET_RULES, Rule, generic_rule
-from scanforge.functions.text import trimmed
+from scanforge.functions.text import secret_confidence, trimmed
 
 
 @dataclass(frozen=True)
@@ -22,6 +23,10 @@ class Policy:
     unknown_enabled: bool = True
     min_confidence: float = MIN_CONFIDENCE
     extra_rules: tuple[Rule, ...] = ()
+    #: How likely a value is a secret; another one may be trained (see confidence.scorer).
+    confidence: Callable[[Column], Column] = secret_confidence
+
+    active = injection_active = None  # the rules are chosen before the plan, not row by row
 
     def patched(self, **changes) -> Policy:
         """Named fields replaced, None and omitted ones unchanged."""
@@ -37,7 +42,7 @@ class Policy:
         if not self.redaction_enabled:
             return ()
         extra = tuple(r for r in self.extra_rules if r.category != "prompt_injection")
-        generic = generic_rule(self.min_confidence if self.unknown_enabled else None)
+        generic = generic_rule(self.min_confidence if self.unknown_enabled else None, self.confidence)
         return (*SECRET_RULES, generic, *(r for r in PII_RULES if self.pii_active(r)), *extra)
 
     def injection_rules(self) -> tuple[Rule, ...]:

@@ -99,6 +99,19 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHUNKS = "(SELECT run_id, event_id AS seq, CASE WHEN event_type = 'error' THEN 'stderr' ELSE 'stdout' END AS stream, event_type || ':' || repeat('x', floor(value)::INT) AS chunk FROM " + EVENTS + ")"
 
 
+def run_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(starts, chunks, stops, exits) of runs from events: what runners report, each with its time."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    said = chunks(spark, sf_dir).join(e.select(F.col("event_id").alias("seq"), "ts"), "seq")
+    stops = e.where("event_type = 'signup' and event_id % 3 = 0").select(run_key(), "ts")
+    exits = e.where("event_type = 'purchase' and event_id % 2 = 0").select(run_key(), "ts", (F.col("event_id") % 5).cast("int").alias("code"))
+    return e.select(run_key(), "ts"), said, stops, exits
+
+
+#: Milliseconds and bytes that those runs have.
+RUN_MS, RUN_BYTES = 36_000_000, 150
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs (run_id, agent_id, started_at, ended_at, created_at, status) from events: an event starts a run of its user."""
     status = pick(F.col("event_id"), ("completed", "failed", "cancelled", "blocked", "running", "completed", "queued"))
@@ -109,6 +122,14 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_INSIDE = "JOIN span USING (run_id) WHERE ts >= started_at AND ts <= until"
+#: The facts of those runs: CTEs that end with `facts`.
+FACTS = f"""x AS (SELECT run_id, min(struct_pack(ts := ts, code := event_id % 5)) AS e FROM {EVENTS} WHERE event_type = 'purchase' AND event_id % 2 = 0 GROUP BY run_id),
+  span AS (SELECT run_id, min(ts) AS started_at, any_value(e.ts) AS exited_at, any_value(e.code) AS exit_code, least(coalesce(any_value(e.ts), TIMESTAMP '2024-03-01'), TIMESTAMP '2024-03-01') AS until FROM {EVENTS} LEFT JOIN x USING (run_id) GROUP BY run_id),
+  o AS (SELECT run_id, min(ts) AS over_at FROM (SELECT run_id, ts, sum(strlen(chunk)) OVER (PARTITION BY run_id ORDER BY event_id) AS total FROM (SELECT *, event_type || ':' || repeat('x', floor(value)::INT) AS chunk FROM {EVENTS} {_INSIDE})) WHERE total > {RUN_BYTES} GROUP BY run_id),
+  u AS (SELECT run_id, min(ts) AS stopped_at FROM {EVENTS} {_INSIDE} AND event_type = 'signup' AND event_id % 3 = 0 GROUP BY run_id),
+  facts AS (SELECT *, CASE WHEN started_at + INTERVAL {RUN_MS} MILLISECONDS <= until THEN started_at + INTERVAL {RUN_MS} MILLISECONDS END AS timed_out_at FROM span LEFT JOIN o USING (run_id) LEFT JOIN u USING (run_id))"""
+
 RUNS = (
     "(SELECT event_id AS run_id, user_id AS agent_id, ts AS started_at, make_timestamp(((epoch_us(ts) // 1000000) + floor(value * 100)::BIGINT) * 1000000) AS ended_at, ts AS created_at, "
     + pick_sql("event_id", ("completed", "failed", "cancelled", "blocked", "running", "completed", "queued"))

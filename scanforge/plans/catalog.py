@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scanforge.functions import text as T
 from scanforge.functions.rules import FRAMEWORKS, INJECTION_RULES, PII_LABEL, SECRET_LABEL, SECRET_RULES, catalogue
-from scanforge.operators import confidence, mining, runs, scan, validate
+from scanforge.operators import confidence, history, mining, runs, scan, validate
 from scanforge.operators.policy import Policy
 
 from . import base
@@ -214,14 +214,18 @@ def stderr_tail(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _facts(spark: SparkSession, d: str) -> DataFrame:
-    e = base.table(spark, d, "events")
-    per = e.groupBy(base.run_key()).agg(((F.sum("value") * 1000).cast("long") * F.lit(1)).alias("duration_ms"), (F.min("event_id") % 11 == 0).alias("user_stopped"), (F.max("event_id") % 5 == 0).cast("int").alias("exit_code"))
-    over = runs.capped_output(base.chunks(spark, d), 2_000).groupBy("run_id").agg(F.bool_or("over").alias("over_cap"))
-    return per.join(over, "run_id").join(runs.summarise(base.log_lines(spark, d)), "run_id", "left").withColumn("stderr", F.lit(None).cast("string"))
+    return runs.run_facts(*base.run_sources(spark, d), F.lit("2024-03-01 00:00:00").cast("timestamp"), base.RUN_MS, base.RUN_BYTES)
+
+
+def runner_facts(spark: SparkSession, d: str) -> DataFrame:
+    """What ended each run, from what its runner reported: the limits that were reached before its exit, and the first of them."""
+    return _facts(spark, d).select("run_id", "started_at", "exited_at", "stopped_at", "timed_out_at", "over_at", "first_limit")
 
 
 def run_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    return runs.outcomes(_facts(spark, d).withColumn("duration_ms", F.when(F.col("exit_code") == 0, F.col("over_cap").cast("long")).otherwise(F.lit(700_000)))).select("run_id", "outcome", "status")
+    told = runs.summarise(base.log_lines(spark, d)).select("run_id", "message", "last_error")
+    err = runs.stderr_tail(base.chunks(spark, d), 300)
+    return runs.outcomes(_facts(spark, d).join(told, "run_id", "left").join(err, "run_id", "left"), base.RUN_MS).select("run_id", "outcome", "status", "error")
 
 
 def run_durations(spark: SparkSession, d: str) -> DataFrame:
@@ -232,12 +236,13 @@ def run_durations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def safety_events(spark: SparkSession, d: str) -> DataFrame:
-    """Events of one run for each document's prompt."""
-    p = base.prompts(spark, d)
-    s = scan.evaluate(p, policy=ALL).select(F.col("doc_id").alias("run_id"), (F.col("doc_id") % 50).alias("agent_id"), "decision", "reason", "was_redacted")
+    """Events of one run for each document's prompt, with what is planted in it."""
+    p = base.prompts(spark, d).withColumn("text", F.concat("text", base.pick(F.col("doc_id"), base.PLANTS)))
+    s = scan.evaluate(p, policy=PLAIN).select(F.col("doc_id").alias("run_id"), (F.col("doc_id") % 50).alias("agent_id"), "decision", "reason", "was_redacted")
     n = F.col("run_id")
-    status = base.pick(n, ("completed", "failed", "cancelled", "completed"))
-    facts = s.withColumns({"ts": F.timestamp_seconds(n), "scanned": n % 13 != 0, "was_redacted": n % 6 == 0, "status": status, "user_stopped": status == "cancelled", "timed_out": (status == "failed") & (n % 3 == 0), "over_cap": (status == "failed") & (n % 3 == 1)})
+    after = lambda condition, seconds: F.when(condition, F.timestamp_seconds(n + seconds))
+    status = base.pick(n, ("completed", "failed", "cancelled", "completed", "running"))
+    facts = s.withColumns({"ts": F.timestamp_seconds(n), "scanned": n % 13 != 0, "status": status, "stopped_at": after(status == "cancelled", n % 3), "timed_out_at": after((status == "failed") & (n % 2 == 0), n % 5), "over_at": after(n % 7 == 3, F.lit(2))})
     return runs.safety_events(facts).select("run_id", "agent_id", "seq", "boundary", "decision", "reason")
 
 
@@ -261,8 +266,23 @@ def latest_runs(spark: SparkSession, d: str) -> DataFrame:
 
 def agent_status(spark: SparkSession, d: str) -> DataFrame:
     last = runs.latest_runs(runs.recover(_recoverable(spark, d), F.lit("2024-03-01 00:00:00").cast("timestamp")), "status")
-    before = base.pick(F.col("agent_id"), ("busy", "stopped", "ready"))
-    return last.select("agent_id", runs.status_after(before, F.col("status")).alias("agent_status"))
+    before = last.withColumnRenamed("status", "run_status").withColumns({"status": base.pick(F.col("agent_id"), ("busy", "stopped", "ready")), "updated_at": F.lit(None).cast("timestamp")})
+    after = runs.recover_agents(before, F.lit("2024-03-01 00:00:00").cast("timestamp"))
+    return after.select("agent_id", runs.status_after(F.col("status"), F.col("run_status")).alias("agent_status"))
+
+
+def newest_agents(spark: SparkSession, d: str) -> DataFrame:
+    """The ten agents that changed last, once a restart has made the busy ones ready."""
+    agents = base.runs(spark, d).groupBy("agent_id").agg(F.max("created_at").alias("updated_at")).withColumn("status", base.pick(F.col("agent_id"), ("busy", "ready", "error", "stopped")))
+    back = runs.recover_agents(agents, F.lit("2024-01-20 00:00:00").cast("timestamp"))
+    return runs.newest_first(back, "updated_at", "agent_id").limit(10).select("agent_id", "status", "updated_at")
+
+
+def agent_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of every third agent, the newest first. An unknown agent would be an error."""
+    r = base.runs(spark, d)
+    own = runs.rows_of(r, r, "agent_id", r.where("agent_id % 3 = 0"))
+    return own.select("agent_id", "run_id", F.row_number().over(Window.partitionBy("agent_id").orderBy(F.desc("created_at"), "run_id")).alias("place"))
 
 
 def overlapping_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -394,19 +414,65 @@ def run_audit(spark: SparkSession, d: str) -> DataFrame:
     names = F.create_map(F.lit("A_KEY"), F.lit("x"), F.lit("B_KEY"), F.lit("y"))
     facts = s.select(
         F.col("doc_id").alias("run_id"), F.lit(1).alias("agent_id"), F.timestamp_seconds("doc_id").alias("ts"), F.lit(True).alias("scanned"), F.lit(False).alias("was_redacted"), "decision", "reason", F.lit("completed").alias("status"),
-        F.lit(False).alias("user_stopped"), F.lit(False).alias("timed_out"), F.lit(False).alias("over_cap"), runs.audit_metadata(F.col("findings"), names).alias("metadata"),
+        *[F.lit(None).cast("timestamp").alias(c) for c in ("stopped_at", "timed_out_at", "over_at")], runs.audit_metadata(F.col("findings"), names).alias("metadata"),
     )
-    e = runs.safety_events(facts).where("seq = 2")
+    e = runs.safety_events(facts).where("metadata is not null")
     return e.select("run_id", F.array_join("metadata.finding_ids", ",").alias("ids"), F.array_join("metadata.finding_categories", ",").alias("categories"), F.array_join("metadata.secret_names", ",").alias("names"))
 
 
-def confidence_training(spark: SparkSession, d: str) -> DataFrame:
-    """Metrics on held-out spans: values assigned to secret names against long words of documents."""
+#: Three versions of a policy: (version, minutes after the first document, what it changes).
+_VERSIONS = (
+    (1, 0, {"frameworks": ["GDPR", "HIPAA"]}), (2, 300, {"disabled_ids": ["email-address"], "block_on": ["critical"]}),
+    (3, 600, {"frameworks": [], "enabled_ids": ["us-ssn", "phone-number"], "disabled_ids": [], "block_on": ["critical", "high", "medium"]}),
+)
+
+
+def policy_replay(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with the policy of its time: a document is a minute later than the one before it."""
+    at = lambda minutes: F.timestamp_seconds(F.lit(1_704_067_200) + minutes * 60)
+    rows = [("all", v, m, *(change.get(c) for c in history.FIELDS)) for v, m, change in _VERSIONS]
+    patches = spark.createDataFrame(rows, history.PATCH.replace("valid_from timestamp", "minutes long")).withColumn("valid_from", at(F.col("minutes"))).drop("minutes")
+    p = base.prompts(spark, d).select("doc_id", F.concat("text", base.pick(F.col("doc_id"), base.PLANTS)).alias("text"), F.lit("all").alias("scope"), at(F.col("doc_id")).alias("ts"))
+    out = history.replay(p, patches, "scope", "ts")
+    pii = F.size(F.filter("findings", lambda f: f["category"] == "pii")).cast("long")
+    return out.select("doc_id", "policy_version", "decision", "reason", pii.alias("n_pii"))
+
+
+def _replay_sql() -> str:
+    text = f"(SELECT doc_id, {base.pick_sql('doc_id', base.PHRASES)} || ' / ' || coalesce(text, '') || {base.pick_sql('doc_id', base.PLANTS)} AS text FROM documents)"
+    version = "CASE WHEN doc_id >= 600 THEN 3 WHEN doc_id >= 300 THEN 2 ELSE 1 END"
+    # what each version has on, by hand from its frameworks and lists
+    first = "'email-address', 'phone-number', 'us-ssn', 'ipv4-address', 'date-of-birth', 'medical-record-number', 'medicare-beneficiary-id'"
+    on = f"CASE {version} WHEN 1 THEN id IN ({first}) WHEN 2 THEN id IN ({first}) AND id <> 'email-address' ELSE id IN ('email-address', 'us-ssn', 'phone-number') END"
+    stops = f"CASE {version} WHEN 1 THEN severity IN ('critical', 'high') WHEN 2 THEN severity = 'critical' ELSE severity IN ('critical', 'high', 'medium') END"
+    return (
+        f"WITH n AS (SELECT doc_id, count(*) AS n FROM ({_matches(text, PII_SQL)}) WHERE {on} GROUP BY doc_id), b AS (SELECT doc_id, list(id ORDER BY o) AS ids FROM (SELECT DISTINCT doc_id, o, id FROM ({_injection_rows()}) WHERE {stops}) GROUP BY doc_id) "
+        f"SELECT doc_id, ({version})::BIGINT AS policy_version, CASE WHEN ids IS NULL THEN 'ALLOW' ELSE 'BLOCK' END AS decision, CASE WHEN ids IS NULL THEN 'No blocking findings' ELSE 'Blocked: matched ' || array_to_string(ids, ', ') END AS reason, coalesce(n, 0) AS n_pii FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN b USING (doc_id)"
+    )
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    """Spans (doc_id, value, label): values as keys have them against long words of documents."""
     docs = base.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     made = F.array(F.regexp_replace(F.base64(F.unhex(F.sha2(F.col("doc_id").cast("string").cast("binary"), 256))), "[=\r\n]", ""), F.sha2(F.col("doc_id").cast("string").cast("binary"), 224))
     yes = docs.select("doc_id", F.explode(made).alias("value")).withColumn("label", F.lit(1))
     no = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_-]{12,}"), F.lit(0)))).alias("value")).withColumn("label", F.lit(0))
-    return confidence.train(yes.unionByName(no), F.col("doc_id") % 4 == 0)[1]
+    return yes.unionByName(no)
+
+
+def confidence_training(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of the trained classifier on held-out spans."""
+    return confidence.train(_labelled(spark, d), F.col("doc_id") % 4 == 0)[1]
+
+
+def trained_assignments(spark: SparkSession, d: str) -> DataFrame:
+    """The generic assignments that a classifier lets pass which was trained on a part of the spans and set to a precision of 0.99 on the rest."""
+    spans, rest = _labelled(spark, d), F.col("doc_id") % 4 == 0
+    score = confidence.scorer(confidence.train(spans, rest)[0])
+    least = confidence.calibrate(spans.where(rest).select("label", score(F.col("value")).alias("score")), 0.99)
+    policy = Policy(min_confidence=1.0 if least is None else least, confidence=score)
+    rule = [r for r in policy.redaction_rules() if r.id == "generic-secret-assignment"]
+    return base.documents(spark, d).select("doc_id", F.size(scan.find(F.col("text"), rule)).cast("long").alias("n")).where("n > 0")
 
 
 def queries() -> dict:
@@ -414,7 +480,7 @@ def queries() -> dict:
         pii_rule_counts, pii_findings_spans, redacted_documents, plainly_redacted_documents, redact_text, provider_secret_counts, generic_assignment, injection_findings, block_decisions, normalized_text, vault_roundtrip,
         declared_scrub, partial_scrub, secret_signatures, merged_signatures, learned_rules, learned_asof_hits, run_summary, token_usage, output_cap, stderr_tail, run_outcomes, run_durations, safety_events,
         event_timeline, event_cube, safety_badge, latest_runs, agent_status, overlapping_runs, recovered_runs, agent_purge, audit_mart, orphan_events, message_log, message_violations,
-        secret_name_violations, policy_violations, findings_rollup, framework_report, top_rules, confidence_training, agent_messages, top_signatures, vault_restore, rule_catalogue, stored_traces, run_audit,
+        secret_name_violations, policy_violations, findings_rollup, framework_report, top_rules, confidence_training, trained_assignments, policy_replay, agent_messages, agent_runs, newest_agents, runner_facts, top_signatures, vault_restore, rule_catalogue, stored_traces, run_audit,
     )
     return {f.__name__: f for f in fs}
 
@@ -464,24 +530,32 @@ def oracle_sql() -> dict[str, str]:
         "token_usage": "SELECT run_id, CASE WHEN paid IS NULL THEN 'Pending' ELSE (paid * 10) || ' in / ' || paid || ' out' END AS usage, CASE WHEN commands + file_edits + other = 0 THEN 'None — text only' ELSE (commands + file_edits + other) || ' (' || "
         "concat_ws(', ', CASE commands WHEN 0 THEN NULL WHEN 1 THEN '1 command' ELSE commands || ' commands' END, CASE file_edits WHEN 0 THEN NULL WHEN 1 THEN '1 file edit' ELSE file_edits || ' file edits' END, CASE WHEN other > 0 THEN other || ' other' END) || ')' END AS tools "
         f"FROM {_SUMMARY}",
-        "output_cap": f"SELECT run_id, max(total_bytes)::BIGINT AS total_bytes, min(seq) FILTER (total_bytes > 2000 AND before <= 2000) AS crossed_at, count(*) FILTER (before > 2000) AS dropped FROM {_CAPPED} GROUP BY run_id",
+        "output_cap": f"SELECT run_id, max(total_bytes)::BIGINT AS total_bytes, min(seq) FILTER (total_bytes > 2000 AND before <= 2000) AS crossed_at, count(*) FILTER (total_bytes > 2000) AS dropped FROM {_CAPPED} GROUP BY run_id",
         "stderr_tail": f"SELECT run_id, md5(right(string_agg(chunk, '' ORDER BY seq), 300)) AS stderr_md5 FROM {CHUNKS} WHERE stream = 'stderr' GROUP BY run_id",
-        "run_outcomes": f"""WITH p AS (SELECT run_id, min(event_id) % 11 = 0 AS user_stopped, max(event_id) % 5 = 0 AS failed FROM {EVENTS} GROUP BY run_id), c AS (SELECT run_id, max(total_bytes) > 2000 AS over_cap FROM {_CAPPED} GROUP BY run_id),
-  o AS (SELECT p.run_id, CASE WHEN user_stopped THEN 'cancelled' WHEN failed THEN 'timed_out' WHEN over_cap THEN 'output_exceeded' WHEN message IS NULL THEN 'no_message' ELSE 'completed' END AS outcome FROM p JOIN c USING (run_id) LEFT JOIN {_SUMMARY} USING (run_id))
-SELECT run_id, outcome, CASE WHEN outcome IN ('cancelled', 'completed') THEN outcome ELSE 'failed' END AS status FROM o""",
+        "runner_facts": f"WITH {base.FACTS} SELECT run_id, started_at, exited_at, stopped_at, timed_out_at, over_at, CASE least(stopped_at, timed_out_at, over_at) WHEN stopped_at THEN 'cancelled' WHEN timed_out_at THEN 'timed_out' WHEN over_at THEN 'output_exceeded' END AS first_limit FROM facts",
+        "run_outcomes": f"""WITH {base.FACTS}, err AS (SELECT run_id, right(string_agg(chunk, '' ORDER BY seq), 300) AS stderr FROM {CHUNKS} WHERE stream = 'stderr' GROUP BY run_id),
+  r AS (SELECT run_id, coalesce(exit_code, 1) AS code, last_error, stderr, CASE WHEN stopped_at IS NOT NULL THEN 'cancelled' WHEN timed_out_at IS NOT NULL THEN 'timed_out' WHEN over_at IS NOT NULL THEN 'output_exceeded' WHEN coalesce(exit_code, 1) <> 0 THEN 'non_zero_exit' WHEN message IS NULL THEN 'no_message' ELSE 'completed' END AS outcome
+    FROM facts LEFT JOIN {_SUMMARY} USING (run_id) LEFT JOIN err USING (run_id))
+SELECT run_id, outcome, CASE WHEN outcome IN ('cancelled', 'completed') THEN outcome ELSE 'failed' END AS status, CASE outcome WHEN 'cancelled' THEN 'Run cancelled' WHEN 'timed_out' THEN 'Codex timed out after 36000000 ms' WHEN 'output_exceeded' THEN 'Codex output exceeded CODEX_MAX_OUTPUT_BYTES'
+  WHEN 'non_zero_exit' THEN 'Codex exited with code ' || code || ': ' || coalesce(last_error, stderr, '') WHEN 'no_message' THEN 'Codex completed without an agent message' END AS error FROM r""",
         "run_durations": f"SELECT run_id, CASE WHEN status = 'queued' THEN 'Not started' WHEN s < 60 THEN s || 's' ELSE (s // 60) || 'm ' || (s % 60) || 's' END AS duration FROM (SELECT run_id, status, greatest(0, (epoch_us(CASE WHEN status IN ('running', 'queued') THEN {late} ELSE ended_at END) // 1000 - epoch_us(started_at) // 1000) // 1000) AS s FROM {RUNS})",
-        "safety_events": f"""WITH f AS (SELECT doc_id AS run_id, doc_id % 50 AS agent_id, decision, reason, doc_id % 13 <> 0 AS scanned, doc_id % 6 = 0 AS red, {base.pick_sql('doc_id', ('completed', 'failed', 'cancelled', 'completed'))} AS status FROM {_DECIDED}),
-  e AS (SELECT run_id, agent_id, 1 AS seq, 'input' AS boundary, 'REDACT' AS decision, 'Secret removed from trace' AS reason FROM f WHERE scanned AND red UNION ALL SELECT run_id, agent_id, 2, 'input', decision, reason FROM f WHERE scanned
-  UNION ALL SELECT run_id, agent_id, 3, 'runtime', 'CANCELLED', 'Stopped by user' FROM f WHERE scanned AND decision = 'ALLOW' AND status = 'cancelled' UNION ALL SELECT run_id, agent_id, 4, 'runtime', 'CANCELLED', 'Run timed out' FROM f WHERE scanned AND decision = 'ALLOW' AND status = 'failed' AND run_id % 3 = 0
-  UNION ALL SELECT run_id, agent_id, 5, 'runtime', 'BLOCK', 'Output limit exceeded' FROM f WHERE scanned AND decision = 'ALLOW' AND status = 'failed' AND run_id % 3 = 1
-  UNION ALL SELECT run_id, agent_id, 6, 'output', CASE WHEN status = 'cancelled' THEN 'CANCELLED' ELSE 'ALLOW' END, 'Run ' || status FROM f WHERE NOT scanned OR decision = 'ALLOW') SELECT * FROM e""",
+        "safety_events": f"""WITH f AS (SELECT doc_id AS run_id, doc_id % 50 AS agent_id, decision, reason, doc_id % 13 <> 0 AS scanned, red, {base.pick_sql('doc_id', ('completed', 'failed', 'cancelled', 'completed', 'running'))} AS status FROM {_DECIDED} JOIN (SELECT doc_id, {_redacted('raw')} <> raw AS red FROM
+    (SELECT doc_id, {base.pick_sql('doc_id', base.PHRASES)} || ' / ' || coalesce(text, '') || {base.pick_sql('doc_id', base.PLANTS)} AS raw FROM documents)) USING (doc_id)),
+  e AS (SELECT run_id, agent_id, 0 AS o, 0 AS secs, 'SERVICE' AS boundary, 'REDACT' AS decision, 'Secret removed from trace' AS reason FROM f WHERE scanned AND red UNION ALL SELECT run_id, agent_id, 1, 0, 'SERVICE', decision, reason FROM f WHERE scanned
+  UNION ALL SELECT run_id, agent_id, 2, (run_id % 3) * 10, 'RUNNER', 'CANCELLED', 'User stopped execution' FROM f WHERE scanned AND decision = 'ALLOW' AND status = 'cancelled'
+  UNION ALL SELECT run_id, agent_id, 2, (run_id % 5) * 10 + 1, 'RUNNER', 'CANCELLED', 'Timeout exceeded' FROM f WHERE scanned AND decision = 'ALLOW' AND status = 'failed' AND run_id % 2 = 0
+  UNION ALL SELECT run_id, agent_id, 2, 22, 'RUNNER', 'BLOCK', 'Output limit exceeded' FROM f WHERE scanned AND decision = 'ALLOW' AND run_id % 7 = 3
+  UNION ALL SELECT run_id, agent_id, 3, 0, 'SERVICE', CASE WHEN status = 'cancelled' THEN 'CANCELLED' ELSE 'ALLOW' END, 'Run ' || status FROM f WHERE (NOT scanned OR decision = 'ALLOW') AND status <> 'running')
+SELECT run_id, agent_id, (row_number() OVER (PARTITION BY run_id ORDER BY o, secs))::INT AS seq, boundary, decision, reason FROM e""",
         "event_timeline": f"SELECT event_id, run_id, row_number() OVER (PARTITION BY run_id ORDER BY ts, event_id) AS seq_no FROM {SAFETY_LOG}",
         "event_cube": f"SELECT boundary, decision, count(*) AS n, count(DISTINCT run_id) AS runs, count(DISTINCT agent_id) AS agents FROM {SAFETY_LOG} GROUP BY CUBE (boundary, decision)",
         "safety_badge": f"SELECT run_id, CASE WHEN status = 'blocked' OR last = 'BLOCK' THEN 'Blocked' WHEN status = 'cancelled' OR last = 'CANCELLED' THEN 'Run stopped' ELSE 'Protected' END AS badge FROM (SELECT run_id, arg_max(decision, event_id) AS last, min(CASE WHEN event_id % 9 = 0 THEN 'blocked' WHEN event_id % 4 = 0 THEN 'cancelled' ELSE 'completed' END) AS status FROM {SAFETY_LOG} GROUP BY run_id)",
         "latest_runs": f"SELECT agent_id, arg_max(run_id, created_at) AS run_id, arg_max(status, created_at) AS status, max(created_at) AS created_at FROM {RUNS} GROUP BY agent_id",
         "agent_status": f"SELECT agent_id, CASE WHEN b = 'stopped' AND s IN ('failed', 'cancelled') THEN b WHEN s = 'failed' THEN 'error' ELSE 'ready' END AS agent_status FROM (SELECT agent_id, {base.pick_sql('agent_id', ('busy', 'stopped', 'ready'))} AS b, arg_max(CASE WHEN status IN ('running', 'queued') THEN 'cancelled' ELSE status END, created_at) AS s FROM {RUNS} GROUP BY agent_id)",
+        "newest_agents": f"SELECT * FROM (SELECT agent_id, CASE b WHEN 'busy' THEN 'ready' ELSE b END AS status, CASE b WHEN 'busy' THEN TIMESTAMP '2024-01-20 00:00:00' ELSE u END AS updated_at FROM (SELECT agent_id, max(created_at) AS u, {base.pick_sql('agent_id', ('busy', 'ready', 'error', 'stopped'))} AS b FROM {RUNS} GROUP BY agent_id)) ORDER BY updated_at DESC, agent_id LIMIT 10",
+        "agent_runs": f"SELECT agent_id, run_id, row_number() OVER (PARTITION BY agent_id ORDER BY created_at DESC, run_id) AS place FROM {RUNS} WHERE agent_id % 3 = 0",
         "overlapping_runs": f"SELECT run_id, agent_id, busy_until FROM (SELECT *, max(ended_at) OVER (PARTITION BY agent_id ORDER BY started_at, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS busy_until FROM {RUNS}) WHERE started_at < busy_until",
-        "recovered_runs": f"SELECT CASE WHEN a THEN 'cancelled' ELSE status END AS status, CASE WHEN a THEN '{runs.RESTARTED}' END AS error, count(*) AS n, max(CASE WHEN a THEN {late} ELSE ended_at END) AS last_completed FROM (SELECT *, status IN ('running', 'queued') AS a FROM {RUNS}) GROUP BY 1, 2",
+        "recovered_runs": f"SELECT CASE WHEN a THEN 'cancelled' ELSE status END AS status, CASE WHEN a THEN 'Server restarted while this run was active' END AS error, count(*) AS n, max(CASE WHEN a THEN {late} ELSE ended_at END) AS last_completed FROM (SELECT *, status IN ('running', 'queued') AS a FROM {RUNS}) GROUP BY 1, 2",
         "agent_purge": f"SELECT agent_id, count(*) AS runs FROM {RUNS} WHERE agent_id % 3 <> 0 GROUP BY agent_id",
         "audit_mart": f"SELECT run_id, 'agent-' || min(agent_id) AS agent, count(*) FILTER (boundary = 'input') AS n_messages, count(*) AS n_events, count(*) FILTER (decision = 'BLOCK') AS n_blocks FROM {SAFETY_LOG} GROUP BY run_id",
         "orphan_events": f"SELECT event_id, run_id FROM {SAFETY_LOG} WHERE run_id NOT IN (SELECT run_id FROM {SAFETY_LOG} WHERE event_id % 10 = 0)",
@@ -495,6 +569,7 @@ SELECT run_id, outcome, CASE WHEN outcome IN ('cancelled', 'completed') THEN out
         "top_signatures": f"WITH s AS (SELECT length, entropy, has_upper, has_lower, has_digit, has_symbol, count(*) AS occurrences FROM {_SIGNED} GROUP BY ALL) SELECT length, has_upper, has_digit, occurrences, (SELECT sum(occurrences)::BIGINT FROM s) AS total FROM s ORDER BY occurrences DESC, length, entropy, has_upper, has_lower, has_digit, has_symbol LIMIT 5",
         "vault_restore": f"SELECT doc_id, md5(text) AS text_md5 FROM {DOCUMENTS}",
         "rule_catalogue": "SELECT category, n + CASE category WHEN 'secret' THEN (SELECT count(DISTINCT event_type) FROM events WHERE event_id % 24 > 0) ELSE 0 END AS n FROM (VALUES ('secret', 16), ('pii', 10), ('prompt_injection', 24)) v(category, n)",
+        "policy_replay": _replay_sql(),
         "stored_traces": _traces_sql(),
         "run_audit": f"SELECT p.doc_id AS run_id, coalesce(ids, '') AS ids, CASE WHEN ids IS NULL THEN '' ELSE 'prompt_injection' END AS categories, 'A_KEY,B_KEY' AS names FROM {PROMPTS} p LEFT JOIN (SELECT doc_id, string_agg(id, ',' ORDER BY o) AS ids FROM (SELECT DISTINCT doc_id, o, id FROM ({_injection_rows()})) GROUP BY doc_id) USING (doc_id)",
         "top_rules": f"SELECT id, count(*) AS n FROM ({_PII_ROWS}) GROUP BY id ORDER BY n DESC, id LIMIT 3",

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 AGENT = "id string, name string, description string, instructions string, status string, workspacePath string, threadId string, lastError string, createdAt string, updatedAt string"
@@ -54,7 +56,7 @@ def read_state(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 def _versions(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        return spark.read.schema("version long, tables array<string>").parquet(f"{path}/published")
+        return spark.read.schema("version long, tables map<string,long>").parquet(f"{path}/published")
     except AnalysisException:  # nothing was published yet
         return None
 
@@ -67,31 +69,50 @@ def _newest(spark: SparkSession, path: str):
 def publish(tables: dict[str, DataFrame], path: str) -> int:
     """Publish tables together, all of them or nothing, and return their version.
 
-    Each table is written to a folder of the new version. Only then is one row with the version's number added to
-    the table `published`, which Spark's commit makes visible at once; readers go by its newest row. A publication that
-    fails on the way leaves the one before as it was. One writer at a time.
+    Each table is written to a folder of the new version. Only then is one row added to the table `published`, with
+    the version that each table has now, which Spark's commit makes visible at once; readers go by its newest row. Tables
+    that are not given stay as they were published last. A publication that fails on the way leaves the one before
+    as it was. One writer at a time.
     """
     spark = next(iter(tables.values())).sparkSession
     last = _newest(spark, path)
     version = (last.version if last else 0) + 1
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/{version}/{name}")
-    row = spark.createDataFrame([(version, sorted(tables))], "version long, tables array<string>")
+    now = (last.tables if last else {}) | dict.fromkeys(tables, version)
+    row = spark.createDataFrame([(version, now)], "version long, tables map<string,long>")
     row.coalesce(1).write.mode("append").parquet(f"{path}/published")
     return version
 
 
 def read_published(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables of the newest publication; none, if there is none."""
+    """The tables as they are published now; none, if nothing was."""
     last = _newest(spark, path)
-    return {} if last is None else {name: spark.read.parquet(f"{path}/{last.version}/{name}") for name in last.tables}
+    return {} if last is None else {name: spark.read.parquet(f"{path}/{version}/{name}") for name, version in last.tables.items()}
+
+
+def _bare(path: Column | str):
+    """A path without its scheme and host."""
+    form = "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+    return re.sub(form, "", path) if isinstance(path, str) else F.regexp_replace(path, form, "")
 
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (run_id, line_no, line) of text files named <run_id>.jsonl. Line numbers follow the order within a file."""
-    text = spark.read.text(path, wholetext=False).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    numbered = text.withColumn("line_no", F.col("block") * 1_000_000 + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 33)))
-    return numbered.select(F.regexp_replace("file", r"\.jsonl$", "").alias("run_id"), "line_no", F.col("value").alias("line"))
+    """Rows (run_id, line_no, line) of the files named *.jsonl below a folder.
+
+    A run is named by its file's place below the folder, so files of one name in two folders are two runs. Line numbers
+    count from 0 without gaps, over all the parts in which Spark reads a long file: each part is counted, the counts of
+    a file's parts are summed up, and lines are numbered within their part alone.
+    """
+    text = spark.read.text(path, recursiveFileLookup=True, pathGlobFilter="*.jsonl").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"))
+    lines = text.withColumn("at", F.monotonically_increasing_id())  # ascending within a part
+    counts = lines.groupBy("file", "part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy("file", "part").orderBy("at")) - 1
+    numbered = lines.join(counts.withColumn("before", before).drop("n"), ["file", "part"]).withColumn("line_no", F.col("before") + within)
+    root = _bare(path).rstrip("/")
+    below = F.substring(_bare(F.url_decode(F.replace(F.col("file"), F.lit("+"), F.lit("%2B")))), len(root) + 2, 1 << 20)
+    return numbered.select(F.regexp_replace(below, r"\.jsonl$", "").alias("run_id"), "line_no", F.col("value").alias("line"))
 
 
 def public_events(events: DataFrame) -> DataFrame:

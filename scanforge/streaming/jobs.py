@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from scanforge.operators import mining, scan
+from scanforge.operators import mining, runs, scan, validate
 from scanforge.operators.policy import Policy
+from scanforge.sources.batches import BatchTables
 
 
 def scan_stream(messages: DataFrame, policy: Policy = Policy(), text: str = "content", row_id: str = "id") -> DataFrame:
@@ -19,49 +20,120 @@ def scan_stream(messages: DataFrame, policy: Policy = Policy(), text: str = "con
     return scan.evaluate(messages, text, policy, row_id=row_id).drop("execution")
 
 
-Load, Store = Callable[[], DataFrame | None], Callable[[DataFrame], None]
+def scan_events(scanned: DataFrame, row_id: str = "id", ts: str = "created_at") -> DataFrame:
+    """The safety events (row_id, ts, seq, boundary, decision, reason, metadata) that scanned messages give rise to: one if it was redacted, one for the decision."""
+    never = {c: F.lit(None).cast("timestamp") for c in ("stopped_at", "timed_out_at", "over_at")}
+    none = F.lit(None).cast("map<string,string>")
+    facts = scanned.select(F.col(row_id).alias("run_id"), F.lit(None).cast("string").alias("agent_id"), F.col(ts).alias("ts"), "was_redacted", "decision", "reason", runs.audit_metadata(F.col("findings"), none).alias("metadata"))
+    events = runs.safety_events(facts.withColumns({"scanned": F.lit(True), "status": F.lit("running"), **never}))
+    return events.drop("agent_id").withColumnRenamed("run_id", row_id).withColumnRenamed("ts", ts)
 
 
-def _merged(new: DataFrame, load: Load, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    old = load()
-    return new if old is None else merge(old, new)
+def _each_batch(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    def once(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        try:
+            step(batch, number)
+        finally:
+            batch.unpersist()
 
+    return stream.writeStream.foreachBatch(once).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-def mine_stream(messages: DataFrame, rules: tuple[Load, Store], checkpoint: str, shapes: tuple[Load, Store] | None = None, ts: str = "created_at") -> StreamingQuery:
-    """Keep the learned-rule table, and that of signatures, up to date: each batch is counted and merged into what is stored.
 
-    rules, shapes: how to load and store a table. A store must replace the whole table at once (see sources.state.publish).
+def trace_stream(messages: DataFrame, store: BatchTables, checkpoint: str, policy: Policy = Policy(), ts: str = "created_at") -> StreamingQuery:
+    """Scan messages (id, content, ts) into two tables of store: `trace`, without the text as it came, and `events`.
+
+    Both stand at the same batch at any time, and a batch that is tried again is in them once.
     """
 
-    def merge(batch: DataFrame, _: int) -> None:
+    def step(batch: DataFrame, number: int) -> None:
+        store.write(number, _scanned_tables(scan.evaluate(batch, "content", policy), ts))
+
+    return _each_batch(messages, step, checkpoint)
+
+
+def _scanned_tables(scanned: DataFrame, ts: str) -> dict[str, DataFrame]:
+    return {"trace": scanned.drop("content", "secrets"), "events": scan_events(scanned, ts=ts)}
+
+
+def mine_stream(messages: DataFrame, store: BatchTables, checkpoint: str, ts: str = "created_at") -> StreamingQuery:
+    """Count the declared secrets of each batch into the tables `rules` and `signatures` of store; see learned and shapes for their sums."""
+
+    def step(batch: DataFrame, number: int) -> None:
         found = mining.declared(batch, ts)
-        rules[1](_merged(mining.learned_rules(found), rules[0], mining.merge_rules))
-        if shapes:
-            shapes[1](_merged(mining.signatures(found), shapes[0], mining.merge_signatures))
+        store.write(number, {"rules": mining.learned_rules(found), "signatures": mining.signatures(found)})
+
+    return _each_batch(messages, step, checkpoint)
+
+
+def learned(store: BatchTables, before: int | None = None) -> DataFrame | None:
+    """The learned rules of all batches that are done (before: of earlier ones than this)."""
+    rows = store.read("rules", before)
+    return None if rows is None else mining.total_rules(rows)
+
+
+def shapes(store: BatchTables) -> DataFrame | None:
+    """The signatures of all batches that are done."""
+    rows = store.read("signatures")
+    return None if rows is None else mining.total_signatures(rows)
 
-    return messages.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+#: How the tables of mine_stream are compacted.
+TOTALS = {"rules": mining.total_rules, "signatures": mining.total_signatures}
 
-def scan_and_learn_stream(messages: DataFrame, rules: tuple[Load, Store], sink: Callable[[DataFrame, int], None], checkpoint: str, ts: str = "created_at", policy: Policy = Policy()) -> StreamingQuery:
-    """Each batch is scanned with all rules learned so far, its own declarations included, and then given to sink with its number."""
+
+def scan_and_learn_stream(messages: DataFrame, store: BatchTables, checkpoint: str, ts: str = "created_at", policy: Policy = Policy()) -> StreamingQuery:
+    """Each batch is scanned with all rules learned so far, its own declarations included: tables `rules`, `trace` and `events` of store.
+
+    A batch that is tried again is scanned with the rules of the batches before it, as it was the first time.
+    """
 
     def step(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()  # read three times: declarations, hits, rows
-        learned, scanned = learn_then_scan(batch, rules[0](), ts, policy)
-        sink(scanned, number)
-        rules[1](learned)
-        batch.unpersist()
+        if not store.has(number):
+            new, scanned = learn_then_scan(batch, learned(store, number), ts, policy)
+            store.write(number, {"rules": new, **_scanned_tables(scanned, ts)})
 
-    return messages.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _each_batch(messages, step, checkpoint)
 
 
 def learn_then_scan(batch: DataFrame, known: DataFrame | None, ts: str = "created_at", policy: Policy = Policy()) -> tuple[DataFrame, DataFrame]:
-    """Of one micro-batch (id, content, secrets, ts): the rules with its own declarations, and its rows scanned with them."""
+    """Of one micro-batch (id, content, secrets, ts): the rules that it declares, and its rows scanned with those and the known ones."""
     new = mining.learned_rules(mining.declared(batch, ts))
-    rules = new if known is None else mining.merge_rules(known, new)
-    hits = mining.learned_hits(batch, rules, "id", "content", ts)
+    hits = mining.learned_hits(batch, new if known is None else mining.merge_rules(known, new), "id", "content", ts)
     rows = batch.join(mining.learned_findings(hits, "id"), "id", "left")
-    return rules, scan.evaluate(rows, "content", policy, learned=F.col("learned")).drop("learned")
+    return new, scan.evaluate(rows, "content", policy, learned=F.col("learned")).drop("learned")
+
+
+MESSAGE = "id string, content string, secrets map<string,string>, created_at timestamp"
+
+
+def split_messages(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(messages, rejected) of lines (value, source): JSON objects with the fields of MESSAGE, as they are sent.
+
+    Rejected, in this order of checks: what is no such object, unknown fields, content that is no text of 1 to 50,000
+    characters, and secrets whose names, values or number break their contract. A rejected row says where it came from,
+    its size and which fields fail, and holds nothing of the line.
+    """
+    parsed = lines.withColumn("m", F.from_json("value", f"{MESSAGE}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    v = F.try_parse_json("value")
+    rows = parsed.select("source", F.octet_length("value").alias("bytes"), "value", "m.*", F.schema_of_variant(v).alias("kind"), F.schema_of_variant(F.try_variant_get(v, "$.content", "variant")).alias("content_kind"))
+    names = [f.split()[0] for f in MESSAGE.split(", ")]
+    whole = [("body", "must be a JSON object", F.col("_bad").isNull() & F.col("kind").startswith("OBJECT"))]
+    checks = [*validate.known_fields("value", names), ("content", "must be a text", F.col("content_kind") == "STRING"), *validate.message_checks(), *validate.secret_checks()]
+    own = F.when(F.size(validate.violations(whole)) > 0, validate.violations(whole)).otherwise(validate.violations([("body" if f == "value" else f, m, ok) for f, m, ok in checks]))
+    marked = rows.withColumn("violations", own)
+    return marked.where(F.size("violations") == 0).select(*names), marked.where(F.size("violations") > 0).select("source", "bytes", "violations")
+
+
+def ingest_stream(spark: SparkSession, path: str, store: BatchTables, checkpoint: str) -> StreamingQuery:
+    """Read messages as JSON lines from the files of a folder into two tables of store: `messages` and `rejected` (see split_messages)."""
+    lines = spark.readStream.text(path).select("value", F.col("_metadata.file_path").alias("source"))
+
+    def step(batch: DataFrame, number: int) -> None:
+        good, bad = split_messages(batch)
+        store.write(number, {"messages": good, "rejected": bad})
+
+    return _each_batch(lines, step, checkpoint)
 
 
 class RunTimeout(StatefulProcessor):
