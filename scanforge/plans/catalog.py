@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scanforge.functions import text as T
-from scanforge.functions.rules import FRAMEWORKS, INJECTION_RULES, PII_LABEL, SECRET_LABEL, SECRET_RULES, catalogue
+from scanforge.functions.rules import FRAMEWORKS, PII_LABEL, SECRET_LABEL, SECRET_RULES, catalogue
 from scanforge.operators import confidence, history, mining, runs, scan, validate
 from scanforge.operators.policy import Policy
 
@@ -62,8 +62,40 @@ def _re2(pattern: str) -> str:
     return pattern.replace(T.LEFT, r"\b").replace(T.RIGHT, r"\b")
 
 
+# The injection phrases again, written out for RE2, in catalogue order.
+#: (id, severity, pattern) on text with single blanks.
+INJECTION_SQL = (
+    ("safety-policy-bypass", "critical", r"(ignore|disable|turn off|bypass|do not follow) ((all|the) )?(safety (rule|rules|check|checks|filter)|redaction|security (rule|rules|check|checks))"),
+    ("environment-secret-exfiltration", "high", r"(print|show|display|output|dump|reveal) (all )?(environment variable|environment variables|env var|env vars|hidden value|hidden values|secret|secrets|credential|credentials)"),
+    ("original-prompt-exfiltration", "high", r"(show|print|return|reveal|give me) (the )?(original|raw|unredacted) (prompt|request|tool output|output)"),
+    ("reveal-developer-message", "high", r"(show|print|return|reveal|repeat|display) (me )?(the )?(developer (message|prompt|instruction|instructions)|hidden (message|context)|application (instruction|instructions))"),
+    ("reveal-tool-arguments", "high", r"(show|print|return|reveal|dump|display) (all )?(hidden )?(tool (argument|arguments|parameter|parameters|input|inputs)|function (argument|arguments|parameter|parameters)|internal tool data)"),
+    ("reveal-conversation-history", "high", r"(show|print|return|reveal|dump|repeat) (the )?(full )?((conversation|chat) history|prior (message|messages|conversation)|hidden (message|messages))"),
+    ("fake-authority-claim", "high", r"(the )?(admin|administrator|developer|system owner|security team) (has )?(approved|authorized|said|允许) (you to )?(ignore|disable|bypass|reveal|show|print)"),
+    ("user-text-as-system-instruction", "high", r"(treat|consider|regard) (the )?(user|following|next|quoted) (text|message|content|block) as (a )?(system|developer|administrator) (message|instruction|command)"),
+    ("encoded-instruction-bypass", "medium", r"(decode (this )?(base ?64|rot ?13|hex)|(base ?64|rot ?13|hex) (this|the following)) (and )?(follow|execute|obey) (it|the result)"),
+    ("ignore-previous-instructions", "critical", r"(ignore|disregard|forget|bypass) ((all|any) )?(of )?((your|my|the|these|those) ?)?(previous|prior|earlier|above|preceding) (instruction|instructions|rule|rules|guideline|guidelines|context|prompt|prompts)"),
+    ("new-instructions-injection", "high", r"(new|updated|real|actual) (instruction|instructions) ?:"),
+    ("override-system-prompt", "critical", r"(disregard|ignore|override) (your )?(system prompt|system message|guidelines|programming|training)"),
+    ("jailbreak-persona", "high", r"act as (if you (are|were) )?(dan\b|an? unfiltered|a jailbroken|an? ai with no restrictions)"),
+    ("developer-god-mode", "high", r"you (are now|have entered) (in )?(developer|god|jailbreak|unrestricted) mode"),
+    ("no-restrictions-pretend", "high", r"pretend (you )?(have no|there (are|is) no) (restrictions|rules|guidelines|filters|limitations)"),
+    ("reveal-system-prompt", "medium", r"(reveal|show|print|output|repeat) (me )?(your|the) (system prompt|initial instructions|hidden instructions)"),
+    ("what-are-your-instructions", "medium", r"what (are|were) your (original )?instructions"),
+    ("fake-role-delimiter", "medium", r"(\[\[|<\|) ?(system|admin) ?(\]\]|\|>)"),
+    ("fake-end-of-prompt", "medium", r"### ?(end ?of ?(system ?)?prompt|system|instruction)s? ?###"),
+    ("delete-all-files", "critical", r"(delete|remove|wipe) all (file|files)"),
+    ("shell-rm-rf-root", "critical", r"rm -rf /( |$)"),
+    ("sql-drop-table", "high", r"drop (table|database)"),
+    ("format-disk", "high", r"format (the )?(disk|drive|hard ?drive)"),
+)
+#: Rules whose phrase may end or begin within a word.
+_OPEN_START, _OPEN_END = ("fake-role-delimiter", "fake-end-of-prompt"), ("new-instructions-injection", "jailbreak-persona", "fake-role-delimiter", "fake-end-of-prompt", "shell-rm-rf-root")
+
+
 def _injection_rows() -> str:
-    parts = [f"SELECT doc_id, {i} AS o, {quoted(r.id)} AS id, {quoted(r.severity)} AS severity, unnest(regexp_extract_all(text, {quoted(_re2(r.pattern))})) AS v FROM {PROMPTS}" for i, r in enumerate(INJECTION_RULES)]
+    edge = lambda id, open: "" if id in open else r"\b"
+    parts = [f"SELECT doc_id, {i} AS o, {quoted(id)} AS id, {quoted(severity)} AS severity, unnest(regexp_extract_all(text, {quoted(f'(?i){edge(id, _OPEN_START)}({p}){edge(id, _OPEN_END)}')})) AS v FROM {PROMPTS}" for i, (id, severity, p) in enumerate(INJECTION_SQL)]
     both = f"SELECT doc_id, 1000 AS o, 'base64-decode-execute-heuristic' AS id, 'medium' AS severity, '' AS v FROM {PROMPTS} WHERE regexp_matches(text, '(?i)\\bbase64\\b') AND regexp_matches(text, '(?i)\\b(?:decode|execute|run)\\b')"
     return " UNION ALL ".join([*parts, both])
 
@@ -515,7 +547,7 @@ def oracle_sql() -> dict[str, str]:
         "plainly_redacted_documents": f"SELECT doc_id, 'ALLOW' AS decision, r <> text AS was_redacted, md5(r) AS redacted_md5 FROM (SELECT doc_id, text, {_redacted('text')} AS r FROM {DOCUMENTS})",
         "redact_text": f"SELECT conv_id, turn, md5({_redacted('text || ' + base.pick_sql('conv_id', base.PLANTS))}) AS redacted_md5 FROM conversations",
         "provider_secret_counts": f"WITH k AS (SELECT coalesce(text, '') || ' Credential: ' || {base.pick_sql('doc_id', base.PROVIDER_PLANTS)} || ' of ' || coalesce(source, '') AS text FROM documents) SELECT id, severity, count(*) AS n FROM ({providers}) GROUP BY ALL",
-        "generic_assignment": f"SELECT doc_id, 1::BIGINT AS n FROM {DOCUMENTS} WHERE contains(text, 'client_secret=')",
+        "generic_assignment": _assignments_sql(),
         "injection_findings": f"SELECT id, severity, count(*) AS n, count(DISTINCT doc_id) AS docs FROM ({_injection_rows()}) GROUP BY ALL",
         "block_decisions": f"SELECT * FROM {_DECIDED}",
         "vault_roundtrip": f"SELECT doc_id, md5(text) AS text_md5 FROM {DOCUMENTS}",
@@ -576,6 +608,15 @@ SELECT run_id, agent_id, (row_number() OVER (PARTITION BY run_id ORDER BY o, sec
     }
 
 
+def _assignments_sql() -> str:
+    """Values of 8 characters and more after secret-sounding names, varied enough, likely enough, and neither an UUID nor 40 hexadecimal digits."""
+    found = r"""(?i)\b[a-z0-9_-]{0,40}?(?:secret|password|passwd|token|api[_-]?key|credential)[a-z0-9_-]{0,20}["']?\s*[:=]\s*["']?([a-z0-9_\-/+.=]{8,})"""
+    kinds = " + ".join(f"regexp_matches(value, '[{c}]')::INT" for c in ("A-Z", "a-z", "0-9"))
+    z = f"-6.0 + 1.2 * ({_ENTROPY}) + 0.6 * ({kinds}) - CASE WHEN regexp_full_match(value, '[A-Za-z0-9+/]+={{1,2}}') THEN 4.0 ELSE 0.0 END"
+    never = "regexp_full_match(value, '(?i)[0-9a-f]{40}') OR regexp_full_match(value, '(?i)[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}')"
+    return f"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, {quoted(found)}, 1)) AS value FROM {DOCUMENTS}) WHERE {_ENTROPY} >= 3.8 AND NOT ({never}) AND 1 / (1 + exp(-({z}))) >= 0.2 GROUP BY doc_id"
+
+
 def _traces_sql() -> str:
     out = _redacted(f"coalesce(text, '') || ' ~ ' || v || {base.pick_sql('conv_id', base.PLANTS)}")
     gone = f"CASE WHEN length(v) = 0 THEN {{0}} WHEN length(v) < 12 THEN replace({{0}}, v, '{SECRET_LABEL}') ELSE replace(replace(replace({{0}}, v, '{SECRET_LABEL}'), left(v, 6), '[REDACTED_SECRET_FRAGMENT]'), right(v, 6), '[REDACTED_SECRET_FRAGMENT]') END"
