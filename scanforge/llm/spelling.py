@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut, each
+from .common import LOWER, UPPER, cut, each, written
 
 MIN_CHARS, MIN_COUNT, TIMES = 7, 2, 10
 #: A run loses a letter where this divides its hash.
@@ -117,7 +117,7 @@ def _walk(words: DataFrame) -> DataFrame:
         deletes = ~F.col("edited") & (F.col("ch") == F.col("after")) & (F.col("ch") != F.col("here"))
         met = states.join(F.broadcast(edges) if small else edges, (F.col("node") == F.col("parent")) & (goes | replaces | deletes))
         steps = F.filter(F.array(F.when(goes | replaces, F.col("pos") + 1), F.when(deletes, F.col("pos") + 2)), lambda x: x.isNotNull())
-        active = cut(met.select("word", "n", "back", F.explode(steps).alias("pos"), F.col("child").alias("node")).select(*schema))
+        active = written(met.select("word", "n", "back", F.explode(steps).alias("pos"), F.col("child").alias("node")).select(*schema))
         done.append(active.where(F.col("pos") >= F.length("word")).select("word", "n", "back", "node"))
     return reduce(DataFrame.unionByName, done) if done else words.select("word", "n", F.lit(False).alias("back"), F.lit(0).cast("long").alias("node")).limit(0)
 
