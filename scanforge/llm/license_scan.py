@@ -12,15 +12,16 @@ overlap, so that a notice stands whole in one of them however its lines are brok
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, ascii_lower, cut
 
-#: A word, before A-Z are lower-cased; what is between words; and where a word begins and ends.
+#: A word, before A-Z are lower-cased, and what is between words.
 WORD, _GAP = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_BEGIN, _END = f"(?<!{WORD[:-1]})", f"(?!{WORD[:-1]})"
 #: Phrases whose every place counts, and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: Share of a template's distinct words that a block must hold.
@@ -66,10 +67,15 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def phrase_places(text: Column) -> Column:
+def _holds(lowered: Column, words) -> Column:
+    """Whether a text has all words somewhere in it, as words or in them."""
+    return reduce(and_, (lowered.contains(w) for w in sorted(words, key=lambda w: (-len(w), w))))
+
+
+def phrase_places(text: Column, lowered: Column) -> Column:
     """struct of struct<n,first,last> for each base phrase: its places, and the least and greatest start in words from 0.
 
-    No phrase begins as it or another one ends, so places do not overlap.
+    No phrase begins as it or another one ends, so places do not overlap. lowered: the text in lower case, to pass over most texts.
     """
     none = "struct<n:int,first:int,last:int>"
     blanks = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
@@ -84,8 +90,8 @@ def phrase_places(text: Column) -> Column:
 
     # every word stands between two single blanks
     line = F.concat(F.lit(" "), F.trim(F.regexp_replace(ascii_lower(text), _GAP, " ")), F.lit(" "))
-    hint = "|".join(p.replace(" ", _GAP) for p in PHRASES)
-    return F.when(text.rlike(f"(?i){hint}"), F.element_at(F.transform(F.array(line), of), 1))
+    maybe = reduce(or_, (_holds(lowered, p.split()) for p in PHRASES))
+    return F.when(maybe, F.element_at(F.transform(F.array(line), of), 1))
 
 
 def word_order(docs: DataFrame, rows: tuple = TEMPLATES) -> dict[str, int]:
@@ -151,13 +157,13 @@ def scan(docs: DataFrame, share: float = CONTAINMENT, rows: tuple = TEMPLATES) -
     """
     order = word_order(docs, rows)
     by_place = {i: w for w, i in order.items()}
-    rare = sorted({by_place[i] for x in _index(order, share, rows) for i in x[4]})
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    maybe = F.col("text").rlike(f"(?i){_BEGIN}(?:{'|'.join(rare)}){_END}")
-    named = docs.select("doc_id", text.alias("text")).withColumn("maybe", maybe)
+    # a text passes with all words that some template must have, and with a word of that template's prefix
+    text, low = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("low")
+    maybe = reduce(or_, (reduce(and_, [_holds(low, {by_place[i] for i in x[6]})] * bool(x[6]) + [reduce(or_, (low.contains(by_place[i]) for i in x[4]))]) for x in _index(order, share, rows)))
+    named = docs.select("doc_id", text.alias("text")).withColumn("low", F.lower("text")).withColumn("maybe", maybe)
     # texts that may match are keyed by what they say, the others lie apart from each other
     key = F.when(F.col("maybe"), F.sha2("text", 256)).otherwise(F.hex(F.xxhash64("doc_id", "text")))
-    per_doc = named.select("doc_id", key.alias("key"), F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), phrase_places(F.col("text")).alias("base"))
+    per_doc = named.select("doc_id", key.alias("key"), F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), phrase_places(F.col("text"), F.col("low")).alias("base"))
     found = matches(named.where("maybe").select(F.sha2("text", 256).alias("key"), "text"), order, share, rows)
     per_text = cut(found.groupBy("key").agg(F.array_sort(F.collect_set("label")).alias("more"), F.max("score").alias("best")))
     small = per_text.count() <= SMALL_MATCHES
