@@ -13,11 +13,15 @@ from scanforge.llm import decontaminate, line_dedup, mixing, near_copies, toxici
 from scanforge.llm.common import cut, table, without_ids
 
 
+def _apart(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all other columns as one, so that no stage meets a name of its own among them."""
+    rest = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", (F.struct(*rest) if rest else F.lit(None).cast("struct<none:int>")).alias("rest"))
+
+
 def _as_documents(out: DataFrame, docs: DataFrame) -> DataFrame:
-    """The columns of documents again; n_chars follows the text."""
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    """The columns of documents again."""
+    return out.select(*[F.col(c) if c in ("doc_id", "text") else F.col("rest")[c].alias(c) for c in docs.columns])
 
 
 #: Rows of whole texts that travel to Python at a time: a batch of very long texts then stays small.
@@ -36,13 +40,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     _small_batches(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("predicted") == 0).select(*docs.columns)
+    return _as_documents(toxicity.score(_apart(docs), model).where(F.col("predicted") == 0), docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that other documents hold for them. All documents stay, null texts as empty ones."""
+    """Documents without the lines that other documents hold for them; n_chars follows the text. All documents stay, null texts as empty ones."""
     _small_batches(spark)
-    return _as_documents(line_dedup.dedup_lines(docs), docs)
+    out = _as_documents(line_dedup.dedup_lines(_apart(docs)), docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +56,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows are judged, not ids: a null or repeated doc_id changes nothing for other texts.
     """
     _small_batches(spark)
-    return near_copies.drop(docs).select(*docs.columns)
+    return _as_documents(near_copies.drop(_apart(docs)), docs)
 
 
 def drop_benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
