@@ -21,11 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, each
 from .html_parse import INLINE, PROSE, Page, attributes, parse
 
 #: Different pages of a host that must hold a subtree before it counts as the site's template: a few, and a share of all.
-MIN_PAGES, MIN_SHARE = 3, 0.05
+#: What fewer pages share, such as a list or a quotation, may be what their articles have in common.
+MIN_PAGES, MIN_SHARE = 3, 0.5
 #: Stands for the page itself among the hashes of a page's subtrees.
 PAGE_HASH = 0
 #: Recurring (host, hash) rows that may be broadcast (16 bytes each and the hosts' names); beyond, they are joined.
@@ -50,6 +51,13 @@ def _marks(attr: str) -> tuple[set[str], dict[str, str]]:
     return set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower())), a
 
 
+def _says_dropped(a: dict[str, str]) -> bool:
+    """Whether a class or the id is made of nothing but words for what is no article. Inside an article a word among others says
+    little: a section of class related-work belongs to it, a box of class share-widget does not."""
+    names = [re.findall("[a-z]+", re.sub("([a-z])([A-Z])", r"\1 \2", n).lower()) for n in (*a.get("class", "").split(), a.get("id", ""))]
+    return any(n and DROPPED_WORDS.issuperset(n) for n in names)
+
+
 def _inside(page: Page, flags: list[bool]) -> list[bool]:
     """Which elements have a flagged element above or are flagged. Parents come before children."""
     out = list(flags)
@@ -101,7 +109,7 @@ def _own_rules(page: Page) -> list[bool]:
             marks, a = _marks(page.attrs[i])
             style = a.get("style", "").replace(" ", "").lower()
             out[i] = (
-                bool(marks & DROPPED_WORDS) or ("header" in marks and not in_article[i]) or a.get("role", "").lower() in DROPPED_ROLES or "hidden" in a
+                (_says_dropped(a) if in_article[i] else bool(marks & DROPPED_WORDS)) or ("header" in marks and not in_article[i]) or a.get("role", "").lower() in DROPPED_ROLES or "hidden" in a
                 or a.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
             )
     return out
@@ -166,7 +174,7 @@ def host(url: Column) -> Column:
 def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, hosts, hashes, texts = [], [], [], []
-        for i, where, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for i, where, source in zip(*map(each, batch.columns), strict=True):
             page = parse(source)
             own = [PAGE_HASH, *block_hashes(page)]
             sign = xxhash.xxh64_intdigest(main_text(page).encode("utf-8", "replace"))
@@ -183,14 +191,14 @@ def _shared_texts(shared):
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         known = {k: frozenset(v.tolist()) for k, v in shared.value.items()}
         for hosts, sources in batches:
-            yield pa.array([main_text(parse(s), known.get(k, frozenset())) for k, s in zip(hosts.to_pylist(), sources.to_pylist(), strict=True)], pa.string())
+            yield pa.array([main_text(parse(s), known.get(k, frozenset())) for k, s in zip(each(hosts), each(sources), strict=True)], pa.string())
 
     return run
 
 
 @F.arrow_udf(T.StringType())
 def _joined_texts(found: pa.Array, sources: pa.Array) -> pa.Array:
-    pages = zip(found.to_pylist(), sources.to_pylist(), strict=True)
+    pages = zip(each(found), each(sources), strict=True)
     return pa.array([main_text(parse(s), {h & 0xFFFFFFFFFFFFFFFF for h in k or ()}) for k, s in pages], pa.string())
 
 
@@ -201,7 +209,8 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     no text. A null url, or one without a host, is of the host ''. A repeated page (the same main text) counts
     once towards the template. Null and repeated page_ids are pages like any other. An empty table gives an empty table.
     """
-    where = "__host" + "_" * sum(c.startswith("__host") for c in pages.columns)
+    fresh = lambda name: name + "_" * sum(c.startswith(name) for c in pages.columns)
+    where, own_id, own_host, held = map(fresh, ("__host", "__id", "__of", "__found"))
     keyed = pages.withColumn(where, host(F.col("url").cast("string")))
     rows = keyed.select(F.col("page_id").cast("long"), where, F.col("html").cast("string")).mapInArrow(_hash_rows, "id long, host string, h long, sign long")
     different = rows.groupBy("host", "h", "sign").agg(F.lit(1).alias("one"))
@@ -215,7 +224,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
         shared = pages.sparkSession.sparkContext.broadcast({k: np.array(v, np.int64).view(np.uint64) for k, v in table.items()})
         out = keyed.withColumn("text", _shared_texts(shared)(F.col(where), F.col("html").cast("string")))
     else:
-        of_page = rows.select("id", "host", "h").distinct().join(recurring, ["host", "h"]).groupBy(F.col("id").alias("__id"), F.col("host").alias("__of")).agg(F.collect_set("h").alias("__found"))
-        same = keyed["page_id"].cast("long").eqNullSafe(of_page["__id"]) & (keyed[where] == of_page["__of"])
-        out = keyed.join(of_page, same, "left").withColumn("text", _joined_texts(F.col("__found"), F.col("html").cast("string"))).drop("__id", "__of", "__found")
+        of_page = rows.select("id", "host", "h").distinct().join(recurring, ["host", "h"]).groupBy(F.col("id").alias(own_id), F.col("host").alias(own_host)).agg(F.collect_set("h").alias(held))
+        same = keyed["page_id"].cast("long").eqNullSafe(of_page[own_id]) & (keyed[where] == of_page[own_host])
+        out = keyed.join(of_page, same, "left").withColumn("text", _joined_texts(F.col(held), F.col("html").cast("string"))).drop(own_id, own_host, held)
     return out.drop(where)

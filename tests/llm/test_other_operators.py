@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -42,6 +43,31 @@ def test_templates(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_what_articles_share_is_not_the_template(spark):
+    """Lists, tables, quotations and sections that a part of a host's articles have in common stay; what the host puts into most pages goes."""
+    rng = random.Random(3)
+    rows, want = [], {}
+    lists = "<ul><li>flour</li><li>two eggs</li></ul>"
+    tables = [f"<table><tr><td>size {k}</td></tr></table>" for k in range(3)]
+    for i in range(40):
+        t = " ".join(f"w{rng.randrange(999)}" for _ in range(40))
+        extra, said = (lists, "flour two eggs") if i < 3 else ("", "")
+        table, told = tables[i % 3], f"size {i % 3}"
+        quote, words = ("<p>A passage that three of them quote</p>", "A passage that three of them quote") if i % 15 == 0 else ("", "")
+        body = f"<p>{t}</p>{extra}{table}<div class='related-work'><p>earlier {t[:9]}</p></div><section class=comment-period><p>until {i}</p></section>{quote}"
+        box = "<div class='share-widget'>tweet</div><div><p>Join our club</p></div>"
+        if i % 2:
+            rows.append((i, "https://h.example/a", f"<body><div>Home</div><article>{body}<div class='share-widget'>tweet</div></article></body>"))
+        else:
+            rows.append((i, "https://h.example/b", f"<body><div>Home</div>{box}<div class=content>{body.replace('related-work', 'w').replace('comment-period', 'p')}</div></body>"))
+        want[i] = " ".join(x for x in (t, said, told, f"earlier {t[:9]}".strip(), f"until {i}", words) if x)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(c) for c in ("__id", "__of", "__found", "__host")})
+    for limit in (html_extract.BROADCAST_ROWS, 0):
+        out = html_extract.extract(df, broadcast_rows=limit)
+        assert out.columns == [*df.columns, "text"] and all(r["__id"] == "__id" and r["__found"] == "__found" for r in out.collect())
+        assert {r.page_id: r.text for r in out.collect()} == want
+
+
 def test_templates_without_articles_or_telling_classes(spark):
     """Pages of bare divs: the counts alone remove the template, and equal those of a plain loop."""
     rng = random.Random(2)
@@ -159,6 +185,52 @@ def test_pipeline(spark, tmp_path):
     assert 0 < len(seen["mixing"]) <= 62
 
 
+def written(spark, df, path):
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_pipeline_drops_toxic_documents(spark, tmp_path):
+    """With labels the first stage rejects what it was shown, also among documents whose labels it never saw."""
+    rng = random.Random(8)
+    docs, labels = [], []
+    for i in range(400):
+        w = [f"w{rng.randrange(300)}" for _ in range(60)]
+        if i % 4 == 0:
+            for k in range(5):
+                w.insert(rng.randrange(len(w)), rng.choice(["grumble", "snarling", "vexatious"]) + ("s" if k % 2 else ""))
+        docs.append((i, " ".join(w), "en", "s", 0))
+        labels.append((i, 1, int(i % 4 == 0)))
+    docs = spark.createDataFrame([*docs, (None, None, None, None, None), (900, "", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    written(spark, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), f"file://{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.STAGES[0][1](spark, docs, f"file://{tmp_path}")
+    ids = {r.doc_id for r in kept.collect()}
+    assert kept.columns == docs.columns and {None, 900} <= ids
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2]
+    for some in (range(400), held):
+        assert sum((i in ids) == (i % 4 != 0) for i in some) >= 0.97 * len(some)
+
+
+def test_pipeline_of_awkward_tables(spark, tmp_path):
+    """Empty tables, nulls, repeated rows and ids, and columns with the names that stages use themselves."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, predicted string, size string, key string, n_lines string, kept string"
+    rows = [(1, "a b c", "en", "s", 5), (1, "a b c", "en", "s", 5), (1, "another text of the same id", None, None, None), (None, None, None, None, None), (None, "", "en", None, 0), (2, "word " * 30_000, "en", "s", 1), (3, "\n\n", "en", "s", 2)]
+    written(spark, spark.createDataFrame([], "doc_id long, quality int, toxic int"), f"file://{tmp_path}/labels.parquet")
+    written(spark, spark.createDataFrame([(None, None), (1, ""), (2, "no such item in any of them at all")], "item_id long, text string"), f"file://{tmp_path}/benchmark.parquet")
+    for name, data in (("none", []), ("some", [(*r, *"abcdef") for r in rows])):
+        now = spark.createDataFrame(data, schema)
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = written(spark, stage(spark, now, f"file://{tmp_path}"), f"file://{tmp_path}/{name}{i}")
+            if i < 4:
+                assert out.columns == now.columns
+                assert all((r.score, r.key, r.kept) == ("a", "d", "f") for r in out.collect())
+                now = out
+        assert (now.count() == 0) == (name == "none")
+        if data:  # of equal texts one row stays; nulls and empty texts are no copies of others
+            texts = [(r.text or "") for r in now.collect()]
+            assert texts.count("a b c") == 1 and "another text of the same id" in texts and any(len(t) > 100_000 for t in texts)
+
+
 def test_pipeline_near_copies(spark):
     rng = random.Random(6)
     docs, want = [], {}
