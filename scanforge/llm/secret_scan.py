@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scanforge.functions.arrays import once, scan_left
+
 from .common import cut
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -34,6 +36,7 @@ MIN_RATIO, MIN_RATIO_EACH = 12.0, 0.25
 #: Documents whose tokens are the labelled sample, chosen by hash; and distinct tokens of each label at most.
 SAMPLE_DOCUMENTS, SAMPLE_TOKENS = 2_000, 50_000
 KINDS = ("assign", "access", "hex", "markov")
+_SPAN = "struct<start:int,kind:int,end:int>"
 
 
 def _spans(text: Column, pattern: str, order: int, value_group: int | None = None, wanted=None) -> Column:
@@ -42,18 +45,18 @@ def _spans(text: Column, pattern: str, order: int, value_group: int | None = Non
     wanted: a condition on the match (or its value_group). It is checked before a span is kept, and no match is looked up in
     the text again, so that a long text with very many matches costs no more than those that are wanted.
     """
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = found if value_group is None else F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))
-    ok = F.transform(values, wanted) if wanted else F.transform(values, lambda v: F.lit(True))
-    steps = F.arrays_zip(F.slice(F.transform(pieces, F.length), F.lit(1), F.size(found)).alias("gap"), F.transform(found, F.length).alias("len"), ok.alias("ok"))
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + x["gap"]
+    def spans(found: Column) -> Column:
+        values = found if value_group is None else F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))
+        ok = F.transform(values, wanted or (lambda v: F.lit(True)))
+        gaps = F.slice(F.transform(F.split(text, pattern, -1), F.length), F.lit(1), F.size(found))
+        return scan_left(F.arrays_zip(gaps.alias("gap"), F.transform(found, F.length).alias("len"), ok.alias("ok")), F.lit(0), step, _SPAN)
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + x["gap"]
         one = F.array(F.struct(start.alias("start"), F.lit(order).alias("kind"), (start + x["len"]).alias("end")))
-        return F.struct((start + x["len"]).alias("at"), F.when(x["ok"], F.concat(a["out"], one)).otherwise(a["out"]).alias("out"))
+        return start + x["len"], F.when(x["ok"], one).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
-    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda a: a["out"])
+    return once(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)
 
 
 def _or_empty(condition: Column, spans: Column) -> Column:
