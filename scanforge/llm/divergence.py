@@ -24,7 +24,7 @@ from .common import LOWER, UPPER, cut, each
 
 MIN_DOCS, PRIOR, SCALE, TERM_RANKS = 30, 5, 1_000_000_000, 50
 #: Postings (a source's count of a term) of a block that one task holds.
-BLOCK_POSTINGS = 500_000
+BLOCK_POSTINGS = 50_000
 #: Distinct (source, term) cells that a task counts before it passes them on, and bytes of a text that are cut into words at a time.
 HELD_CELLS, TEXT_BYTES = 300_000, 1 << 22
 #: Sources up to which their table is broadcast.
