@@ -68,5 +68,9 @@ def walk_ranges(text: Column, ranges: Column, give: Callable[[Column, Column, Co
 
 def replace_ranges(text: Column, ranges: Column, new: Callable[[Column, Column], Column]) -> Column:
     """text with each range replaced by new(range, what stood there)."""
-    done = walk_ranges(text, ranges, lambda gap, f, value: F.array(gap, new(f, value)))
-    return F.when(F.size(ranges) == 0, text).otherwise(once(done, lambda d: F.array_join(F.concat(d["out"], F.array(d["rest"])), "")))
+
+    def of(found: Column) -> Column:
+        done = walk_ranges(text, found, lambda gap, f, value: F.array(gap, new(f, value)))
+        return F.when(F.size(found) == 0, text).otherwise(once(done, lambda d: F.array_join(F.concat(d["out"], F.array(d["rest"])), "")))
+
+    return once(ranges, of)
