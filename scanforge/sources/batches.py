@@ -33,7 +33,7 @@ class BatchTables:
             return self.spark.createDataFrame([], f"{_BATCH} long")
 
     def has(self, batch: int) -> bool:
-        return not self.done().where(F.col(_BATCH) == batch).isEmpty() or batch <= self._compacted()
+        return not self.done().where(F.col(_BATCH) == batch).isEmpty()
 
     def write(self, batch: int, tables: dict[str, DataFrame]) -> bool:
         """Add a batch to all its tables; False if it was there already, and then nothing is read or written."""
@@ -45,17 +45,20 @@ class BatchTables:
         marker.coalesce(1).write.mode("overwrite").parquet(self._folder("done", batch))  # one file, so it is there or it is not
         return True
 
-    def _compacted(self) -> int:
-        upto = read_published(self.spark, f"{self.path}/compacted").get("upto")
-        return -1 if upto is None else upto.first()["batch"]
+    def _compacted(self) -> tuple[dict[str, DataFrame], dict[str, int]]:
+        """The merged tables, and the last batch that each of them holds."""
+        tables = read_published(self.spark, f"{self.path}/compacted")
+        upto = tables.pop("upto", None)
+        return tables, {} if upto is None else {r["name"]: r["batch"] for r in upto.collect()}  # a row for each table
 
     def read(self, name: str, before: int | None = None) -> DataFrame | None:
         """All rows of a table from batches that are done (before: from earlier batches than this one alone); None if there are none.
 
         What was compacted comes as it was merged.
         """
-        base = read_published(self.spark, f"{self.path}/compacted").get(name)
-        batches = self.done().where(F.col(_BATCH) > self._compacted())
+        tables, upto = self._compacted()
+        base = tables.get(name)
+        batches = self.done().where(F.col(_BATCH) > upto.get(name, -1))
         if before is not None:
             batches = batches.where(F.col(_BATCH) < before)
         if batches.isEmpty():
@@ -68,13 +71,12 @@ class BatchTables:
         return rows if base is None else base.unionByName(rows)
 
     def compact(self, merges: dict) -> None:
-        """Fold all batches that are done into one merged table each, so that reading does not slow down as batches add up.
+        """Fold all batches that are done into one merged table for each name, so that reading does not slow down as batches add up.
 
-        merges: table name -> function of all its rows. Tables that are not named stay as they are, so name all or none
-        of those that are read.
+        merges: table name -> function of all its rows. Other tables stay as they are.
         """
-        last = self.done().agg(F.max(_BATCH)).first()[0]
-        if last is None or last <= self._compacted():
-            return
-        tables = {name: merge(rows) for name, merge in merges.items() if (rows := self.read(name)) is not None}
-        publish({**tables, "upto": self.spark.createDataFrame([(last,)], "batch long")}, f"{self.path}/compacted")
+        last, upto = self.done().agg(F.max(_BATCH)).first()[0], self._compacted()[1]
+        tables = {n: merge(rows) for n, merge in merges.items() if last is not None and upto.get(n, -1) < last and (rows := self.read(n)) is not None}
+        if tables:
+            now = [(n, b) for n, b in (upto | dict.fromkeys(tables, last)).items()]
+            publish({**tables, "upto": self.spark.createDataFrame(now, "name string, batch long")}, f"{self.path}/compacted")
