@@ -5,8 +5,12 @@ nearly no tile pair. So tiles are made otherwise here. Shingles have one global
 of texts holds often come last, the others go by hash. Two sets of the similarity share one of their first shingles,
 as many as the similarity leaves room to differ in, and the documents with such a shingle are a tile. In a tile,
 fingerprints are compared with exclusive-or and bit counts: of those a few bits apart, spanning forests are kept, so
-that n near copies make n rows and not n squared, and between its trees all pairs that are not far apart. Each pair
-is then verified, shingle by shingle.
+that n near copies make n rows and not n squared, and between its trees all pairs that are likely by their bits.
+
+What this leaves open is settled in a second round. A tile with pairs that were not taken, and whose documents are
+not one group by then, is compared again, each pair of two groups: by the parities of the sets' hashes, which differ
+in no more places than the sets do, so that they rule a pair out for certain. Fingerprints thus say what is looked at
+first, and no pair is left out by them. Each pair is then verified, shingle by shingle.
 
 Texts with the same set of shingles are one class from the start. Texts themselves are never shuffled but for those
 of pairs; rows are told apart by a 64-bit hash of the text.
@@ -23,18 +27,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SMALL_IDS, cut, each, shingle_hashes, split_words, word_hashes
+from .common import SMALL_IDS, cut, each, shingle_hashes, split_words, word_hashes, written
 from .components import components
 
 SHINGLE_WORDS = 5
 #: Similarity of 0.8 as a fraction of whole numbers.
 NUM, DEN = 4, 5
-#: Bits that two fingerprints of the similarity may differ in: 10 on average with a deviation of 3, and 12 where sets are SHORT.
-FAR, FAR_SHORT, SHORT = 22, 26, 32
-#: Bits within which a tile keeps forests, and how many of them: where one link fails the exact check, two other ways are left.
+#: Bits apart up to which fingerprints are likely near, 10 on average with a deviation of 3: these are taken in the first round.
+FAR = 22
+#: Bits within which a tile keeps forests, and how many of them.
 NEAR, FORESTS = 8, 3
-#: Smallest hashes of two sets that are compared first, and the share of them that both must hold: at the similarity, five deviations less.
-LOW, LOW_SHARE = 64, 0.55
+#: Parity bits of a set: the power of two from twice its size up, from the least to the most. They bear on the work alone.
+LEAST_BITS, MOST_BITS = 64, 1 << 17
 #: Texts of the sample that orders shingles, and shingles that it puts last, at most. They bear on the work, not on the result.
 SAMPLE, LAST = 5_000, 100_000
 #: Documents of a tile on average; fuller ones, by the sample, are split into pairs of tiles.
@@ -58,6 +62,40 @@ def fingerprint(h: np.ndarray) -> np.uint64:
     return np.packbits(ones * 2 > h.size, bitorder="little").view(np.uint64)[0]
 
 
+def parities(h: np.ndarray) -> bytes:
+    """For each value of the hashes' low bits, whether an odd number of the set's hashes has it."""
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (2 * h.size - 1).bit_length()))
+    odd = np.bincount((h & np.uint64(size - 1)).view(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differences(bits: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of pairs of sets, by their parities, in how many hashes they differ at least. A longer row is folded to the shorter."""
+    width, out = np.array([len(x) for x in bits], np.int64), np.zeros(i.size, np.int64)
+    least = np.minimum(width[i], width[j])
+    for w in np.unique(least).tolist():
+        at = np.flatnonzero(least == w)
+        used, place = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
+        rows = np.stack([np.bitwise_xor.reduce(np.frombuffer(bits[k], np.uint64).reshape(-1, w // 8), axis=0) for k in used])
+        step = max(1, (1 << 22) // w)
+        for s in range(0, at.size, step):
+            e = min(at.size, s + step)
+            out[at[s:e]] = np.bitwise_count(rows[place[s:e]] ^ rows[place[at.size + s : at.size + e]]).sum(axis=1)
+    return out
+
+
+def possible(n: np.ndarray, bits: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Pairs that may have the similarity: sets of it differ in a ninth of their sizes' sum at most. No pair that has it is left out."""
+    return (NUM + DEN) * differences(bits, i, j) <= (DEN - NUM) * (n[i].astype(np.int64) + n[j])
+
+
+@F.arrow_udf(T.BooleanType())
+def _possible(columns: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for na, nb, a, b in columns:
+        i = np.arange(len(na))
+        yield pa.array(possible(np.concatenate([na.to_numpy(), nb.to_numpy()]), a.to_pylist() + b.to_pylist(), i, i + i.size))
+
+
 def _signed(x) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
@@ -69,13 +107,13 @@ def _sets(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def _keys(often):
-    """A text's class, the size of its set, its fingerprint and its first shingles."""
+    """A text's class, the size of its set, its fingerprint, its first shingles and its parities."""
 
-    @F.arrow_udf("struct<key:long,n:int,fp:long,prefix:array<long>>")
+    @F.arrow_udf("struct<key:long,n:int,fp:long,prefix:array<long>,bits:binary>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         last, rank = often.value[:2]
         for batch in batches:
-            out = [], [], [], []
+            out = [], [], [], [], []
             for t in each(batch):
                 h = shingles(t)
                 size = h.size - (NUM * h.size + DEN - 1) // DEN + 1 if h.size else 0
@@ -87,14 +125,15 @@ def _keys(often):
                 out[1].append(h.size)
                 out[2].append(fingerprint(h))
                 out[3].append(_signed(h[np.argsort(order, kind="stable")[:size]]))
-            columns = [pa.array(_signed(out[0])), pa.array(out[1], pa.int32()), pa.array(_signed(out[2])), pa.array(out[3], pa.list_(pa.int64()))]
-            yield pa.StructArray.from_arrays(columns, names=["key", "n", "fp", "prefix"])
+                out[4].append(parities(h))
+            columns = [pa.array(_signed(out[0])), pa.array(out[1], pa.int32()), pa.array(_signed(out[2])), pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.binary())]
+            yield pa.StructArray.from_arrays(columns, names=["key", "n", "fp", "prefix", "bits"])
 
     return run
 
 
 def _tokens(often):
-    """Rows (tile, side, key, n, fp) of classes (key, n, fp, prefix). side: 2 in a tile of its own, 0 or 1 in a pair of tiles."""
+    """Rows (tile, side, key, n, mark) of classes (key, n, mark, prefix). side: 2 in a tile of its own, 0 or 1 in a pair of tiles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, _, parts = often.value
@@ -103,7 +142,7 @@ def _tokens(often):
             lists = batch.column("prefix")
             row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
             h = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            key, n, fp = (batch.column(c).to_numpy() for c in ("key", "n", "fp"))
+            key, n, mark = (batch.column(c).to_numpy() for c in ("key", "n", "mark"))
             tile, side = h.view(np.int64), np.full(h.size, 2, np.int8)
             if wide.size:
                 at = np.minimum(np.searchsorted(wide, h), wide.size - 1)
@@ -119,23 +158,27 @@ def _tokens(often):
                 row = np.concatenate([row[cold], row[hot[each]]])
                 tile = np.concatenate([tile[cold], pair])
                 side = np.concatenate([side[cold], np.where(low == high, 2, (mine[each] == high).astype(np.int8)).astype(np.int8)])
-            yield pa.RecordBatch.from_arrays([pa.array(tile), pa.array(side), pa.array(key[row]), pa.array(n[row]), pa.array(fp[row])], names=["tile", "side", "key", "n", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(tile), pa.array(side), pa.array(key[row]), pa.array(n[row]), pa.array(mark[row])], names=["tile", "side", "key", "n", "mark"])
 
     return run
 
 
-def _alike(n: np.ndarray, fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Pairs that sizes and fingerprints do not rule out."""
-    a, b = np.minimum(n[i], n[j]).astype(np.int64), np.maximum(n[i], n[j]).astype(np.int64)
-    return (DEN * a >= NUM * b) & (np.bitwise_count(fp[i] ^ fp[j]) <= np.where(a < SHORT, FAR_SHORT, FAR))
+def _sizes_alike(n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Pairs that sizes do not rule out."""
+    return DEN * np.minimum(n[i], n[j]).astype(np.int64) >= NUM * np.maximum(n[i], n[j]).astype(np.int64)
 
 
-def tile_pairs(key: np.ndarray, n: np.ndarray, fp: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs in one tile: FORESTS disjoint forests of those within NEAR bits, and all between their trees that are not far apart."""
-    m = key.size
+def _meet(side: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Pairs that belong to this tile: all in a tile of its own, those of both sides in a pair of tiles."""
+    return (side[i] == 2) | (side[i] != side[j])
+
+
+def forests(n: np.ndarray, fp: np.ndarray, near: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Places of pairs in one tile: FORESTS disjoint forests of those within `near` bits, and the tree of the first that each place is in."""
+    m = fp.size
     labels, pairs = np.tile(np.arange(m), (FORESTS, 1)), []
     for i in range(1, m):  # each document with those before it
-        j = np.flatnonzero((np.bitwise_count(fp[:i] ^ fp[i]) <= NEAR) & (DEN * np.minimum(n[:i], n[i]) >= NUM * np.maximum(n[:i], n[i])))
+        j = np.flatnonzero((np.bitwise_count(fp[:i] ^ fp[i]) <= near) & (DEN * np.minimum(n[:i], n[i]) >= NUM * np.maximum(n[:i], n[i])))
         for label in labels:
             if not j.size:
                 break
@@ -146,53 +189,105 @@ def tile_pairs(key: np.ndarray, n: np.ndarray, fp: np.ndarray, side: np.ndarray)
                 joined = np.append(found, label[i])
                 label[np.isin(label, joined)] = joined.min()
                 j = np.delete(j, first[new])
-    label, rows = labels[0], max(1, (1 << 20) // m)
-    for at in range(0, m, rows):
-        here = np.arange(at, min(m, at + rows))[:, None]
-        a, b = np.nonzero((label[here] != label[None, :]) & (here < np.arange(m)[None, :]) & ((side[here] == 2) | (side[here] != side[None, :])))
-        a += at
-        ok = _alike(n, fp, a, b)
-        pairs.append(np.stack([a[ok], b[ok]]))
-    i, j = np.concatenate([*pairs, np.zeros((2, 0), np.int64)], axis=1)
-    return i, j
-
-
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by tile -> pairs of classes."""
-    held: list[np.ndarray] = []
-
-    def out(c: list[np.ndarray]) -> pa.RecordBatch:
-        tile, side, key, n, fp = c
-        fp = fp.view(np.uint64)
-        starts = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
-        count = np.diff(np.append(starts, tile.size))
-        found = [np.zeros((2, 0), np.int64)]
-        for m in range(2, FEW + 1):
-            first = starts[count == m]
-            for a in range(m):
-                for b in range(a + 1, m):
-                    i, j = first + a, first + b
-                    ok = (key[i] != key[j]) & ((side[i] == 2) | (side[i] != side[j]))
-                    i, j = i[ok], j[ok]
-                    ok = _alike(n, fp, i, j)
-                    found.append(np.stack([key[i[ok]], key[j[ok]]]))
-        for first, m in zip(starts[count > FEW].tolist(), count[count > FEW].tolist(), strict=True):
-            own, at = np.unique(key[first : first + m], return_index=True)
-            i, j = tile_pairs(own, n[first + at], fp[first + at], side[first + at])
-            found.append(np.stack([own[i], own[j]]))
-        pair = np.concatenate(found, axis=1)
-        pair = np.unique(np.stack([pair.min(axis=0), pair.max(axis=0)]), axis=1) if pair.size else pair
-        return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
+    return pairs, labels[0]
 
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by tile -> tables of whole tiles."""
+    held, now = [], None
     for batch in batches:
-        now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-        now = [np.concatenate([h, c]) for h, c in zip(held, now, strict=True)] if held else now
-        last = int(np.searchsorted(now[0], now[0][-1])) if now[0].size else 0  # the last tile may go on
-        held = [c[last:] for c in now]
-        if last:
-            yield out([c[:last] for c in now])
-    if held and held[0].size:
-        yield out(held)
+        if not batch.num_rows:
+            continue
+        tile = batch.column("tile").to_numpy()
+        if held and tile[-1] == now:
+            held.append(batch)
+            continue
+        last = int(np.searchsorted(tile, tile[-1]))  # the last tile may go on
+        if held or last:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+        held, now = [batch.slice(last)], tile[-1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _starts(tile: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each tile starts, and its rows."""
+    starts = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
+    return starts, np.diff(np.append(starts, tile.size))
+
+
+def _few(starts: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of small tiles, many tiles at a time."""
+    for m in range(2, FEW + 1):
+        first = starts[count == m]
+        for a in range(m):
+            for b in range(a + 1, m):
+                yield first + a, first + b
+
+
+def _many(first: int, m: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of one tile, in blocks."""
+    rows = max(1, (1 << 18) // m)
+    for at in range(0, m, rows):
+        a, b = np.nonzero(np.arange(at, min(m, at + rows))[:, None] < np.arange(m)[None, :])
+        yield first + at + a, first + b
+
+
+def _distinct(found: list[np.ndarray]) -> np.ndarray:
+    pair = np.concatenate([*found, np.zeros((2, 0), np.int64)], axis=1)
+    return np.unique(np.stack([pair.min(axis=0), pair.max(axis=0)]), axis=1) if pair.size else pair
+
+
+def _likely(near: int, far: int):
+    """Rows sorted by tile, marked with fingerprints -> pairs (a, b) of classes, and rows (tile, null) of tiles in which other pairs are left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _tiles(batches):
+            tile, side, key, n, fp = (table[c].to_numpy() for c in ("tile", "side", "key", "n", "mark"))
+            fp, (starts, count) = fp.view(np.uint64), _starts(tile)
+            found, left = [], [np.zeros(0, np.int64)]
+
+            def take(i, j, apart=None):
+                ok = (key[i] != key[j]) & _meet(side, i, j) & _sizes_alike(n, i, j)  # noqa: B023
+                ok &= True if apart is None else apart[i] != apart[j]
+                i, j = i[ok], j[ok]
+                ok = np.bitwise_count(fp[i] ^ fp[j]) <= far  # noqa: B023
+                found.append(np.stack([key[i[ok]], key[j[ok]]]))  # noqa: B023
+                left.append(np.unique(tile[i[~ok]]))  # noqa: B023
+
+            for i, j in _few(starts, count):
+                take(i, j)
+            trees = np.zeros(tile.size, np.int64)
+            for first, m in zip(starts[count > FEW].tolist(), count[count > FEW].tolist(), strict=True):
+                links, label = forests(n[first : first + m], fp[first : first + m], near)
+                for i, j in links:
+                    i, j = i[key[first + i] != key[first + j]], j[key[first + i] != key[first + j]]
+                    found.append(np.stack([key[first + i], key[first + j]]))
+                if np.bincount(label).max() > 2:  # a tree's other pairs
+                    left.append(tile[first : first + 1])
+                trees[first : first + m] = label
+                for i, j in _many(first, m):
+                    take(i, j, trees)
+            pair, left = _distinct(found), np.unique(np.concatenate(left))
+            a, b = pa.array(np.append(pair[0], left)), pa.array(np.append(pair[1], left), mask=np.repeat([False, True], [pair.shape[1], left.size]))
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
+
+    return run
+
+
+def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by tile, marked with groups, and their parities -> pairs of classes of different groups that parities do not rule out."""
+    for table in _tiles(batches):
+        tile, side, key, n, group = (table[c].to_numpy() for c in ("tile", "side", "key", "n", "mark"))
+        bits, (starts, count), found = table["bits"].to_pylist(), _starts(tile), []
+        big = zip(starts[count > FEW].tolist(), count[count > FEW].tolist(), strict=True)
+        for i, j in (pairs for some in (_few(starts, count), *(_many(*b) for b in big)) for pairs in some):
+            ok = (group[i] != group[j]) & _meet(side, i, j) & _sizes_alike(n, i, j)
+            i, j = i[ok], j[ok]
+            ok = possible(n, bits, i, j)
+            found.append(np.stack([key[i[ok]], key[j[ok]]]))
+        pair = _distinct(found)
+        yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
 
 
 def _often(docs: DataFrame, text: Column):
@@ -207,31 +302,50 @@ def _often(docs: DataFrame, text: Column):
     return docs.sparkSession.sparkContext.broadcast((h[order], n[order], parts[order]))
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, text_hash, group), one for each row of docs: near copies have one number. docs: doc_id, text.
+def _small(rows: DataFrame) -> DataFrame:
+    """rows, which are written already, marked for broadcast if they are few."""
+    return F.broadcast(rows) if rows.count() <= SMALL_IDS else rows
 
-    Rows without words are one group. Texts are told apart by xxhash64 of the text, null as empty.
-    """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    often = _often(docs, text)
-    rows = cut(docs.select("doc_id", F.xxhash64(text).alias("text_hash"), _keys(often)(text).alias("s")).select("doc_id", "text_hash", "s.*"))
-    classes = rows.where("n > 0").select("key", "n", "fp", "prefix").dropDuplicates(["key"])
-    tokens = classes.mapInArrow(_tokens(often), "tile long, side byte, key long, n int, fp long")
-    pairs = cut(tokens.repartition("tile").sortWithinPartitions("tile").mapInArrow(_pairs, "a long, b long").distinct())
+
+def _verified(docs: DataFrame, text: Column, rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that have the similarity, by their whole sets."""
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     wanted = cut(rows.groupBy("key").agg(F.min("text_hash").alias("w")).join(wanted, "key", "left_semi"))
-    few = F.broadcast if wanted.count() <= SMALL_IDS else (lambda d: d)
-    sets = docs.select(text.alias("text")).join(few(wanted), F.xxhash64("text") == F.col("w")).groupBy("key").agg(F.first("text").alias("text")).select("key", _sets("text").alias("set"))
+    sets = docs.select(text.alias("text")).join(_small(wanted), F.xxhash64("text") == F.col("w")).groupBy("key").agg(F.first("text").alias("text")).select("key", _sets("text").alias("set"))
     sets = cut(sets)
-    # the smallest hashes of two sets tell most pairs that are not near, so that few whole sets travel
-    low = lambda k, c: sets.select(F.col("key").alias(k), F.slice("set", 1, LOW).alias(c))
-    least = F.slice(F.array_sort(F.array_union("x", "y")), 1, LOW)
-    likely = F.size(F.array_intersect(F.array_intersect(least, F.col("x")), F.col("y"))) >= LOW_SHARE * F.size(least)
-    pairs = cut(pairs.join(low("a", "x"), "a").join(low("b", "y"), "b").where(likely).select("a", "b"))
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     same = F.size(F.array_intersect("x", "y"))
-    near = both.where((NUM + DEN) * same >= NUM * (F.size("x") + F.size("y"))).select("a", "b")
-    found = components(near, "a", "b").toDF("node", "root")
+    return both.where((NUM + DEN) * same >= NUM * (F.size("x") + F.size("y"))).select("a", "b")
+
+
+def groups(docs: DataFrame, near: int = NEAR, far: int = FAR) -> DataFrame:
+    """Rows (doc_id, text_hash, group), one for each row of docs: near copies have one number. docs: doc_id, text.
+
+    Rows without words are one group. Texts are told apart by xxhash64 of the text, null as empty. near and far,
+    in bits, say which pairs are looked at first; the groups are the same for all values of theirs.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    often = _often(docs, text)
+    rows = written(docs.select("doc_id", F.xxhash64(text).alias("text_hash"), _keys(often)(text).alias("s")).select("doc_id", "text_hash", "s.*"))
+    classes = written(rows.where("n > 0").select("key", "n", "fp", "prefix", "bits").dropDuplicates(["key"]))
+    token, pair = "tile long, side byte, key long, n int, mark long", "a long, b long"
+    tokens = classes.select("key", "n", F.col("fp").alias("mark"), "prefix").mapInArrow(_tokens(often), token)
+    met = cut(tokens.repartition("tile").sortWithinPartitions("tile").mapInArrow(_likely(near, far), pair).distinct())
+    tried = met.where("b is not null")
+    bits = lambda k: classes.select(F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
+    likely = tried.join(bits("a"), "a").join(bits("b"), "b").where(_possible("n_a", "n_b", "bits_a", "bits_b")).select("a", "b")
+    links = cut(_verified(docs, text, rows, cut(likely)))
+    found = components(links, "a", "b").toDF("node", "root")
+    # tiles with pairs that were not taken, as far as their documents are of several groups by now
+    tokens = classes.join(found, F.col("key") == F.col("node"), "left").select("key", "n", F.coalesce("root", "key").alias("mark"), "prefix").mapInArrow(_tokens(often), token)
+    left = _small(met.where("b is null").select(F.col("a").alias("tile")))
+    mixed = tokens.join(left, "tile", "left_semi").groupBy("tile").agg(F.min("mark").alias("least"), F.max("mark").alias("most")).where("least < most")
+    mixed = cut(mixed.select("tile"))
+    if not mixed.isEmpty():
+        again = tokens.join(_small(mixed), "tile", "left_semi").join(classes.select("key", "bits"), "key").repartition("tile").sortWithinPartitions("tile")
+        rest = cut(again.mapInArrow(_rest, pair).distinct().join(tried, ["a", "b"], "left_anti"))
+        if not rest.isEmpty():
+            found = components(links.union(_verified(docs, text, rows, rest)), "a", "b").toDF("node", "root")
     return rows.select("doc_id", "text_hash", "key").join(found, F.col("key") == F.col("node"), "left").select("doc_id", "text_hash", F.coalesce("root", "key").alias("group"))
 
 

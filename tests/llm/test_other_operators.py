@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from scanforge.llm import chat_format, embed_dedup, html_extract
+from scanforge.llm import chat_format, embed_dedup, html_extract, near_copies
 from scanforge.llm.html_parse import parse
 
 CHROME = "<nav><ul><li><a href=/>Home</a></li></ul></nav><div class='ad'>Buy</div>"
@@ -255,3 +255,44 @@ def test_pipeline_judges_rows_not_ids(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
     kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()]
     assert sorted(kept, key=str) == sorted([docs[i][:2] for i in (0, 2, 3, 4, 5, 6)], key=str)
+
+
+def test_near_copies_do_not_hang_on_fingerprints(spark):
+    """Whatever the bits say is looked at first, the groups are those of brute force: no forest, one tree of all, no likely pair."""
+    rng = random.Random(8)
+    docs = []
+    for i in range(12):  # texts that drift from version to version, and some that share a passage only
+        w = [f"w{rng.randrange(9000)}" for _ in range(60 + 40 * (i % 3))]
+        for _ in range(14):
+            docs.append(" ".join(w))
+            w = list(w)
+            for at in rng.sample(range(len(w)), rng.choice([1, 2, 4])):
+                w[at] = f"w{rng.randrange(9000)}"
+    passage = " ".join(f"p{i}" for i in range(30))
+    docs += [passage + " " + " ".join(f"w{rng.randrange(9000)}" for _ in range(rng.choice([2, 4, 8, 30]))) for _ in range(40)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, docs)]
+    want = list(range(len(docs)))
+    for b in range(len(docs)):
+        for a in range(b):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and want[a] != want[b]:
+                old, new = max(want[a], want[b]), min(want[a], want[b])
+                want = [new if x == old else x for x in want]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4)
+    for near, far in ((8, 22), (-1, -1), (64, 64), (20, 0)):
+        group: dict[int, list[int]] = {}
+        for r in near_copies.groups(df, near, far).collect():
+            group.setdefault(r.group, []).append(r.doc_id)
+        got = {i: min(ids) for ids in group.values() for i in ids}
+        assert [got[i] for i in range(len(docs))] == want, (near, far)
+    assert 20 < len(set(want)) < len(docs)
+
+
+def test_parities_never_overstate():
+    rng = np.random.default_rng(9)
+    sets = [rng.integers(0, 1 << 63, int(k)).astype(np.uint64) for k in (1, 5, 40, 300, 300, 70_000)]
+    sets += [np.concatenate([s[: s.size * 9 // 10], rng.integers(0, 1 << 63, s.size // 8 + 1).astype(np.uint64)]) for s in sets]
+    bits = [near_copies.parities(s) for s in sets]
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    least = near_copies.differences(bits, i, j)
+    true = [len(set(sets[a].tolist()) ^ set(sets[b].tolist())) for a, b in zip(i.tolist(), j.tolist())]
+    assert (least <= true).all() and least[(i != j)].max() > 100
