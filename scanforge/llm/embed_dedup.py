@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import SMALL_IDS, cut, written
 from .components import components
 
 THRESHOLD = 0.93
@@ -45,7 +45,7 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _vectors(table: pa.Table, column: str = "x") -> np.ndarray:
+def _vectors(table: pa.Table, column: str = "u") -> np.ndarray:
     """The vectors of a column, all of one length, without a Python object for each number."""
     return table[column].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
 
@@ -72,56 +72,57 @@ def _fit(table: pa.Table) -> pa.Table:
     """One cell's sample -> its children: their numbers and centres."""
     table = table.sort_by("h")
     cell, k = table["cell"][0].as_py(), min(table["k"][0].as_py(), table.num_rows)
-    c = _kmeans(unit(_vectors(table)), k, ROUNDS)
+    c = _kmeans(_vectors(table), k, ROUNDS)
     numbers = [xxhash.xxh64_intdigest(f"{cell}/{j}") - (1 << 63) for j in range(k)]
-    return pa.table({"cell": pa.array([cell] * k), "child": pa.array(numbers), "centre": pa.array(list(c), pa.list_(pa.float64()))})
+    return pa.table({"cell": pa.array([cell] * k), "child": pa.array(numbers), "centre": pa.array(list(c), pa.list_(pa.float32()))})
 
 
 def _assign(overlap: int):
-    """Members of a cell and its children -> each member's nearest children, with the cosine to their centres."""
+    """Members of a cell and its children -> each member's nearest children, with the cosine to their centres. Without children it stays."""
 
     def run(rows: pa.Table, children: pa.Table) -> pa.Table:
         if not rows.num_rows or not children.num_rows:
-            return pa.table({"key": pa.array([], pa.int64()), "cell": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
+            return pa.table({"key": rows["key"], "h": rows["h"], "cell": rows["cell"], "cosine": pa.array(np.full(rows.num_rows, -2.0))})
         key, h, child = rows["key"].to_numpy(), rows["h"].to_numpy(), children["child"].to_numpy()
-        near = unit(_vectors(rows)) @ _vectors(children, "centre").T
+        near = (_vectors(rows) @ _vectors(children, "centre").T).astype(float)
         # directions that no centre tells apart are dealt evenly
         near += 1e-12 * ((h[:, None] ^ child[None, :]) & 1023)
         k = min(overlap, child.size)
         best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        return pa.table({"key": pa.array(np.repeat(key, k)), "cell": pa.array(child[best].ravel()), "cosine": pa.array(np.take_along_axis(near, best, 1).ravel())})
+        return pa.table({"key": np.repeat(key, k), "h": np.repeat(h, k), "cell": child[best].ravel(), "cosine": np.take_along_axis(near, best, 1).ravel()})
 
     return run
 
 
 def deal(nodes: DataFrame, shard: int = SHARD, overlap: int = OVERLAP) -> DataFrame:
-    """nodes (key, h, label, x, ...) with `shards`, the numbers of the node's nearest shards, and `home`, that of the nearest.
+    """nodes (key, h, label, u, ...) with `shards`, the numbers of the node's nearest shards, and `home`, that of the nearest.
 
-    Every level splits the cells that are still the nearest of over 2 * shard nodes. Counts, samples and centres of a
-    cell are rows that are joined to it, so that nothing here grows on the driver or in a broadcast. Vectors of different
-    labels or lengths never share a shard.
+    Every level splits the cells that are still the nearest of over 2 * shard nodes. Samples and centres of a cell are
+    rows that are joined to it, and its counts too unless they are few for the table as a whole, so that nothing here
+    grows on the driver or in a broadcast. Vectors of different labels or lengths never share a shard.
     """
-    x = nodes.select("key", "h", "x")
-    where = cut(nodes.select("key", F.xxhash64("label", F.size("x")).alias("cell"), F.lit(-2.0).alias("cosine")))
+    vectors = nodes.select("key", "u")
+    root = F.struct(F.lit(-2.0).alias("cosine"), F.xxhash64("label", F.size("u")).alias("cell"))
+    where = cut(nodes.select("key", "h", F.array(root).alias("cells")))  # a node's cells, the nearest first
     for _ in range(MAX_LEVELS):
-        home = where.groupBy("key").agg(F.max_by("cell", F.struct("cosine", "cell")).alias("cell"))
-        wide = home.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > 2 * shard)
+        wide = where.groupBy(F.col("cells")[0]["cell"].alias("cell")).agg(F.count("*").alias("n")).where(F.col("n") > 2 * shard)
         wide = cut(wide.select("cell", "n", F.least(F.lit(FAN), F.ceil(F.col("n") / shard)).cast("int").alias("k"), F.ceil(F.col("n") * overlap / PART).cast("int").alias("parts")))
-        if wide.isEmpty():
+        n_wide = wide.count()
+        if not n_wide:
             break
-        members = where.join(wide, "cell").join(x, "key").select("cell", "key", "h", "x", "n", "k", "parts")
+        few = F.broadcast(wide) if n_wide <= SMALL_IDS else wide
+        places = where.select("key", "h", F.inline("cells"))
+        members = places.join(few, "cell")
         rate = F.col("k") * SAMPLE_EACH / F.col("n")
-        sample = members.where(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < rate * (1 << 30)).select("cell", "k", "h", "x")
-        children = cut(sample.groupBy("cell").applyInArrow(_fit, "cell long, child long, centre array<double>"))
-        rows = members.select("cell", F.pmod("h", F.col("parts")).cast("int").alias("part"), "key", "h", "x")
-        centres = children.join(wide.select("cell", "parts"), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "child", "centre")
-        moved = rows.groupBy("cell", "part").cogroup(centres.groupBy("cell", "part")).applyInArrow(_assign(overlap), "key long, cell long, cosine double")
-        both = where.join(children.select("cell").distinct(), "cell", "left_anti").unionByName(moved)
+        sample = members.where(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < rate * (1 << 30)).join(vectors, "key").select("cell", "k", "h", "u")
+        children = cut(sample.groupBy("cell").applyInArrow(_fit, "cell long, child long, centre array<float>"))
+        rows = members.join(vectors, "key").select("cell", F.pmod("h", F.col("parts")).cast("int").alias("part"), "key", "h", "u")
+        centres = children.join(few, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "child", "centre")
+        moved = rows.groupBy("cell", "part").cogroup(centres.groupBy("cell", "part")).applyInArrow(_assign(overlap), "key long, h long, cell long, cosine double")
+        both = places.join(few.select("cell"), "cell", "left_anti").unionByName(moved)
         # overlap * overlap cells of a node at most
-        best = both.groupBy("key").agg(F.slice(F.sort_array(F.collect_list(F.struct("cosine", "cell")), asc=False), 1, overlap).alias("c"))
-        where = cut(best.select("key", F.inline("c")).select("key", "cell", "cosine"))
-    cells = where.groupBy("key").agg(F.collect_list("cell").alias("shards"), F.max_by("cell", F.struct("cosine", "cell")).alias("home"))
-    return nodes.join(cells, "key")
+        where = cut(both.groupBy("key").agg(F.min("h").alias("h"), F.slice(F.sort_array(F.collect_list(F.struct("cosine", "cell")), asc=False), 1, overlap).alias("cells")))
+    return nodes.join(where.select("key", F.col("cells.cell").alias("shards"), F.col("cells")[0]["cell"].alias("home")), "key")
 
 
 def build_graph(x: np.ndarray) -> np.ndarray:
@@ -197,7 +198,7 @@ def search(x: np.ndarray, edges: np.ndarray, q: np.ndarray, own: np.ndarray, lea
 def _graph(table: pa.Table) -> pa.Table:
     """One shard's adjacency lists."""
     table = table.sort_by("key")
-    key, edges = table["key"].to_numpy(), build_graph(unit(_vectors(table)).astype(np.float32))
+    key, edges = table["key"].to_numpy(), build_graph(_vectors(table))
     lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum((edges >= 0).sum(axis=1))]).astype(np.int32), pa.array(key[edges[edges >= 0]], pa.int64()))
     return pa.table({"key": pa.array(key), "near": lists})
 
@@ -210,14 +211,14 @@ def _visit(threshold: float):
         if not members.num_rows or queries is not None and not queries.num_rows:
             return empty
         members = members.sort_by("key")
-        key, home, x = members["key"].to_numpy(), members["home"].to_numpy(), unit(_vectors(members)).astype(np.float32)
+        key, home, x = members["key"].to_numpy(), members["home"].to_numpy(), _vectors(members)
         row, to = _lists(members, "near")
         at = np.minimum(np.searchsorted(key, to), key.size - 1)
         row, at = row[key[at] == to], at[key[at] == to]  # the united lists, as far as they stay in this shard
         edges = np.full((key.size, max(1, int(np.bincount(row, minlength=1).max()))), -1)
         edges[row, np.arange(row.size) - np.searchsorted(row, row)] = at
         own = queries if queries is not None else members
-        q, q_home = (unit(_vectors(own)).astype(np.float32), own["home"].to_numpy()) if queries is not None else (x, home)
+        q, q_home = (_vectors(own), own["home"].to_numpy()) if queries is not None else (x, home)
         q_key = own["key"].to_numpy()
         m_row, m_shard = _lists(members, "shards")
         starts = np.searchsorted(m_row, np.arange(key.size + 1))
@@ -251,7 +252,7 @@ def _verify(threshold: float):
         out = [], [], []
         if queries.num_rows and block.num_rows:
             queries, block = queries.sort_by("key"), block.sort_by("key")
-            (qk, bk), (q, b) = ([t["key"].to_numpy() for t in (queries, block)], [_vectors(t) for t in (queries, block)])
+            (qk, bk), (q, b) = ([t["key"].to_numpy() for t in (queries, block)], [_vectors(t, "x") for t in (queries, block)])
             (qn, bn), n = ([np.sqrt((v * v).sum(axis=1)) for v in (q, b)], block["n"].to_numpy())
             label, bu = np.arange(bk.size), b / bn[:, None]
             for at in range(0, qk.size, BLOCK):
@@ -278,9 +279,12 @@ def _runs(i: np.ndarray, j: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
     return rows.tolist(), np.split(j, starts[1:]) if rows.size else []
 
 
-def _meet(queries: DataFrame, members: DataFrame, function, schema: str) -> DataFrame:
-    """Queries (shard, key, ...) and members (shard, ...) of the same shard, with a shard's many queries dealt to several tasks."""
-    parts = queries.groupBy("shard").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+def _meet(queries: DataFrame, members: DataFrame, function, schema: str, few) -> DataFrame:
+    """Queries (shard, key, ...) and members (shard, ...) of the same shard, with a shard's many queries dealt to several tasks.
+
+    few: how to mark a table of one row a shard, for broadcast or not.
+    """
+    parts = few(queries.groupBy("shard").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")))
     part = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
     left = queries.join(parts, "shard").withColumn("part", part).drop("parts")
     right = members.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
@@ -288,6 +292,13 @@ def _meet(queries: DataFrame, members: DataFrame, function, schema: str) -> Data
     return left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInArrow(lambda q, m: function(q, m), schema)
 
 
+def _with_direction(rows: DataFrame) -> DataFrame:
+    """rows with u, the unit vector of x in single precision, which the search takes; links are verified in double precision."""
+    rows = rows.withColumn("__most", F.array_max(F.transform("x", F.abs)))
+    rows = rows.withColumn("__norm", F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + (v / F.col("__most")) * (v / F.col("__most")))))
+    return rows.withColumn("u", F.transform("x", lambda v: v / F.col("__most") / F.col("__norm")).cast("array<float>")).drop("__most", "__norm")
+
+
 def _usable(embedding: Column) -> Column:
     return F.forall(embedding, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(embedding, lambda v: v != 0)
 
@@ -306,27 +317,30 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, shard: int =
     usable = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & _usable(F.col("x")), F.lit(False))
     rows = cut(rows.withColumn("usable", usable))
     nodes = rows.where("usable").groupBy("label", "x").agg(F.min("vec_id").cast("long").alias("least"), F.count("*").alias("n"))
-    nodes = cut(nodes.withColumns({"key": F.monotonically_increasing_id(), "h": F.xxhash64("x")}))
-    dealt = cut(deal(nodes, shard, overlap).select("key", "x", "n", "shards", "home"))
-    members = dealt.select("key", "x", F.explode("shards").alias("shard"))
+    nodes = written(_with_direction(nodes.withColumns({"key": F.monotonically_increasing_id(), "h": F.xxhash64("x")})))
+    dealt = written(deal(nodes, shard, overlap).select("key", "x", "u", "n", "shards", "home"))
+    small = dealt.select(F.explode("shards")).distinct().count() <= SMALL_IDS
+    few = F.broadcast if small else (lambda d: d)
+    members = dealt.select("key", "u", F.explode("shards").alias("shard"))
     graph = members.groupBy("shard").applyInArrow(_graph, "key long, near array<long>")
     united = graph.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # at most `overlap` lists of DEGREE each
-    ready = cut(dealt.join(united, "key").select("key", "x", "shards", "home", "near"))
+    ready = written(dealt.join(united, "key").select("key", "u", "shards", "home", "near"))
     members = ready.withColumn("shard", F.explode("shards"))
     visit = _visit(threshold)
     found = cut(members.groupBy("shard").applyInArrow(lambda t: visit(None, t), "key long, shard long, kind int"))
-    verify, done, wanted = found.where("kind = 0"), None, found.where("kind = 1").select("key", "shard").distinct()
+    verify, pairs = found.where("kind = 0"), lambda d, old: d.select("key", "shard", F.lit(old).alias("old"))
+    done, further = None, found.where("kind = 1")
     while True:  # a query goes on where its last round led, and never twice to one shard
-        wanted = cut(wanted if done is None else wanted.join(done, ["key", "shard"], "left_anti"))
+        both = pairs(further, 0) if done is None else pairs(further, 0).unionByName(pairs(done, 1))
+        wanted = cut(both.groupBy("key", "shard").agg(F.max("old").alias("old")).where("old = 0").select("key", "shard"))
         if wanted.isEmpty():
             break
         done = wanted if done is None else done.unionByName(wanted)
-        queries = wanted.join(ready.select("key", "x", "shards", "home"), "key")
-        found = cut(_meet(queries, members, visit, "key long, shard long, kind int"))
-        verify = verify.unionByName(found.where("kind = 0"))
-        wanted = found.where("kind = 1").select("key", "shard").distinct()
+        queries = wanted.join(ready.select("key", "u", "shards", "home"), "key")
+        found = cut(_meet(queries, members, visit, "key long, shard long, kind int", few))
+        verify, further = verify.unionByName(found.where("kind = 0")), found.where("kind = 1")
     asked = cut(verify.select("key", "shard").distinct()).join(dealt.select("key", "x"), "key")
-    links = cut(_meet(asked, dealt.select(F.col("home").alias("shard"), "key", "x", "n"), _verify(threshold), "a long, b long, links long"))
+    links = cut(_meet(asked, dealt.select(F.col("home").alias("shard"), "key", "x", "n"), _verify(threshold), "a long, b long, links long", few))
     counts = links.where("a = b").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
     roots = components(links.where("a <> b"), "a", "b").toDF("key", "root")
     known = nodes.join(counts, "key", "left").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
@@ -341,7 +355,7 @@ def _count_true(threshold: float):
     def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
         n = np.zeros(asked.num_rows, np.int64)
         if asked.num_rows and rows.num_rows:
-            q, x = unit(_vectors(asked)), unit(_vectors(rows))
+            q, x = unit(_vectors(asked, "x")), unit(_vectors(rows, "x"))
             for at in range(0, len(q), BLOCK):
                 n[at : at + BLOCK] = (q[at : at + BLOCK] @ x.T >= threshold).sum(axis=1)
         return pa.table({"vec_id": asked["vec_id"], "n": pa.array(n)})
