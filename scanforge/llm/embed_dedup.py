@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import SMALL_IDS, cut, written
 from .components import components
@@ -103,26 +104,27 @@ def deal(nodes: DataFrame, shard: int = SHARD, overlap: int = OVERLAP) -> DataFr
     """
     vectors = nodes.select("key", "u")
     root = F.struct(F.lit(-2.0).alias("cosine"), F.xxhash64("label", F.size("u")).alias("cell"))
-    where = cut(nodes.select("key", "h", F.array(root).alias("cells")))  # a node's cells, the nearest first
+    where = cut(nodes.select("key", "h", F.lit(0).alias("at"), root.alias("c")).select("key", "h", "at", "c.*"))  # a node's cells, the nearest at 0
     for _ in range(MAX_LEVELS):
-        wide = where.groupBy(F.col("cells")[0]["cell"].alias("cell")).agg(F.count("*").alias("n")).where(F.col("n") > 2 * shard)
+        wide = where.where("at = 0").groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > 2 * shard)
         wide = cut(wide.select("cell", "n", F.least(F.lit(FAN), F.ceil(F.col("n") / shard)).cast("int").alias("k"), F.ceil(F.col("n") * overlap / PART).cast("int").alias("parts")))
         n_wide = wide.count()
         if not n_wide:
             break
         few = F.broadcast(wide) if n_wide <= SMALL_IDS else wide
-        places = where.select("key", "h", F.inline("cells"))
-        members = places.join(few, "cell")
+        members = where.join(few, "cell")
         rate = F.col("k") * SAMPLE_EACH / F.col("n")
         sample = members.where(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < rate * (1 << 30)).join(vectors, "key").select("cell", "k", "h", "u")
         children = cut(sample.groupBy("cell").applyInArrow(_fit, "cell long, child long, centre array<float>"))
         rows = members.join(vectors, "key").select("cell", F.pmod("h", F.col("parts")).cast("int").alias("part"), "key", "h", "u")
         centres = children.join(few, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "child", "centre")
         moved = rows.groupBy("cell", "part").cogroup(centres.groupBy("cell", "part")).applyInArrow(_assign(overlap), "key long, h long, cell long, cosine double")
-        both = places.join(few.select("cell"), "cell", "left_anti").unionByName(moved)
+        both = where.drop("at").join(few.select("cell"), "cell", "left_anti").unionByName(moved)
         # overlap * overlap cells of a node at most
-        where = cut(both.groupBy("key").agg(F.min("h").alias("h"), F.slice(F.sort_array(F.collect_list(F.struct("cosine", "cell")), asc=False), 1, overlap).alias("cells")))
-    return nodes.join(where.select("key", F.col("cells.cell").alias("shards"), F.col("cells")[0]["cell"].alias("home")), "key")
+        best = both.groupBy("key").agg(F.min("h").alias("h"), F.slice(F.sort_array(F.collect_list(F.struct("cosine", "cell")), asc=False), 1, overlap).alias("c"))
+        where = cut(best.select("key", "h", F.posexplode("c").alias("at", "c")).select("key", "h", "at", "c.*"))
+    cells = where.groupBy("key").agg(F.collect_list("cell").alias("shards"), F.min_by("cell", "at").alias("home"))
+    return nodes.join(cells, "key")
 
 
 def build_graph(x: np.ndarray) -> np.ndarray:
@@ -292,11 +294,16 @@ def _meet(queries: DataFrame, members: DataFrame, function, schema: str, few) ->
     return left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInArrow(lambda q, m: function(q, m), schema)
 
 
-def _with_direction(rows: DataFrame) -> DataFrame:
-    """rows with u, the unit vector of x in single precision, which the search takes; links are verified in double precision."""
-    rows = rows.withColumn("__most", F.array_max(F.transform("x", F.abs)))
-    rows = rows.withColumn("__norm", F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + (v / F.col("__most")) * (v / F.col("__most")))))
-    return rows.withColumn("u", F.transform("x", lambda v: v / F.col("__most") / F.col("__norm")).cast("array<float>")).drop("__most", "__norm")
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def _directions(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Unit vectors in single precision, which the search takes; links are verified in double precision. Vectors are not zero."""
+    for x in columns:
+        sizes = x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        v, starts = x.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes) - sizes
+        if v.size:
+            v = v / np.repeat(np.maximum.reduceat(np.abs(v), starts), sizes)
+            v = v / np.repeat(np.sqrt(np.add.reduceat(v * v, starts)), sizes)
+        yield pa.ListArray.from_arrays(np.append(starts, v.size).astype(np.int32), pa.array(v.astype(np.float32)))
 
 
 def _usable(embedding: Column) -> Column:
@@ -317,7 +324,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, shard: int =
     usable = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & _usable(F.col("x")), F.lit(False))
     rows = cut(rows.withColumn("usable", usable))
     nodes = rows.where("usable").groupBy("label", "x").agg(F.min("vec_id").cast("long").alias("least"), F.count("*").alias("n"))
-    nodes = written(_with_direction(nodes.withColumns({"key": F.monotonically_increasing_id(), "h": F.xxhash64("x")})))
+    nodes = written(nodes.withColumns({"key": F.monotonically_increasing_id(), "h": F.xxhash64("x"), "u": _directions("x")}))
     dealt = written(deal(nodes, shard, overlap).select("key", "x", "u", "n", "shards", "home"))
     small = dealt.select(F.explode("shards")).distinct().count() <= SMALL_IDS
     few = F.broadcast if small else (lambda d: d)
