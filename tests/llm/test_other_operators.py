@@ -160,6 +160,15 @@ def test_vectors_of_many_shards(spark):
     assert all(got[i].n_links <= near[i].sum() for i in range(len(x))) and len({got[i].component_id for i in range(300)}) == 1
 
 
+def test_vectors_of_null_and_repeated_ids(spark):
+    v, w = [1.0, 0.0, 0.0], [0.0, 3.0, 0.0]
+    rows = [(1, v, 0), (1, v, 0), (2, [2.0, 0.02, 0.0], 0), (3, w, 0), (None, v, 0), (None, w, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(map(tuple, embed_dedup.near_vectors(df).collect()), key=str)
+    # rows of one id are vectors of their own; a row without an id links with nothing
+    assert got == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (None, 0, None, True), (None, 0, None, True)]
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(4)
     body = lambda n=60: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
