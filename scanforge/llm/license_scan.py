@@ -7,6 +7,9 @@ behind the first word they share both must have enough words left (positional fi
 
 A text block is a window of a document's words. Windows come in sizes, each for templates of up to half a window, and half
 overlap, so that a notice stands whole in one of them however its lines are broken.
+
+The texts are read once. That pass counts words, finds the phrases, and keeps the texts that hold what some template needs at
+all, as words or in them; the order of words, the blocks and the join are those of the kept texts, as no other text can match.
 """
 
 from __future__ import annotations
@@ -18,10 +21,11 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower, cut
+from .common import LOWER, UPPER, ascii_lower, cut, written
 
-#: A word, before A-Z are lower-cased, and what is between words.
-WORD, _GAP = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: A word, before A-Z are lower-cased, and what is between words. Java tests a class of what belongs to a word many times faster than
+#: the same class told by what does not.
+WORD, _GAP = r"[0-9A-Za-z\x80-\x{10FFFF}]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Phrases whose every place counts, and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: Share of a template's distinct words that a block must hold.
@@ -72,6 +76,24 @@ def _holds(lowered: Column, words) -> Column:
     return reduce(and_, (lowered.contains(w) for w in sorted(words, key=lambda w: (-len(w), w))))
 
 
+def _need(words, share: float) -> int:
+    """How many of a template's words a block must hold."""
+    return math.ceil(share * len(words) - 1e-9)
+
+
+def may_match(lowered: Column, share: float = CONTAINMENT, rows: tuple = TEMPLATES) -> Column:
+    """Whether a text in lower case has what some template needs: the words it names, and as many of its words as a block must hold.
+
+    Words in words count too, and the whole text stands for its blocks, so no text with a match is passed over.
+    """
+
+    def of(must, words) -> Column:
+        others = sum((lowered.contains(w).cast("int") for w in sorted(words - must)), F.lit(0)) >= _need(words, share) - len(must)
+        return _holds(lowered, must) & others if must else others
+
+    return reduce(or_, (of(must, words) for _, must, words in templates(rows)))
+
+
 def phrase_places(text: Column, lowered: Column) -> Column:
     """struct of struct<n,first,last> for each base phrase: its places, and the least and greatest start in words from 0.
 
@@ -95,7 +117,7 @@ def phrase_places(text: Column, lowered: Column) -> Column:
 
 
 def word_order(docs: DataFrame, rows: tuple = TEMPLATES) -> dict[str, int]:
-    """The place of each template word in the global order: rarest in the texts of docs first, ties by the word.
+    """The place of each template word in the global order: rarest in the texts of docs, those that are joined, first, ties by the word.
 
     Only template words are counted, some hundreds, however many documents there are. Any order gives the same matches.
     """
@@ -112,7 +134,7 @@ def _index(order: dict[str, int], share: float, rows: tuple) -> list[tuple]:
     out = []
     for number, (label, must, words) in enumerate(templates(rows)):
         ids = sorted(order[w] for w in words)
-        need = math.ceil(share * len(ids) - 1e-9)
+        need = _need(ids, share)
         out.append((number, label, next(c for c in CLASSES if len(ids) <= c), ids, ids[: len(ids) - need + 1], need, sorted(order[w] for w in must)))
     return out
 
@@ -155,16 +177,16 @@ def scan(docs: DataFrame, share: float = CONTAINMENT, rows: tuple = TEMPLATES) -
     empty: no words, no labels, score 0. Each row is judged by its text alone, whatever its doc_id and however often it is there;
     other columns are not read. Empty tables give no rows.
     """
-    order = word_order(docs, rows)
-    by_place = {i: w for w, i in order.items()}
-    # a text passes with all words that some template must have, and with a word of that template's prefix
-    text, low = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("low")
-    maybe = reduce(or_, (reduce(and_, [_holds(low, {by_place[i] for i in x[6]})] * bool(x[6]) + [reduce(or_, (low.contains(by_place[i]) for i in x[4]))]) for x in _index(order, share, rows)))
-    named = docs.select("doc_id", text.alias("text")).withColumn("low", F.lower("text")).withColumn("maybe", maybe)
+    text, low, maybe = F.col("text"), F.col("low"), F.col("maybe")
+    lowered = docs.select("doc_id", F.coalesce(text.cast("string"), F.lit("")).alias("text")).withColumn("low", F.lower("text"))
     # texts that may match are keyed by what they say, the others lie apart from each other
-    key = F.when(F.col("maybe"), F.sha2("text", 256)).otherwise(F.hex(F.xxhash64("doc_id", "text")))
-    per_doc = named.select("doc_id", key.alias("key"), F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), phrase_places(F.col("text"), F.col("low")).alias("base"))
-    found = matches(named.where("maybe").select(F.sha2("text", 256).alias("key"), "text"), order, share, rows)
+    key = F.when(maybe, F.sha2("text", 256)).otherwise(F.hex(F.xxhash64("doc_id", "text")))
+    read = written(
+        lowered.withColumn("maybe", may_match(low, share, rows))
+        .select("doc_id", key.alias("key"), F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), phrase_places(text, low).alias("base"), F.when(maybe, text).alias("text"))
+    )
+    kept, per_doc = read.where(text.isNotNull()).select("key", "text"), read.drop("text")
+    found = matches(kept, word_order(kept, rows), share, rows)
     per_text = cut(found.groupBy("key").agg(F.array_sort(F.collect_set("label")).alias("more"), F.max("score").alias("best")))
     small = per_text.count() <= SMALL_MATCHES
     out = per_doc.join(F.broadcast(per_text) if small else per_text, "key", "left")

@@ -170,6 +170,24 @@ def test_licenses(spark):
     assert "Python" not in license_scan.scan(make(spark, rows))._jdf.queryExecution().toString()
 
 
+def test_licenses_read_each_text_once(spark):
+    """One pass over the texts, whatever they hold: no word order, index or join goes back to the documents."""
+    every = "".join(f"{chr(c)}a{chr(c)} " for c in [*range(0x300), 0x2028, 0xFFFD, 0x1F600, 0x10FFFF])
+    notices = [t for *_, t in license_scan.TEMPLATES]
+    texts = [None, "", every, "Released under the permit license", "GNUs in general, all under the public licensed version", *notices, *(every + t + every for t in notices), *(t.replace(" ", "x ") for t in notices)]
+    rows = [(i, t, None, "s") for i, t in enumerate(texts)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(text):
+        seen.add(1)
+        return text
+
+    docs = make(spark, rows).withColumn("text", F.udf(look, "string").asNondeterministic()("text"))
+    got = sorted(map(repr, map(tuple, license_scan.scan(docs).collect())))
+    assert got == sorted(repr((i, *brute_licenses(t, license_scan.templates()))) for i, t, *_ in rows)
+    assert seen.value == len(rows)
+
+
 def test_license_index_is_lossless(spark):
     """Prefix, length and positional filters drop no pair, in any word order."""
     rng = random.Random(6)
